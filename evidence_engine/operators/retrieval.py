@@ -24,9 +24,11 @@ from evidence_engine.operators.index import Index
 
 cloudpickle.register_pickle_by_value(kernels)
 
-# One pass broadcasts about this many queries and query tokens (or vector entries) at most.
-QUERIES_PER_PASS = 512
-ENTRIES_PER_PASS = 100_000
+# A pass takes about this many queries, and query tokens or vector entries, at most. The widest
+# matrix it broadcasts or holds is then queries x terms of 8 bytes: some 60 MB.
+QUERIES_PER_PASS = 256
+TOKENS_PER_PASS = 30_000
+VECTOR_ENTRIES_PER_PASS = 1_000_000
 
 # Scans of more tasks than this merge their candidates in two steps.
 TASKS_PER_MERGE = 2_000
@@ -61,10 +63,10 @@ def blank_queries(questions: DataFrame) -> DataFrame:
     )
 
 
-def query_passes(queries: DataFrame, entries: str) -> Iterator[DataFrame]:
+def query_passes(queries: DataFrame, entries: str, budget: int) -> Iterator[DataFrame]:
     """Split queries by hash into passes small enough to broadcast; usually there is one."""
     n, total = queries.agg(F.count(F.lit(1)), F.sum(F.size(entries).cast("bigint"))).first()
-    passes = max(math.ceil(n / QUERIES_PER_PASS), math.ceil((total or 0) / ENTRIES_PER_PASS))
+    passes = max(math.ceil(n / QUERIES_PER_PASS), math.ceil((total or 0) / budget))
     for number in range(passes):
         in_pass = F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
         yield queries.where(in_pass) if passes > 1 else queries
@@ -143,7 +145,7 @@ def rank_chunks(
     check_top_k(k)
     id_field = queries.schema["query_id"]
     scans = []
-    for block in query_passes(queries, "tokens"):
+    for block in query_passes(queries, "tokens", TOKENS_PER_PASS):
         held = block.select("query_id", "tokens").toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
         scorers = {}
@@ -163,7 +165,7 @@ def rank_vectors(
     check_top_k(k)
     id_field = queries.schema["query_id"]
     scans = []
-    for block in query_passes(queries, "vector"):
+    for block in query_passes(queries, "vector", VECTOR_ENTRIES_PER_PASS):
         held = block.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
         vectors = np.array(held["vector"].to_pylist(), dtype=np.float64)
         scorers = {"dense": ("vectors", vectors)}

@@ -1,29 +1,38 @@
-"""A chunk table that documents are added to, replaced in and deleted from.
+"""A chunk table that documents are added to, replaced in and deleted from, with its index.
 
 Everything is plain Parquet that Spark appends to:
 
-* ``chunks/version=N``   the chunks ingested by change N,
+* ``chunks/version=N``   the chunks ingested by change N, with their tokens,
 * ``removed/version=N``  ids of documents whose chunks from earlier changes are void since N,
+* ``terms/version=N``    by how much change N raises or lowers document frequencies,
+* ``sizes/version=N``    the same for the numbers of chunks and tokens,
 * ``commits``            one row per finished change, written last.
 
-A change costs what it brings along, not a rewrite of the table; readers see only committed
-versions and may pin one. There is one writer at a time. ``compact`` folds the history.
+A change costs what it brings along, not a rewrite of the table or of the index statistics;
+readers see only committed versions and may pin one. There is one writer at a time, and a
+change that fails before its commit is overwritten by the next. ``compact`` folds the history.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
+from evidence_engine.functions.text import is_blank
 from evidence_engine.operators.chunking import chunk_documents, dedupe_documents, identify_documents
+from evidence_engine.operators.index import Index, document_frequency, with_tokens
 
-_COMMITS = "version bigint, base bigint, change string"
-_CHUNKS = (
-    "chunk_id string, document_id string, source string, text string, start_char int, end_char int, "
-    "metadata struct<chunk_index:int>, doc_ord string, version bigint"
-)
-_REMOVED = "document_id string, version bigint"
+_SCHEMAS = {
+    "commits": "version bigint, base bigint, change string",
+    "chunks": (
+        "chunk_id string, document_id string, source string, text string, start_char int, end_char int, "
+        "metadata struct<chunk_index:int>, doc_ord string, tokens array<string>, version bigint"
+    ),
+    "removed": "document_id string, version bigint",
+    "terms": "term string, df bigint, version bigint",
+    "sizes": "n_chunks bigint, n_tokens bigint, version bigint",
+}
 
 
 class ChunkStore:
@@ -36,58 +45,87 @@ class ChunkStore:
         """The latest committed version, 0 for an empty store."""
         return self._head()[0]
 
+    def load(self, version: int | None = None) -> DataFrame:
+        """The chunk table; ``doc_ord`` puts later ingested documents behind earlier ones."""
+        return self._live(version).drop("version", "tokens")
+
+    def index(self, version: int | None = None) -> Index:
+        """The chunks with their tokens, and statistics summed up from the changes."""
+        doc_freq = self._history("terms", version).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        sizes = self._history("sizes", version).agg(
+            F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")
+        )
+        average = F.when(F.col("n_chunks") > 0, F.col("n_tokens").cast("double") / F.col("n_chunks")).otherwise(0.0)
+        return Index(self._live(version).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
+
     def _head(self, version: int | None = None) -> tuple[int, int]:
-        commits = self._read("commits", _COMMITS)
+        commits = self._read("commits")
         if version is not None:
             commits = commits.where(F.col("version") <= version)
         head = commits.orderBy(F.desc("version")).select("version", "base").first()
         return (head["version"], head["base"]) if head else (0, 0)
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def _read(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
+            return self.spark.read.schema(_SCHEMAS[table]).parquet(f"{self.path}/{table}")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], _SCHEMAS[table])
 
-    def load(self, version: int | None = None) -> DataFrame:
-        """The chunk table; ``doc_ord`` puts later ingested documents behind earlier ones."""
-        return self._live(version).drop("version")
+    def _history(self, table: str, version: int | None = None) -> DataFrame:
+        """Rows of the changes from the base to the version asked for: whole partitions."""
+        head, base = self._head(version)
+        return self._read(table).where((F.col("version") >= base) & (F.col("version") <= head))
 
     def _live(self, version: int | None = None) -> DataFrame:
-        head, base = self._head(version)
-        in_history = (F.col("version") >= base) & (F.col("version") <= head)
-        chunks = self._read("chunks", _CHUNKS).where(in_history)
-        removed = self._read("removed", _REMOVED).where(in_history)
-        since = removed.groupBy("document_id").agg(F.max("version").alias("void_before"))
+        chunks = self._history("chunks", version)
+        since = self._history("removed", version).groupBy("document_id").agg(F.max("version").alias("void_before"))
         void = (chunks["document_id"] == since["document_id"]) & (chunks["version"] < since["void_before"])
         return chunks.join(since, void, "left_anti")
 
     # Changing
 
-    def _commit(self, version: int, base: int, change: str) -> None:
-        row = self.spark.createDataFrame([(version, base, change)], _COMMITS).coalesce(1)
-        row.write.mode("append").parquet(f"{self.path}/commits")
-
     def _write(self, rows: DataFrame, table: str, version: int) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{table}/version={version}")
-        return rows.sparkSession.read.schema(rows.schema).parquet(f"{self.path}/{table}/version={version}")
-
-    def _held(self, ids: DataFrame) -> DataFrame:
-        return self._live().select("document_id").join(ids, "document_id", "left_semi").distinct()
+        path = f"{self.path}/{table}/version={version}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
-    def replace_documents(self, chunks: DataFrame, ids: DataFrame | None = None) -> int:
-        """Put in the chunks of whole documents; what the store holds of these ids is void.
+    def _commit(self, version: int, base: int, change: str) -> None:
+        row = self.spark.createDataFrame([(version, base, change)], _SCHEMAS["commits"]).coalesce(1)
+        row.write.mode("append").parquet(f"{self.path}/commits")
 
-        ``ids`` names documents without any chunk. Replaced documents move to the end. Returns the version.
+    def _remove(self, ids: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+        """Note which of the documents are held; return their ids and their chunks."""
+        live = self._live()
+        held = live.select("document_id").join(ids, "document_id", "left_semi").distinct()
+        removed = self._write(held, "removed", version)
+        return removed, live.join(removed, "document_id", "left_semi")
+
+    def _count(self, added: DataFrame | None, removed: DataFrame | None, version: int) -> None:
+        """Write by how much the statistics change."""
+        parts = [(rows, sign) for rows, sign in ((added, 1), (removed, -1)) if rows is not None]
+        terms = [document_frequency(rows).withColumn("df", F.col("df") * sign) for rows, sign in parts]
+        sizes = [
+            rows.select(F.lit(sign).alias("n"), (sign * F.size("tokens")).cast("bigint").alias("tokens"))
+            for rows, sign in parts
+        ]
+        total_terms = _union(terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        self._write(total_terms, "terms", version)
+        total = _union(sizes).agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
+        self._write(total.select(_or_zero("n_chunks"), _or_zero("n_tokens")), "sizes", version)
+
+    def replace_documents(self, chunks: DataFrame) -> int:
+        """Put in the chunks of whole documents; what the store holds of these documents is void.
+
+        Replaced documents move to the end. Returns the new version.
         """
-        version, base = self._head()
-        version += 1
+        head, base = self._head()
+        version = head + 1
         later = F.concat(F.lpad(F.lit(version).cast("string"), 19, "0"), F.lit("\0"), F.col("doc_ord"))
-        written = self._write(chunks.withColumn("doc_ord", later), "chunks", version)
-        incoming = (ids if ids is not None else written).select("document_id").distinct()
-        self._write(self._held(incoming), "removed", version)
+        written = self._write(with_tokens(chunks.withColumn("doc_ord", later)), "chunks", version)
+        ids, void = self._remove(written.select("document_id"), version)
+        self._count(written, None if ids.isEmpty() else void, version)
         self._commit(version, base, "replace")
         return version
 
@@ -99,26 +137,41 @@ class ChunkStore:
         Equal documents count once and a repeated ingest replaces itself, so a retry is harmless.
         Blank documents are an error in strict mode and left out otherwise.
         """
-        if strict and not raw.where(F.coalesce(F.btrim("text", F.lit(fv.WHITESPACE)), F.lit("")) == "").isEmpty():
+        if strict and not raw.where(is_blank(F.col("text"))).isEmpty():
             raise ValueError("a document is blank")
         documents = dedupe_documents(identify_documents(raw))
         version = self.replace_documents(chunk_documents(documents, size, overlap))
-        written = self._read("chunks", _CHUNKS).where(F.col("version") == version)
+        written = self._read("chunks").where(F.col("version") == version)
         return written.groupBy("document_id", "source").agg(F.count(F.lit(1)).alias("chunk_count"))
 
     def delete_documents(self, ids: DataFrame) -> bool:
-        """Remove documents; False, and nothing written, if the store holds none of them."""
-        version, base = self._head()
-        held = self._held(ids.select("document_id"))
+        """Remove documents; False, and nothing committed, if the store holds none of them."""
+        head, base = self._head()
+        held, void = self._remove(ids.select("document_id"), head + 1)
         if held.isEmpty():
             return False
-        self._write(held, "removed", version + 1)
-        self._commit(version + 1, base, "delete")
+        self._count(None, void, head + 1)
+        self._commit(head + 1, base, "delete")
         return True
 
     def compact(self) -> int:
-        """Write the live chunks as a new base, so that reads skip the history before it."""
+        """Write the live chunks and their statistics as a new base; reads skip what lies before."""
         version = self.version() + 1
-        self._write(self.load(), "chunks", version)
+        index = self.index()
+        self._write(index.chunks, "chunks", version)
+        self._write(index.doc_freq, "terms", version)
+        sizes = self._history("sizes").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+        self._write(sizes.select(_or_zero("n_chunks"), _or_zero("n_tokens")), "sizes", version)
         self._commit(version, version, "compact")
         return version
+
+
+def _or_zero(column: str) -> Column:
+    return F.coalesce(column, F.lit(0)).cast("bigint").alias(column)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    first, *others = parts
+    for other in others:
+        first = first.unionByName(other)
+    return first

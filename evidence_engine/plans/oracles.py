@@ -4,6 +4,7 @@ come from a recursive query, rankings from scoring every query-chunk pair."""
 from __future__ import annotations
 
 from evidence_engine import fixed_values as fv
+from evidence_engine.plans.blake2b_sql import blake2b_ctes
 
 KS = fv.EVALUATION_KS
 WS = "'" + fv.WHITESPACE + "'"
@@ -127,9 +128,12 @@ dense_ranked{tag} AS (
          ORDER BY score DESC, doc_ord, chunk_index) AS rank FROM dense_scores{tag})"""
 
 
-def md5_hashes(tag: str = "") -> str:
-    return f"""SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h
-    FROM (SELECT term FROM doc_freq{tag} UNION SELECT term FROM query_terms)"""
+def all_terms(*tags: str) -> str:
+    return " UNION ".join([f"SELECT term FROM doc_freq{tag}" for tag in tags] + ["SELECT term FROM query_terms"])
+
+
+MD5 = f"SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h FROM ({all_terms('')})"
+BLAKE2B = "SELECT term, h FROM blake2b"
 
 
 def hits(strategies=fv.STRATEGIES, ks=KS, tag: str = "", rrf_k=fv.RRF_K, dense_weight=1.0, sparse_weight=1.0) -> str:
@@ -161,16 +165,24 @@ hits{tag} AS (
   FROM ({union}) JOIN (SELECT chunk_id, document_id, source, text FROM chunks{tag}) USING (chunk_id))"""
 
 
-def retrieval(strategies=fv.STRATEGIES, ks=KS, dimension=fv.HASH_DIMENSION, hashes=None, size=None, tag="", **fusion) -> str:
-    """All steps from documents to hits."""
-    parts = [chunks(size or fv.CHUNK_SIZE, fv.CHUNK_OVERLAP, tag), index(tag)]
+def ranking(strategies, ks, dimension=fv.HASH_DIMENSION, hashes=BLAKE2B, tag="", **fusion) -> str:
+    """From an index and hashed terms to hits."""
+    parts = []
     if set(strategies) != {"dense"}:
         parts.append(bm25(tag))
     if set(strategies) != {"bm25"}:
-        parts.append(hashed(dimension, hashes or md5_hashes(tag), tag))
+        parts.append(hashed(dimension, hashes, tag))
     return ",".join([*parts, hits(strategies, ks, tag, **fusion)])
 
 
+def retrieval(strategies=fv.STRATEGIES, ks=KS, hashes=BLAKE2B, **options) -> str:
+    """All steps from documents to hits."""
+    parts = [chunks(), index()]
+    if hashes == BLAKE2B and set(strategies) != {"bm25"}:
+        parts.append(blake2b_ctes(all_terms("")))
+    return ",".join([*parts, ranking(strategies, ks, hashes=hashes, **options)])
+
+
 def query(*ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {','.join(c.strip() for c in ctes)}\n{select}"
 
@@ -281,12 +293,32 @@ _MESSY = "role || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)
 _TABLE_TOKENS = (DOCS, chunks())
 _INDEXED = (DOCS, chunks(), index())
 
+SIZES = (300, 500, 800)
+
+
+def _embedded(*steps: str) -> str:
+    return query(*_INDEXED, QUESTIONS, *steps, select="""
+        SELECT chunk_id, bucket, n AS count, round(n / length, 6) AS value
+        FROM chunk_vectors JOIN chunk_norms USING (chunk_id)""")
+
+
 ABLATION = query(
     DOCS,
     QUESTIONS,
     CASES,
-    *(part for s in (300, 500, 800) for part in (retrieval(size=s, tag=f"_{s}"), scores(f"_{s}"))),
-    select=" UNION ALL ".join(f"SELECT *, {s}::INTEGER AS chunk_size FROM metrics_{s}" for s in (300, 500, 800)),
+    *(part for n in SIZES for part in (chunks(n, fv.CHUNK_OVERLAP, f"_{n}"), index(f"_{n}"))),
+    blake2b_ctes(all_terms(*(f"_{n}" for n in SIZES))),
+    *(part for n in SIZES for part in (ranking(fv.STRATEGIES, KS, tag=f"_{n}"), scores(f"_{n}"))),
+    select=" UNION ALL ".join(f"SELECT *, {n}::INTEGER AS chunk_size FROM metrics_{n}" for n in SIZES),
+)
+
+# English documents ingested again, German ones deleted.
+CHANGED = (
+    DOCS.replace("docs AS (", "all_docs AS (")
+    + """,
+docs AS (
+  SELECT * REPLACE (CASE WHEN lang = 'en' THEN '2' ELSE '1' END || chr(0) || doc_ord AS doc_ord)
+  FROM all_docs WHERE lang <> 'de')"""
 )
 
 ORACLES = {
@@ -332,11 +364,11 @@ ORACLES = {
         FROM chunks GROUP BY ALL ORDER BY source"""),
     "category_counts": query(DOCS, CASES, select="SELECT category, count(*) AS case_count FROM cases GROUP BY ALL"),
     "dataset_summary": query(DOCS, chunks(), CASES, SUMMARY, select="SELECT * FROM summary"),
-    "hash_embed": query(*_INDEXED, QUESTIONS, hashed(fv.HASH_DIMENSION, md5_hashes()), select="""
-        SELECT chunk_id, bucket, n AS count, round(n / length, 6) AS value
-        FROM chunk_vectors JOIN chunk_norms USING (chunk_id)"""),
+    "hash_embed": _embedded(blake2b_ctes(all_terms("")), hashed(fv.HASH_DIMENSION, BLAKE2B)),
+    "hash_embed_md5": _embedded(hashed(fv.HASH_DIMENSION, MD5)),
     "cosine": query(CENTROIDS, select="SELECT vec_id, label, round(score, 6) AS score FROM cosines WHERE query_id = label"),
     "dense_topk": _search(("dense",)),
+    "dense_topk_md5": _search(("dense",), hashes=MD5),
     "dense_topk_odd_dimension": _search(("dense",), dimension=7),
     "dense_topk_external": query(CENTROIDS, select="""SELECT k, query_id, rank, chunk_id, source,
         round(score, 6) AS score FROM vector_hits"""),
@@ -355,6 +387,9 @@ ORACLES = {
     "rrf_fuse": _search(("hybrid",)),
     "rrf_fuse_weighted": _search(("hybrid",), rrf_k=10, dense_weight=0.25, sparse_weight=2.0),
     "strategy_search": _search(fv.STRATEGIES, KS),
+    "hybrid_search": query(DOCS, QUESTIONS, FIVE, select="""SELECT query_id, rank, chunk_id, document_id, source, text,
+        round(score, 6) AS score FROM hits"""),
+    "search_after_changes": query(CHANGED, QUESTIONS, FIVE, select=f"SELECT {HIT_COLUMNS} FROM hits"),
     "citation_projection": query(DOCS, QUESTIONS, FIVE, CITATION, select="SELECT * FROM cited"),
     "ingest_documents": query(DOCS, chunks(), select="""SELECT document_id, source, count(*) AS chunk_count
         FROM chunks GROUP BY ALL"""),

@@ -15,7 +15,6 @@ from evidence_engine.sources.scratch import materialize, scratch_path, spread
 
 KS = fv.EVALUATION_KS
 ABLATION_SIZES = (300, 500, 800)
-CHECKED = {"family": "md5"}  # a hash that SQL engines have, so that dense results can be checked
 HIT_COLUMNS = ("strategy", "k", "query_id", "rank", "chunk_id", "source", "dense_rank", "sparse_rank")
 
 
@@ -46,7 +45,7 @@ def flat(chunks: DataFrame) -> DataFrame:
 def found(spark, sf_dir, strategies=("hybrid",), ks=(fv.TOP_K,), keep=retrieval.CHUNK_COLUMNS, **options):
     """Hits over the written index."""
     corpus = given.corpus_index(spark, sf_dir)
-    return retrieval.search(corpus, prepared(spark, sf_dir), strategies, ks, keep, **(options or CHECKED))
+    return retrieval.search(corpus, prepared(spark, sf_dir), strategies, ks, keep, **options)
 
 
 def shown(hits: DataFrame) -> DataFrame:
@@ -180,9 +179,14 @@ def chunk_documents(spark, sf_dir):
 def preferred_end(spark, sf_dir):
     """End of the first window of every document that is longer than a window."""
     normalized = given.documents(spark, sf_dir).select("document_id", tx.normalize(F.col("text")).alias("text"))
-    window = F.substring("text", 1, fv.CHUNK_SIZE)
-    end = window_end(window, int(fv.CHUNK_SIZE * fv.BREAK_SEARCH_FROM), F.lit(fv.CHUNK_SIZE))
-    return normalized.where(F.length("text") > fv.CHUNK_SIZE).select("document_id", end.alias("end_char"))
+    size = F.lit(fv.CHUNK_SIZE)
+
+    def first_end(text):
+        window = F.substring(text, F.lit(1), size)
+        return F.when(F.length(text) > size, window_end(window, int(fv.CHUNK_SIZE * fv.BREAK_SEARCH_FROM), size))
+
+    ends = normalized.select("document_id", tx.let(F.col("text"), first_end).alias("end_char"))
+    return ends.where(F.col("end_char").isNotNull())
 
 
 def tokenize(spark, sf_dir):
@@ -239,12 +243,13 @@ def dataset_summary(spark, sf_dir):
 
 
 def hash_embed(spark, sf_dir):
-    embedded = vectors.hash_embed(given.corpus_index(spark, sf_dir).chunks, family="md5")
+    embedded = vectors.hash_embed(given.corpus_index(spark, sf_dir).chunks)
     return embedded.withColumn("value", F.round("value", 6))
 
 
-def hash_embed_blake2b(spark, sf_dir):
-    embedded = vectors.hash_embed(given.corpus_index(spark, sf_dir).chunks)
+def hash_embed_md5(spark, sf_dir):
+    """A second hash family, for engines that lack BLAKE2b."""
+    embedded = vectors.hash_embed(given.corpus_index(spark, sf_dir).chunks, family="md5")
     return embedded.withColumn("value", F.round("value", 6))
 
 
@@ -259,13 +264,13 @@ def dense_topk(spark, sf_dir):
     return shown(found(spark, sf_dir, ("dense",)))
 
 
-def dense_topk_blake2b(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("dense",), family="blake2b"))
+def dense_topk_md5(spark, sf_dir):
+    return shown(found(spark, sf_dir, ("dense",), family="md5"))
 
 
 def dense_topk_odd_dimension(spark, sf_dir):
     """Seven buckets: signs cancel within a bucket and cosines may be negative."""
-    return shown(found(spark, sf_dir, ("dense",), dimension=7, **CHECKED))
+    return shown(found(spark, sf_dir, ("dense",), dimension=7))
 
 
 def external_hits(spark, sf_dir):
@@ -304,7 +309,7 @@ def rrf_fuse(spark, sf_dir):
 
 
 def rrf_fuse_weighted(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("hybrid",), rrf_k=10, dense_weight=0.25, sparse_weight=2.0, **CHECKED))
+    return shown(found(spark, sf_dir, ("hybrid",), rrf_k=10, dense_weight=0.25, sparse_weight=2.0))
 
 
 def strategy_search(spark, sf_dir):
@@ -312,8 +317,9 @@ def strategy_search(spark, sf_dir):
 
 
 def hybrid_search(spark, sf_dir):
-    """The default search: BLAKE2b hashing, fused with BM25."""
-    return shown(found(spark, sf_dir, ("hybrid",), family="blake2b"))
+    """The default search, with what is shown of a hit."""
+    hits = found(spark, sf_dir)
+    return hits.select("query_id", "rank", *retrieval.CHUNK_COLUMNS, F.round("score", 6).alias("score"))
 
 
 def citation_projection(spark, sf_dir):
@@ -362,6 +368,21 @@ def ingest_stream(spark, sf_dir):
     return chunking.list_documents(ChunkStore(spark, target).load())
 
 
+def search_after_changes(spark, sf_dir):
+    """Ingest everything, the English documents again, delete the German ones; then search.
+
+    The store's statistics are sums over these changes, and English documents now come last.
+    """
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    store.ingest(given.raw_documents(spark, sf_dir).select("source", "text"))
+    languages = given.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    uploads = given.raw_documents(spark, sf_dir).join(languages, "doc_id")
+    store.ingest(uploads.where("lang = 'en'").select("source", "text"))
+    german = chunking.identify_documents(uploads.where("lang = 'de'").select("source", "text"))
+    store.delete_documents(german.select("document_id"))
+    return shown(retrieval.search(store.index(), prepared(spark, sf_dir)))
+
+
 # Answers
 
 
@@ -387,8 +408,12 @@ def answer_queries(spark, sf_dir):
 # Evaluation
 
 
-def evaluated_hits(spark, sf_dir):
-    return found(spark, sf_dir, fv.STRATEGIES, KS, keep=("source",))
+def evaluated_hits(spark, sf_dir, corpus=None):
+    """Only cases that can be answered are searched for."""
+    asked = given.cases(spark, sf_dir).where("should_answer")
+    prepared_cases = retrieval.prepare_queries(asked.select(F.col("case_id").alias("query_id"), "question"))
+    corpus = corpus or given.corpus_index(spark, sf_dir)
+    return retrieval.search(corpus, prepared_cases, fv.STRATEGIES, KS, ("source",))
 
 
 def case_scores(spark, sf_dir):
@@ -502,11 +527,10 @@ def report_tables(spark, sf_dir):
 def chunk_ablation(spark, sf_dir):
     """The same evaluation under several chunk sizes."""
     cases, wanted = given.cases(spark, sf_dir), given.relevance(spark, sf_dir).select("case_id", "source")
-    asked = prepared(spark, sf_dir)
     tables = []
     for size in ABLATION_SIZES:
         corpus = given.corpus_index(spark, sf_dir, size)
-        hits = retrieval.search(corpus, asked, fv.STRATEGIES, KS, ("source",), **CHECKED)
+        hits = evaluated_hits(spark, sf_dir, corpus)
         metrics = evaluation.eval_metrics(evaluation.score_cases(cases, wanted, hits, fv.STRATEGIES, KS))
         tables.append(metrics.withColumn("chunk_size", F.lit(size)))
     first, *others = tables
@@ -544,10 +568,10 @@ QUERIES = {
         category_counts,
         dataset_summary,
         hash_embed,
-        hash_embed_blake2b,
+        hash_embed_md5,
         cosine,
         dense_topk,
-        dense_topk_blake2b,
+        dense_topk_md5,
         dense_topk_odd_dimension,
         dense_topk_external,
         external_metrics,
@@ -562,6 +586,7 @@ QUERIES = {
         replace_document,
         delete_document,
         ingest_stream,
+        search_after_changes,
         extractive_answer,
         build_context,
         prompt_table,
