@@ -12,6 +12,10 @@ from evidence_engine.functions.text import let, strip
 # from the text itself would take quadratic time on long documents.
 _PIECE = 2048
 
+# Appending to an array copies it, so windows are gathered in blocks of this many, and the
+# blocks in an array: linear time again.
+_BLOCK = 256
+
 _WINDOWS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -42,7 +46,8 @@ def chunk_windows(normalized: Column, size: int = fv.CHUNK_SIZE, overlap: int =
     """``ARRAY<STRUCT<start, end, text>>`` of the non-blank windows of a normalized text.
 
     Offsets count code points of the normalized text before the window is stripped. A window
-    starts where its predecessor ends less ``overlap``, so the array is built by a fold.
+    starts where its predecessor ends less ``overlap``, so the array is built by a fold; the
+    number of windows is bounded by how far a window advances at least.
     """
     check_chunk_params(size, overlap)
     search_from = int(size * fv.BREAK_SEARCH_FROM)
@@ -88,11 +93,26 @@ def chunk_windows(normalized: Column, size: int = fv.CHUNK_SIZE, overlap: int =
             step = let(let(window_at(start), with_window), next_state)
             return F.when(start < 0, state).otherwise(step)
 
+        def gather(state: Column, _: Column) -> Column:
+            block = F.aggregate(
+                F.sequence(F.lit(1), F.least(steps, F.lit(_BLOCK))),
+                F.struct(state["next"].alias("next"), F.array().cast(_WINDOWS).alias("found")),
+                advance,
+            )
+            longer = let(
+                block,
+                lambda b: F.struct(
+                    b["next"].alias("next"), F.concat(state["blocks"], F.array(b["found"])).alias("blocks")
+                ),
+            )
+            return F.when(state["next"] < 0, state).otherwise(longer)
+
+        steps = F.floor(length / least_advance).cast("int") + 1
         return F.aggregate(
-            F.sequence(F.lit(0), F.floor(length / least_advance).cast("int")),
-            F.struct(F.lit(0).alias("next"), F.array().cast(_WINDOWS).alias("found")),
-            advance,
-            lambda state: state["found"],
+            F.sequence(F.lit(0), F.floor(steps / _BLOCK).cast("int")),
+            F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{_WINDOWS}>").alias("blocks")),
+            gather,
+            lambda state: F.flatten(state["blocks"]),
         )
 
     def cut(text: Column) -> Column:

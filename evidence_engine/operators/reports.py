@@ -35,13 +35,18 @@ def dataset_warnings(summary: DataFrame) -> DataFrame:
     return summary.select(F.inline(F.array(*rules))).where("applies").drop("applies")
 
 
-def indistinguishable_warning(metrics: DataFrame) -> DataFrame:
-    """One row if at least two strategies have the same rounded metrics at every K."""
+def indistinguishable(metrics: DataFrame) -> DataFrame:
+    """One row ``applies``: at least two strategies, with the same rounded metrics at every K."""
     per_k = metrics.groupBy("k").agg(
         F.count_distinct("strategy").alias("strategies"), F.count_distinct(F.struct(*METRICS)).alias("outcomes")
     )
-    same = per_k.agg((F.bool_and(F.col("outcomes") == 1) & (F.max("strategies") > 1)).alias("applies"))
-    return same.where("applies").select(
+    same = F.bool_and(F.col("outcomes") == 1) & (F.max("strategies") > 1)
+    return per_k.agg(F.coalesce(same, F.lit(False)).alias("applies"))
+
+
+def indistinguishable_warning(metrics: DataFrame) -> DataFrame:
+    """The warning in one row, or no row."""
+    return indistinguishable(metrics).where("applies").select(
         F.lit(len(fv.SIZE_WARNINGS) + 1).alias("warning_no"), F.lit(fv.INDISTINGUISHABLE_WARNING).alias("warning")
     )
 

@@ -15,6 +15,8 @@ change that fails before its commit is overwritten by the next. ``compact`` fold
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -110,9 +112,9 @@ class ChunkStore:
             rows.select(F.lit(sign).alias("n"), (sign * F.size("tokens")).cast("bigint").alias("tokens"))
             for rows, sign in parts
         ]
-        total_terms = _union(terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        total_terms = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
         self._write(total_terms, "terms", version)
-        total = _union(sizes).agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
+        total = reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
         self._write(total.select(_or_zero("n_chunks"), _or_zero("n_tokens")), "sizes", version)
 
     def replace_documents(self, chunks: DataFrame) -> int:
@@ -168,10 +170,3 @@ class ChunkStore:
 
 def _or_zero(column: str) -> Column:
     return F.coalesce(column, F.lit(0)).cast("bigint").alias(column)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    first, *others = parts
-    for other in others:
-        first = first.unionByName(other)
-    return first

@@ -429,7 +429,9 @@ ORACLES = {
     "compare_strategies": _evaluated("SELECT * FROM metrics ORDER BY strategy, k"),
     "dataset_warnings": query(DOCS, chunks(), CASES, SUMMARY, select=f"""SELECT warning_no::INTEGER AS warning_no, warning
         FROM {SIZE_WARNINGS} JOIN {COUNTS} USING (item) WHERE n < least"""),
-    "indistinguishable_warning": f"SELECT 4::INTEGER AS warning_no, {lit(fv.INDISTINGUISHABLE_WARNING)} AS warning",
+    "indistinguishable_warning": _evaluated("""SELECT l.strategy || '-' || r.strategy AS pair, bool_and(
+          l.hit_rate = r.hit_rate AND l.recall = r.recall AND l.mrr = r.mrr AND l.ndcg = r.ndcg) AS applies
+        FROM metrics l JOIN metrics r ON l.k = r.k AND l.strategy <= r.strategy GROUP BY ALL"""),
     "report_tables": _evaluated(
         f"""
         SELECT 'results' AS section, strategy AS item, k, metric, value, NULL::VARCHAR AS label

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
@@ -473,9 +475,16 @@ def dataset_warnings(spark, sf_dir):
 
 
 def indistinguishable_warning(spark, sf_dir):
-    """BM25 against itself under another name: no difference to see."""
-    metrics = materialize(eval_metrics(spark, sf_dir), "metrics").where("strategy = 'bm25'")
-    return reports.indistinguishable_warning(metrics.unionByName(metrics.withColumn("strategy", F.lit("again"))))
+    """For every pair of strategies, also of one with itself: whether the metrics tell them apart."""
+    metrics = materialize(eval_metrics(spark, sf_dir), "metrics")
+    tables = []
+    for number, left in enumerate(fv.STRATEGIES):
+        for right in fv.STRATEGIES[number:]:
+            one = metrics.where(F.col("strategy") == left)
+            other = metrics.where(F.col("strategy") == right).withColumn("strategy", F.lit("other"))
+            outcome = reports.indistinguishable(one.unionByName(other))
+            tables.append(outcome.select(F.lit(f"{left}-{right}").alias("pair"), "applies"))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def report_tables(spark, sf_dir):
@@ -533,10 +542,7 @@ def chunk_ablation(spark, sf_dir):
         hits = evaluated_hits(spark, sf_dir, corpus)
         metrics = evaluation.eval_metrics(evaluation.score_cases(cases, wanted, hits, fv.STRATEGIES, KS))
         tables.append(metrics.withColumn("chunk_size", F.lit(size)))
-    first, *others = tables
-    for other in others:
-        first = first.unionByName(other)
-    return first
+    return reduce(DataFrame.unionByName, tables)
 
 
 QUERIES = {

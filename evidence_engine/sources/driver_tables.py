@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
@@ -12,7 +15,7 @@ from evidence_engine.sources.scratch import scratch_path, spread
 
 ANCHOR_WORDS = 4
 
-_INDEXES: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, source, text``; the source is made unique so that it is a path of one document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
-    return spread(documents, "doc_id").withColumn("source", path)
+    return spread(documents, "doc_id").withColumn("source", _path())
+
+
+def _path() -> Column:
+    return F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,25 +42,39 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_once(spark: SparkSession, name: str, key: tuple, write: Callable[[str], object]) -> str:
+    """Path of a derived table that one application writes once and then reads many times."""
+    key = (spark.sparkContext.applicationId, name, *key)
+    if key in _WRITTEN:
+        try:
+            spark.read.text(f"{_WRITTEN[key]}/*/_SUCCESS")
+            return _WRITTEN[key]
+        except AnalysisException:  # cleared in the meantime
+            pass
+    path = scratch_path(spark, name)
+    write(path)
+    _WRITTEN[key] = path
+    return path
+
+
 def corpus_index(
     spark: SparkSession, sf_dir: str, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP
 ) -> Index:
     """The written index of the documents, built once per application and chunking."""
-    key = (spark.sparkContext.applicationId, sf_dir, size, overlap)
-    if key not in _INDEXES:
-        path = scratch_path(spark, f"index-{size}-{overlap}")
+
+    def write(path: str) -> None:
         write_index(chunk_documents(documents(spark, sf_dir), size, overlap), path)
-        _INDEXES[key] = path
-    return read_index(spark, _INDEXES[key])
+
+    return read_index(spark, written_once(spark, "index", (sf_dir, size, overlap), write))
 
 
-def _words(text):
+def _words(text: Column) -> Column:
     """Words between blanks and line ends."""
     squeezed = F.regexp_replace(text, "[ \t\r\n]+", " ")
     return F.split(F.trim(squeezed), " ")
 
 
-def _anchors(words, length: int):
+def _anchors(words: Column, length: int) -> Column:
     """Hashes of all runs of ``length`` neighbouring words."""
     return tx.let(
         words,
@@ -98,23 +118,17 @@ def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``case_id, source, lang, doc_ord``: the documents in which a question's text occurs."""
-    key = (spark.sparkContext.applicationId, sf_dir, "relevance")
-    if key not in _INDEXES:
+
+    def write(path: str) -> None:
         texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
         found = find_passages(texts, table(spark, sf_dir, "benchmark"))
-        langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-        sources = raw_documents(spark, sf_dir).select("doc_id", "source")
-        rows = (
-            found.join(sources, "doc_id")
-            .join(langs, "doc_id")
-            .select(
-                F.col("item_id").alias("case_id"), "source", "lang", tx.path_order(F.col("source")).alias("doc_ord")
-            )
+        named = table(spark, sf_dir, "documents").select("doc_id", _path().alias("source"), "lang")
+        rows = found.join(named, "doc_id").select(
+            F.col("item_id").alias("case_id"), "source", "lang", tx.path_order(F.col("source")).alias("doc_ord")
         )
-        path = scratch_path(spark, "relevance")
-        rows.write.parquet(path)
-        _INDEXES[key] = path
-    return spark.read.parquet(_INDEXES[key])
+        rows.write.parquet(f"{path}/rows")
+
+    return spark.read.parquet(written_once(spark, "relevance", (sf_dir,), write) + "/rows")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
