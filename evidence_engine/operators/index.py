@@ -11,7 +11,7 @@ from evidence_engine.functions.text import term_counts, tokenize
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks`` carry their tokens; the other tables are the corpus statistics."""
+    """``chunks`` carry their tokens and their number; the other tables are the corpus statistics."""
 
     chunks: DataFrame
     doc_freq: DataFrame
@@ -19,7 +19,9 @@ class Index:
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("tokens", tokenize(F.col("text")))
+    """Add ``tokens`` and ``n_tokens``; statistics of lengths then read one narrow column."""
+    tokens = chunks.withColumn("tokens", tokenize(F.col("text")))
+    return tokens.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
 def term_frequency(token_chunks: DataFrame) -> DataFrame:
@@ -37,12 +39,12 @@ def document_frequency(token_chunks: DataFrame) -> DataFrame:
 
 
 def chunk_length(token_chunks: DataFrame) -> DataFrame:
-    return token_chunks.select("chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    return token_chunks.select("chunk_id", "n_tokens")
 
 
 def corpus_stats(token_chunks: DataFrame) -> DataFrame:
     """One row; chunks without tokens count in both numbers."""
-    total = F.sum(F.size("tokens").cast("bigint"))
+    total = F.sum("n_tokens")
     count = F.count(F.lit(1))
     return token_chunks.agg(
         count.alias("n_chunks"),

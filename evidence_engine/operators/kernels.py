@@ -173,7 +173,7 @@ class BestPool:
     def add(self, table: pa.Table) -> None:
         self.tables.append(table)
         self.rows += len(table)
-        if self.rows > max(POOL_ROWS, 4 * self.n_queries * self.k):
+        if self.rows > max(POOL_ROWS, 2 * self.n_queries * self.k):
             self.compact()
 
     def compact(self) -> pa.Table | None:

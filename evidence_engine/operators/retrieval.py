@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(kernels)
 QUERIES_PER_PASS = 256
 TOKENS_PER_PASS = 30_000
 VECTOR_ENTRIES_PER_PASS = 1_000_000
+# What a task keeps is queries x K rows.
+CANDIDATES_PER_PASS = 50_000
 
 # Scans of more tasks than this merge their candidates in two steps.
 TASKS_PER_MERGE = 2_000
@@ -63,10 +65,11 @@ def blank_queries(questions: DataFrame) -> DataFrame:
     )
 
 
-def query_passes(queries: DataFrame, entries: str, budget: int) -> Iterator[DataFrame]:
+def query_passes(queries: DataFrame, entries: str, budget: int, k: int = 1) -> Iterator[DataFrame]:
     """Split queries by hash into passes small enough to broadcast; usually there is one."""
     n, total = queries.agg(F.count(F.lit(1)), F.sum(F.size(entries).cast("bigint"))).first()
-    passes = max(math.ceil(n / QUERIES_PER_PASS), math.ceil((total or 0) / budget))
+    shares = (n / QUERIES_PER_PASS, (total or 0) / budget, n * k / CANDIDATES_PER_PASS)
+    passes = math.ceil(max(shares))
     for number in range(passes):
         in_pass = F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
         yield queries.where(in_pass) if passes > 1 else queries
@@ -145,7 +148,7 @@ def rank_chunks(
     check_top_k(k)
     id_field = queries.schema["query_id"]
     scans = []
-    for block in query_passes(queries, "tokens", TOKENS_PER_PASS):
+    for block in query_passes(queries, "tokens", TOKENS_PER_PASS, k):
         held = block.select("query_id", "tokens").toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
         scorers = {}
@@ -165,7 +168,7 @@ def rank_vectors(
     check_top_k(k)
     id_field = queries.schema["query_id"]
     scans = []
-    for block in query_passes(queries, "vector", VECTOR_ENTRIES_PER_PASS):
+    for block in query_passes(queries, "vector", VECTOR_ENTRIES_PER_PASS, k):
         held = block.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
         vectors = np.array(held["vector"].to_pylist(), dtype=np.float64)
         scorers = {"dense": ("vectors", vectors)}

@@ -25,7 +25,7 @@ def bm25_score(
     query_terms = queries.select("query_id", F.inline(term_counts(F.col("tokens")))).withColumnRenamed("tf", "qtf")
     weighted = query_terms.join(index.doc_freq, "term")
     wanted = index.chunks.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    postings = wanted.select("chunk_id", F.size("tokens").alias("n_tokens"), F.inline(term_counts(F.col("tokens"))))
+    postings = wanted.select("chunk_id", "n_tokens", F.inline(term_counts(F.col("tokens"))))
     stats = index.stats
     n_chunks = stats.select("n_chunks").scalar()
     average = stats.select(F.coalesce(F.nullif("avg_len", F.lit(0.0)), F.lit(1.0))).scalar()

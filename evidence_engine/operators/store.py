@@ -9,16 +9,18 @@ Everything is plain Parquet that Spark appends to:
 * ``commits``            one row per finished change, written last.
 
 A change costs what it brings along, not a rewrite of the table or of the index statistics;
-readers see only committed versions and may pin one. There is one writer at a time, and a
-change that fails before its commit is overwritten by the next. ``compact`` folds the history.
+readers see only committed versions and may pin one. There is one writer at a time. Every change
+writes its part of all tables, empty or not, so nothing is left of one that failed before its
+commit. ``compact`` folds the history.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import is_blank
@@ -29,7 +31,7 @@ _SCHEMAS = {
     "commits": "version bigint, base bigint, change string",
     "chunks": (
         "chunk_id string, document_id string, source string, text string, start_char int, end_char int, "
-        "metadata struct<chunk_index:int>, doc_ord string, tokens array<string>, version bigint"
+        "metadata struct<chunk_index:int>, doc_ord string, tokens array<string>, n_tokens bigint, version bigint"
     ),
     "removed": "document_id string, version bigint",
     "terms": "term string, df bigint, version bigint",
@@ -37,6 +39,11 @@ _SCHEMAS = {
 }
 
 
+class Head(NamedTuple):
+    version: int
+    base: int
+
+
 class ChunkStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -45,27 +52,26 @@ class ChunkStore:
 
     def version(self) -> int:
         """The latest committed version, 0 for an empty store."""
-        return self._head()[0]
+        return self._head().version
 
     def load(self, version: int | None = None) -> DataFrame:
         """The chunk table; ``doc_ord`` puts later ingested documents behind earlier ones."""
-        return self._live(version).drop("version", "tokens")
+        return self._live(self._head(version)).drop("version", "tokens", "n_tokens")
 
     def index(self, version: int | None = None) -> Index:
         """The chunks with their tokens, and statistics summed up from the changes."""
-        doc_freq = self._history("terms", version).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        sizes = self._history("sizes", version).agg(
-            F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.sum("n_tokens").alias("n_tokens")
-        )
+        head = self._head(version)
+        doc_freq = self._history("terms", head).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        sizes = self._sizes(head)
         average = F.when(F.col("n_chunks") > 0, F.col("n_tokens").cast("double") / F.col("n_chunks")).otherwise(0.0)
-        return Index(self._live(version).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
+        return Index(self._live(head).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
 
-    def _head(self, version: int | None = None) -> tuple[int, int]:
+    def _head(self, version: int | None = None) -> Head:
         commits = self._read("commits")
         if version is not None:
             commits = commits.where(F.col("version") <= version)
         head = commits.orderBy(F.desc("version")).select("version", "base").first()
-        return (head["version"], head["base"]) if head else (0, 0)
+        return Head(head["version"], head["base"]) if head else Head(0, 0)
 
     def _read(self, table: str) -> DataFrame:
         try:
@@ -75,61 +81,67 @@ class ChunkStore:
                 raise
             return self.spark.createDataFrame([], _SCHEMAS[table])
 
-    def _history(self, table: str, version: int | None = None) -> DataFrame:
-        """Rows of the changes from the base to the version asked for: whole partitions."""
-        head, base = self._head(version)
-        return self._read(table).where((F.col("version") >= base) & (F.col("version") <= head))
+    def _history(self, table: str, head: Head) -> DataFrame:
+        """Rows of the changes from the base to the head: whole partitions."""
+        return self._read(table).where((F.col("version") >= head.base) & (F.col("version") <= head.version))
 
-    def _live(self, version: int | None = None) -> DataFrame:
-        chunks = self._history("chunks", version)
-        since = self._history("removed", version).groupBy("document_id").agg(F.max("version").alias("void_before"))
+    def _live(self, head: Head) -> DataFrame:
+        chunks = self._history("chunks", head)
+        since = self._history("removed", head).groupBy("document_id").agg(F.max("version").alias("void_before"))
         void = (chunks["document_id"] == since["document_id"]) & (chunks["version"] < since["void_before"])
         return chunks.join(since, void, "left_anti")
 
+    def _sizes(self, head: Head) -> DataFrame:
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_chunks", "n_tokens")]
+        return self._history("sizes", head).agg(*sums)
+
     # Changing
 
-    def _write(self, rows: DataFrame, table: str, version: int) -> DataFrame:
+    def _write(self, rows: DataFrame | None, table: str, version: int) -> DataFrame:
+        schema = self._read(table).drop("version").schema
         path = f"{self.path}/{table}/version={version}"
+        rows = self.spark.createDataFrame([], schema).coalesce(1) if rows is None else rows.select(*schema.names)
         rows.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _commit(self, version: int, base: int, change: str) -> None:
         row = self.spark.createDataFrame([(version, base, change)], _SCHEMAS["commits"]).coalesce(1)
         row.write.mode("append").parquet(f"{self.path}/commits")
 
-    def _remove(self, ids: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
-        """Note which of the documents are held; return their ids and their chunks."""
-        live = self._live()
-        held = live.select("document_id").join(ids, "document_id", "left_semi").distinct()
-        removed = self._write(held, "removed", version)
-        return removed, live.join(removed, "document_id", "left_semi")
+    def _change(self, head: Head, change: str, chunks: DataFrame | None, ids: DataFrame | None = None) -> bool:
+        """Write new chunks, void what is held of their documents (or of ``ids``), and commit.
 
-    def _count(self, added: DataFrame | None, removed: DataFrame | None, version: int) -> None:
-        """Write by how much the statistics change."""
-        parts = [(rows, sign) for rows, sign in ((added, 1), (removed, -1)) if rows is not None]
+        Without new chunks and with nothing to void, nothing is committed: False.
+        """
+        version = head.version + 1
+        added = self._write(chunks, "chunks", version)
+        live = self._live(head)
+        touched = (added if ids is None else ids).select("document_id")
+        held = live.join(touched, "document_id", "left_semi").select("document_id")
+        removed = self._write(held.distinct(), "removed", version)
+        voided = None if removed.isEmpty() else live.join(removed, "document_id", "left_semi")
+        if chunks is None and voided is None:
+            return False
+        parts = [(rows, sign) for rows, sign in ((added, 1), (voided, -1)) if rows is not None]
         terms = [document_frequency(rows).withColumn("df", F.col("df") * sign) for rows, sign in parts]
-        sizes = [
-            rows.select(F.lit(sign).alias("n"), (sign * F.size("tokens")).cast("bigint").alias("tokens"))
-            for rows, sign in parts
-        ]
-        total_terms = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
-        self._write(total_terms, "terms", version)
-        total = reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("n_chunks"), F.sum("tokens").alias("n_tokens"))
-        self._write(total.select(_or_zero("n_chunks"), _or_zero("n_tokens")), "sizes", version)
+        total = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df"))
+        self._write(total.where("df <> 0"), "terms", version)
+        sizes = [rows.select((F.col("n_tokens") * sign).alias("n_tokens"), F.lit(sign).alias("n")) for rows, sign in parts]
+        total = reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
+        self._write(total.na.fill(0), "sizes", version)
+        self._commit(version, head.base, change)
+        return True
 
     def replace_documents(self, chunks: DataFrame) -> int:
         """Put in the chunks of whole documents; what the store holds of these documents is void.
 
         Replaced documents move to the end. Returns the new version.
         """
-        head, base = self._head()
-        version = head + 1
-        later = F.concat(F.lpad(F.lit(version).cast("string"), 19, "0"), F.lit("\0"), F.col("doc_ord"))
-        written = self._write(with_tokens(chunks.withColumn("doc_ord", later)), "chunks", version)
-        ids, void = self._remove(written.select("document_id"), version)
-        self._count(written, None if ids.isEmpty() else void, version)
-        self._commit(version, base, "replace")
-        return version
+        head = self._head()
+        number = F.lpad(F.lit(head.version + 1).cast("string"), 19, "0")
+        later = F.concat(number, F.lit("\0"), F.col("doc_ord"))
+        self._change(head, "replace", with_tokens(chunks.withColumn("doc_ord", later)))
+        return head.version + 1
 
     def ingest(
         self, raw: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP, strict: bool = False
@@ -148,25 +160,15 @@ class ChunkStore:
 
     def delete_documents(self, ids: DataFrame) -> bool:
         """Remove documents; False, and nothing committed, if the store holds none of them."""
-        head, base = self._head()
-        held, void = self._remove(ids.select("document_id"), head + 1)
-        if held.isEmpty():
-            return False
-        self._count(None, void, head + 1)
-        self._commit(head + 1, base, "delete")
-        return True
+        return self._change(self._head(), "delete", None, ids)
 
     def compact(self) -> int:
         """Write the live chunks and their statistics as a new base; reads skip what lies before."""
-        version = self.version() + 1
-        index = self.index()
+        head, index = self._head(), self.index()
+        version = head.version + 1
         self._write(index.chunks, "chunks", version)
+        self._write(None, "removed", version)
         self._write(index.doc_freq, "terms", version)
-        sizes = self._history("sizes").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
-        self._write(sizes.select(_or_zero("n_chunks"), _or_zero("n_tokens")), "sizes", version)
+        self._write(self._sizes(head), "sizes", version)
         self._commit(version, version, "compact")
         return version
-
-
-def _or_zero(column: str) -> Column:
-    return F.coalesce(column, F.lit(0)).cast("bigint").alias(column)

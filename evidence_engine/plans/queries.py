@@ -17,6 +17,7 @@ from evidence_engine.sources.scratch import materialize, scratch_path, spread
 
 KS = fv.EVALUATION_KS
 ABLATION_SIZES = (300, 500, 800)
+NARROW = {"keep": ("source",)}  # columns that tasks need not carry along
 HIT_COLUMNS = ("strategy", "k", "query_id", "rank", "chunk_id", "source", "dense_rank", "sparse_rank")
 
 
@@ -263,16 +264,16 @@ def cosine(spark, sf_dir):
 
 
 def dense_topk(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("dense",)))
+    return shown(found(spark, sf_dir, ("dense",), **NARROW))
 
 
 def dense_topk_md5(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("dense",), family="md5"))
+    return shown(found(spark, sf_dir, ("dense",), family="md5", **NARROW))
 
 
 def dense_topk_odd_dimension(spark, sf_dir):
     """Seven buckets: signs cancel within a bucket and cosines may be negative."""
-    return shown(found(spark, sf_dir, ("dense",), dimension=7))
+    return shown(found(spark, sf_dir, ("dense",), dimension=7, **NARROW))
 
 
 def external_hits(spark, sf_dir):
@@ -296,7 +297,7 @@ def external_metrics(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("bm25",)))
+    return shown(found(spark, sf_dir, ("bm25",), **NARROW))
 
 
 def bm25_score(spark, sf_dir):
@@ -307,15 +308,15 @@ def bm25_score(spark, sf_dir):
 
 
 def rrf_fuse(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("hybrid",)))
+    return shown(found(spark, sf_dir, ("hybrid",), **NARROW))
 
 
 def rrf_fuse_weighted(spark, sf_dir):
-    return shown(found(spark, sf_dir, ("hybrid",), rrf_k=10, dense_weight=0.25, sparse_weight=2.0))
+    return shown(found(spark, sf_dir, ("hybrid",), rrf_k=10, dense_weight=0.25, sparse_weight=2.0, **NARROW))
 
 
 def strategy_search(spark, sf_dir):
-    return shown(found(spark, sf_dir, fv.STRATEGIES, KS))
+    return shown(found(spark, sf_dir, fv.STRATEGIES, KS, **NARROW))
 
 
 def hybrid_search(spark, sf_dir):
@@ -382,7 +383,7 @@ def search_after_changes(spark, sf_dir):
     store.ingest(uploads.where("lang = 'en'").select("source", "text"))
     german = chunking.identify_documents(uploads.where("lang = 'de'").select("source", "text"))
     store.delete_documents(german.select("document_id"))
-    return shown(retrieval.search(store.index(), prepared(spark, sf_dir)))
+    return shown(retrieval.search(store.index(), prepared(spark, sf_dir), **NARROW))
 
 
 # Answers

@@ -70,6 +70,13 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
 
 
+def _text_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Only text files; a file name pattern, so that the bytes of others are never read."""
+    endings = ("".join(f"[{c}{c.upper()}]" for c in ending[1:]) for ending in fv.TEXT_SUFFIXES)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return reader.option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(directory)
+
+
 def scan_files(spark: SparkSession, directory: str, strict: bool = True) -> DataFrame:
     """Text files below a directory as ``source, text``; sources are relative paths.
 
@@ -82,8 +89,7 @@ def scan_files(spark: SparkSession, directory: str, strict: bool = True) -> Data
     root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory).rstrip("/") + "/"
     start = F.locate(root, F.col("path")) + len(root)
     relative = F.substring(F.col("path"), start, F.length("path"))
-    texts = list_files(spark, directory).where(suffix(F.col("path")).isin(*fv.TEXT_SUFFIXES))
-    decoded = decode_text(texts.select(relative.alias("source"), "content"))
+    decoded = decode_text(_text_files(spark, directory).select(relative.alias("source"), "content"))
     if strict:
         complaint = F.raise_error(F.concat(F.lit("undecodable file: "), F.col("source"))).cast("string")
         return decoded.select("source", F.when(F.col("undecodable"), complaint).otherwise(F.col("text")).alias("text"))
@@ -91,10 +97,8 @@ def scan_files(spark: SparkSession, directory: str, strict: bool = True) -> Data
 
 
 def undecodable_files(spark: SparkSession, directory: str) -> DataFrame:
-    texts = list_files(spark, directory).where(suffix(F.col("path")).isin(*fv.TEXT_SUFFIXES))
-    return decode_text(texts.select("path", "content")).where("undecodable").select(
-        "path", F.lit("neither UTF-8 nor GB18030").alias("reason")
-    )
+    files = decode_text(_text_files(spark, directory).select("path", "content"))
+    return files.where("undecodable").select("path", F.lit("neither UTF-8 nor GB18030").alias("reason"))
 
 
 def assemble_pages(pages: DataFrame, document: str = "source", page: str = "page_no") -> DataFrame:

@@ -106,7 +106,7 @@ def test_exact_ties_follow_corpus_order(spark):
 
 def test_empty_corpus_and_no_queries(spark):
     empty = corpus(spark, TEXTS)
-    none = index.build_index(empty.chunks.drop("tokens").limit(0))
+    none = index.build_index(empty.chunks.drop("tokens", "n_tokens").limit(0))
     assert retrieval.search(none, asked(spark), ("hybrid", "bm25", "dense")).count() == 0
     assert retrieval.search(corpus(spark, TEXTS), asked(spark, ["  "])).count() == 0
     stats = none.stats.first()
