@@ -25,7 +25,7 @@ HEADLINE = (
     "tokenize",
     "term_frequency",
     "document_frequency",
-    "hash_embed_blake2b",
+    "hash_embed",
     "bm25_topk",
     "dense_topk",
     "dense_topk_external",
@@ -34,6 +34,8 @@ HEADLINE = (
     "answer_queries",
     "ingest_documents",
     "eval_metrics",
+    "replace_document",
+    "search_after_changes",
     "chunk_ablation",
 )
 

@@ -19,11 +19,22 @@ _BLOCK = 256
 _WINDOWS = "array<struct<start:int,end:int,text:string>>"
 
 
+TOO_SMALL = f"chunk size must be at least {fv.MIN_CHUNK_SIZE}"
+BAD_OVERLAP = "overlap must be at least 0 and below the chunk size"
+
+
 def check_chunk_params(size: int, overlap: int) -> None:
     if size < fv.MIN_CHUNK_SIZE:
-        raise ValueError(f"chunk size must be at least {fv.MIN_CHUNK_SIZE}, got {size}")
+        raise ValueError(f"{TOO_SMALL}, got {size}")
     if not 0 <= overlap < size:
-        raise ValueError(f"overlap must be at least 0 and below the chunk size {size}, got {overlap}")
+        raise ValueError(f"{BAD_OVERLAP}, got {overlap} and {size}")
+
+
+def chunk_params_problem(size: Column, overlap: Column) -> Column:
+    """The same check for a table of settings: the complaint, NULL if there is none."""
+    return F.when(size < fv.MIN_CHUNK_SIZE, TOO_SMALL).when(
+        ~((overlap >= 0) & (overlap < size)), BAD_OVERLAP
+    )
 
 
 def chars_after_last_break(tail: Column) -> Column:

@@ -9,7 +9,8 @@ Queries are taken in passes of bounded size, so what is broadcast does not grow
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -27,8 +28,7 @@ cloudpickle.register_pickle_by_value(kernels)
 # A pass takes about this many queries, and query tokens or vector entries, at most. The widest
 # matrix it broadcasts or holds is then queries x terms of 8 bytes: some 60 MB.
 QUERIES_PER_PASS = 256
-TOKENS_PER_PASS = 30_000
-VECTOR_ENTRIES_PER_PASS = 1_000_000
+ENTRIES_PER_PASS = {"tokens": 30_000, "vector": 1_000_000}
 # What a task keeps is queries x K rows.
 CANDIDATES_PER_PASS = 50_000
 
@@ -65,11 +65,12 @@ def blank_queries(questions: DataFrame) -> DataFrame:
     )
 
 
-def query_passes(queries: DataFrame, entries: str, budget: int, k: int = 1) -> Iterator[DataFrame]:
+def query_passes(queries: DataFrame, features: Sequence[str], k: int) -> Iterator[DataFrame]:
     """Split queries by hash into passes small enough to broadcast; usually there is one."""
-    n, total = queries.agg(F.count(F.lit(1)), F.sum(F.size(entries).cast("bigint"))).first()
-    shares = (n / QUERIES_PER_PASS, (total or 0) / budget, n * k / CANDIDATES_PER_PASS)
-    passes = math.ceil(max(shares))
+    entries = [F.sum(F.size(feature).cast("bigint")) for feature in features]
+    n, *totals = queries.agg(F.count(F.lit(1)), *entries).first()
+    shares = [(total or 0) / ENTRIES_PER_PASS[feature] for feature, total in zip(features, totals)]
+    passes = math.ceil(max(n / QUERIES_PER_PASS, n * k / CANDIDATES_PER_PASS, *shares))
     for number in range(passes):
         in_pass = F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number
         yield queries.where(in_pass) if passes > 1 else queries
@@ -89,22 +90,36 @@ def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float
     return "bm25", encoded.dictionary, triplets, len(query_ids), avg_len, k1, b
 
 
-def _scan(chunks: DataFrame, features: str, query_ids: pa.Array, id_field, scorers: dict, k: int, keep) -> DataFrame:
-    """One pass over the chunk table: the k best rows per ranking, query and task."""
+def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int, keep: Sequence[str], describe):
+    """Scan the chunks once per pass for the k best rows per ranking and query.
+
+    ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a
+    DataFrame and as an Arrow table.
+    """
+    check_top_k(k)
     payload = list(dict.fromkeys([*keep, "doc_ord", "chunk_index"]))
-    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index")).select(*payload, features)
+    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index")).select(*payload, *features)
     schema = T.StructType(
-        [T.StructField("ranking", T.StringType()), id_field, T.StructField("score", T.DoubleType())]
+        [T.StructField("ranking", T.StringType()), queries.schema["query_id"], T.StructField("score", T.DoubleType())]
         + [flat.schema[c] for c in payload]
     )
-    shared = chunks.sparkSession.sparkContext.broadcast((scorers, query_ids))
 
-    def rank(batches):
-        described, ids = shared.value
-        held = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
-        yield from kernels.rank_partition(batches, held, ids, k, payload)
+    def scan(block: DataFrame) -> DataFrame:
+        held = block.select("query_id", *features).toArrow().combine_chunks()
+        query_ids = kernels.one_array(held["query_id"])
+        shared = chunks.sparkSession.sparkContext.broadcast((describe(block, held, query_ids), query_ids))
+
+        def rank(batches):
+            described, ids = shared.value
+            scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
+            yield from kernels.rank_partition(batches, scorers, ids, k, payload)
 
-    return flat.mapInArrow(rank, schema)
+        return flat.mapInArrow(rank, schema)
+
+    scans = [scan(block) for block in query_passes(queries, features, k)]
+    if not scans:
+        return chunks.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
+    return _merge(reduce(DataFrame.unionByName, scans), k, flat.rdd.getNumPartitions())
 
 
 def _merge(candidates: DataFrame, k: int, tasks: int) -> DataFrame:
@@ -137,52 +152,49 @@ def rank_chunks(
     *,
     k1: float = fv.BM25_K1,
     b: float = fv.BM25_B,
+    embedding: str = "hashing",
     dimension: int = fv.HASH_DIMENSION,
     family: str = "blake2b",
 ) -> DataFrame:
     """Exact top-k of the ``bm25`` and/or ``dense`` ranking for every query, from one scan.
 
     Dense keeps zero scores (a query without tokens gets the first k chunks of the corpus);
-    BM25 drops them. Ties go to corpus order.
+    BM25 drops them. Ties go to corpus order. With ``embedding="vectors"``, dense compares the
+    ``vector`` columns of chunks and queries, see :func:`embed`.
     """
-    check_top_k(k)
-    id_field = queries.schema["query_id"]
-    scans = []
-    for block in query_passes(queries, "tokens", TOKENS_PER_PASS, k):
-        held = block.select("query_id", "tokens").toArrow().combine_chunks()
-        query_ids = kernels.one_array(held["query_id"])
+    if embedding not in ("hashing", "vectors"):
+        raise ValueError(f"unknown embedding {embedding!r}")
+    own_vectors = "dense" in rankings and embedding == "vectors"
+
+    def describe(block: DataFrame, held: pa.Table, query_ids: pa.Array) -> dict:
         scorers = {}
         if "bm25" in rankings:
             scorers["bm25"] = bm25_weights(index, query_ids, block, k1, b)
-        if "dense" in rankings:
+        if own_vectors:
+            scorers["dense"] = ("vectors", _matrix(held))
+        elif "dense" in rankings:
             scorers["dense"] = ("hashed", kernels.one_array(held["tokens"]), dimension, family)
-        scans.append(_scan(index.chunks, "tokens", query_ids, id_field, scorers, k, keep))
-    candidates = _union_or_empty(scans, index.chunks, "tokens", id_field, k, keep)
-    return _merge(candidates, k, index.chunks.rdd.getNumPartitions())
+        return scorers
 
+    return _rank(index.chunks, queries, ["tokens", "vector"] if own_vectors else ["tokens"], k, keep, describe)
 
-def rank_vectors(
-    chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = CHUNK_COLUMNS
-) -> DataFrame:
-    """Exact cosine top-k over user vectors: both tables carry ``vector ARRAY<FLOAT|DOUBLE>``."""
-    check_top_k(k)
-    id_field = queries.schema["query_id"]
-    scans = []
-    for block in query_passes(queries, "vector", VECTOR_ENTRIES_PER_PASS, k):
-        held = block.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toArrow()
-        vectors = np.array(held["vector"].to_pylist(), dtype=np.float64)
-        scorers = {"dense": ("vectors", vectors)}
-        query_ids = kernels.one_array(held["query_id"])
-        scans.append(_scan(chunks, "vector", query_ids, id_field, scorers, k, keep))
-    candidates = _union_or_empty(scans, chunks, "vector", id_field, k, keep)
-    return _merge(candidates, k, chunks.rdd.getNumPartitions())
+
+def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = CHUNK_COLUMNS) -> DataFrame:
+    """Exact cosine top-k where only vectors are at hand: both tables carry ``vector ARRAY<FLOAT|DOUBLE>``."""
+    return _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: {"dense": ("vectors", _matrix(held))})
 
 
-def _union_or_empty(scans, chunks, features, id_field, k, keep) -> DataFrame:
-    if scans:
-        return reduce(DataFrame.unionByName, scans)
-    none = pa.array([], pa.int64())
-    return _scan(chunks, features, none, id_field, {}, k, keep).limit(0)
+def _matrix(held: pa.Table) -> np.ndarray:
+    return np.array(held["vector"].to_pylist(), dtype=np.float64)
+
+
+def embed(index: Index, queries: DataFrame, model: Callable[[Column], Column]) -> tuple[Index, DataFrame]:
+    """Add a user's ``vector`` to chunks and queries: ``model`` maps text to an array column.
+
+    The chunks are embedded whenever they are read; write them first to embed them once.
+    """
+    chunks = index.chunks.withColumn("vector", model(F.col("text")))
+    return replace(index, chunks=chunks), queries.withColumn("vector", model(F.col("searched")))
 
 
 def rank_strategies(

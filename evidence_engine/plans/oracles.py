@@ -113,6 +113,12 @@ chunk_vectors{tag} AS (
 query_vectors{tag} AS (
   SELECT * FROM (SELECT query_id, bucket, sum(qtf * sign)::BIGINT AS n
                  FROM query_terms JOIN placed{tag} USING (term) GROUP BY ALL) WHERE n <> 0),
+{cosines(tag)}"""
+
+
+def cosines(tag: str = "") -> str:
+    """Every chunk against every query, from counts per dimension."""
+    return f"""
 chunk_norms{tag} AS (SELECT chunk_id, sqrt(sum(n * n)::DOUBLE) AS length FROM chunk_vectors{tag} GROUP BY ALL),
 query_norms{tag} AS (SELECT query_id, sqrt(sum(n * n)::DOUBLE) AS length FROM query_vectors{tag} GROUP BY ALL),
 dots{tag} AS (
@@ -265,6 +271,26 @@ FIVE = retrieval(("hybrid",), (fv.TOP_K,))
 ALL = retrieval()
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letters(key: str, table: str, text: str) -> str:
+    counted = f"length({text}) - length(replace(translate({text}, upper('{LETTERS}'), '{LETTERS}'), substr('{LETTERS}', i, 1), ''))"
+    return f"""SELECT * FROM (SELECT {key}, i AS bucket, {counted} AS n
+        FROM {table}, range(1, {len(LETTERS) + 1}) r(i)) WHERE n <> 0"""
+
+
+EXTERNAL = ",".join([
+    chunks(),
+    index(),
+    bm25(),
+    f"chunk_vectors AS ({letters('chunk_id', 'chunks', 'text')})",
+    f"query_vectors AS ({letters('query_id', 'queries', 'searched')})",
+    cosines(),
+    hits(("hybrid",), (fv.TOP_K,)),
+])
+
+
 def _search(strategies, ks=(fv.TOP_K,), **options) -> str:
     return query(DOCS, QUESTIONS, retrieval(strategies, ks, **options), select=f"SELECT {HIT_COLUMNS} FROM hits")
 
@@ -339,7 +365,14 @@ ORACLES = {
         'line ' || item_id || ': ' || CASE item_id % 6 WHEN 1 THEN 'not valid JSON' WHEN 2 THEN 'not a JSON object'
              WHEN 3 THEN 'question is missing' WHEN 4 THEN 'relevant_sources must be a list of non-blank strings'
              WHEN 5 THEN 'should_answer must be a boolean' END AS error FROM benchmark""",
-    "save_load_chunks": query(DOCS, chunks(), select=f"SELECT {CHUNK_COLUMNS} FROM chunks"),
+    "save_chunks": query(DOCS, chunks(), select=f"SELECT {CHUNK_COLUMNS} FROM chunks"),
+    "load_chunks": query(DOCS, chunks(), select=f"""SELECT {CHUNK_COLUMNS}, 'before' AS state FROM chunks
+        UNION ALL SELECT {CHUNK_COLUMNS}, 'after' FROM chunks
+        WHERE document_id IN (SELECT document_id FROM chunks GROUP BY ALL HAVING count(*) >= 4)"""),
+    "validate_chunk_params": """SELECT p_partkey, size, overlap::INTEGER AS overlap,
+        CASE WHEN size < 100 THEN 'chunk size must be at least 100'
+             WHEN overlap < 0 OR overlap >= size THEN 'overlap must be at least 0 and below the chunk size' END AS problem
+        FROM (SELECT p_partkey, p_size * 10 AS size, p_partkey % 500 - 50 AS overlap FROM part)""",
     "write_report": _evaluated("SELECT * FROM metrics"),
     "strip_text": f"SELECT conv_id, turn, trim(text, {WS}) AS text FROM conversations",
     "normalize_text": f"SELECT conv_id, turn, {norm(f'({_MESSY})')} AS text FROM conversations",
@@ -389,6 +422,7 @@ ORACLES = {
     "strategy_search": _search(fv.STRATEGIES, KS),
     "hybrid_search": query(DOCS, QUESTIONS, FIVE, select="""SELECT query_id, rank, chunk_id, document_id, source, text,
         round(score, 6) AS score FROM hits"""),
+    "hybrid_external": query(DOCS, QUESTIONS, EXTERNAL, select=f"SELECT {HIT_COLUMNS} FROM hits"),
     "search_after_changes": query(CHANGED, QUESTIONS, FIVE, select=f"SELECT {HIT_COLUMNS} FROM hits"),
     "citation_projection": query(DOCS, QUESTIONS, FIVE, CITATION, select="SELECT * FROM cited"),
     "ingest_documents": query(DOCS, chunks(), select="""SELECT document_id, source, count(*) AS chunk_count

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
-from evidence_engine.functions.chunk_windows import preferred_end as window_end
+from evidence_engine.functions.chunk_windows import chunk_params_problem, preferred_end as window_end
 from evidence_engine.functions.rounding import round_exact
 from evidence_engine.operators import answers, chunking, evaluation, index, reports, retrieval, scoring, vectors
 from evidence_engine.operators.store import ChunkStore
@@ -119,12 +119,29 @@ def validate_cases(spark, sf_dir):
     return case_source.validate_cases(lines).select("line_number", "case_id", "category", "error")
 
 
-def save_load_chunks(spark, sf_dir):
+def save_chunks(spark, sf_dir):
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.replace_documents(chunks_of(spark, sf_dir))
     return flat(store.load())
 
 
+def load_chunks(spark, sf_dir):
+    """A pinned version stays as it was, whatever is deleted later."""
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    saved = store.replace_documents(chunks_of(spark, sf_dir))
+    short = store.load().groupBy("document_id").count().where("count < 4").select("document_id")
+    store.delete_documents(short)
+    before = flat(store.load(saved)).withColumn("state", F.lit("before"))
+    return before.unionByName(flat(store.load()).withColumn("state", F.lit("after")))
+
+
+def validate_chunk_params(spark, sf_dir):
+    """Chunk settings made of the parts' sizes and keys, and what is wrong with them."""
+    size, overlap = F.col("p_size") * 10, (F.col("p_partkey") % 500 - 50).cast("int")
+    settings = given.table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), overlap.alias("overlap"))
+    return settings.withColumn("problem", chunk_params_problem(F.col("size"), F.col("overlap")))
+
+
 def write_report(spark, sf_dir):
     path = scratch_path(spark, "report")
     reports.write_report({"results": eval_metrics(spark, sf_dir)}, path)
@@ -325,6 +342,26 @@ def hybrid_search(spark, sf_dir):
     return hits.select("query_id", "rank", *retrieval.CHUNK_COLUMNS, F.round("score", 6).alias("score"))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(text):
+    """A stand-in for a user's embedding model: how often each letter occurs."""
+    lower = F.translate(text, LETTERS.upper(), LETTERS)
+    return tx.let(
+        lower,
+        lambda t: F.array(
+            *[(F.length(t) - F.length(F.replace(t, F.lit(x), F.lit("")))).cast("double") for x in LETTERS]
+        ),
+    )
+
+
+def hybrid_external(spark, sf_dir):
+    """Hybrid search with a user's embedding in place of hashing."""
+    corpus, asked = retrieval.embed(given.corpus_index(spark, sf_dir), prepared(spark, sf_dir), letter_counts)
+    return shown(retrieval.search(corpus, asked, embedding="vectors", **NARROW))
+
+
 def citation_projection(spark, sf_dir):
     return answers.citation_projection(found(spark, sf_dir))
 
@@ -555,7 +592,9 @@ QUERIES = {
         assemble_pages,
         scan_cases,
         validate_cases,
-        save_load_chunks,
+        save_chunks,
+        load_chunks,
+        validate_chunk_params,
         write_report,
         strip_text,
         normalize_text,
@@ -588,6 +627,7 @@ QUERIES = {
         rrf_fuse_weighted,
         strategy_search,
         hybrid_search,
+        hybrid_external,
         citation_projection,
         ingest_documents,
         replace_document,

@@ -77,10 +77,9 @@ def bm25(texts, question, k, k1=1.5, b=0.75):
     return [(i, scores[i]) for i in ranked(scores, k) if scores[i] > 0]
 
 
-def fused(texts, question, k, rrf_k=60, dense_weight=1.0, sparse_weight=1.0, **options):
-    depth = max(3 * k, 10)
-    dense_rank = {i: r for r, (i, _) in enumerate(dense(texts, question, depth, **options), 1)}
-    sparse_rank = {i: r for r, (i, _) in enumerate(bm25(texts, question, depth), 1)}
+def fuse(dense_hits, sparse_hits, k, rrf_k=60, dense_weight=1.0, sparse_weight=1.0):
+    dense_rank = {i: r for r, (i, _) in enumerate(dense_hits, 1)}
+    sparse_rank = {i: r for r, (i, _) in enumerate(sparse_hits, 1)}
     late = 10**9
 
     def score(i):
@@ -92,3 +91,9 @@ def fused(texts, question, k, rrf_k=60, dense_weight=1.0, sparse_weight=1.0, **o
         key=lambda i: (-score(i), dense_rank.get(i, late), sparse_rank.get(i, late)),
     )
     return [(i, score(i)) for i in order[:k]]
+
+
+def fused(texts, question, k, rrf_k=60, dense_weight=1.0, sparse_weight=1.0, **options):
+    depth = max(3 * k, 10)
+    hits = dense(texts, question, depth, **options), bm25(texts, question, depth)
+    return fuse(*hits, k, rrf_k, dense_weight, sparse_weight)

@@ -86,7 +86,7 @@ def test_small_passes_small_batches_and_salted_merge(spark, many, monkeypatch):
     monkeypatch.setattr(retrieval, "TASKS_PER_MERGE", 1)
     monkeypatch.setattr(kernels, "BLOCK_CELLS", 4_000)
     monkeypatch.setattr(kernels, "POOL_ROWS", 1)
-    assert len(list(retrieval.query_passes(asked(spark), "tokens", 1_000))) > 1
+    assert len(list(retrieval.query_passes(asked(spark), ["tokens"], 4))) > 1
     hits = retrieval.search(corpus(spark, many, 9), asked(spark), ("hybrid", "dense"), (4,)).cache()
     check(hits, many, QUESTIONS, "hybrid", 4, brute.fused)
     check(hits, many, QUESTIONS, "dense", 4, brute.dense)
@@ -190,6 +190,29 @@ def test_external_vectors(spark):
         retrieval.rank_vectors(chunks, short, 3, ("chunk_id",)).collect()
 
 
+def test_hybrid_with_a_users_embedding(spark, many):
+    """The same single scan, with vectors that a column function makes of the text."""
+    signs = "abcdeht中"
+
+    def model(text):
+        return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))).cast("double") for s in signs])
+
+    def dense(texts, question, k):
+        vectors_ = np.array([[t.count(s) for s in signs] for t in texts], dtype=float)
+        query = np.array([question.count(s) for s in signs], dtype=float)
+        norm = np.linalg.norm(vectors_, axis=1)
+        norm[norm == 0] = 1
+        scores = vectors_ @ query / norm / (np.linalg.norm(query) or 1)
+        return [(i, scores[i]) for i in brute.ranked(list(scores), k)]
+
+    built, queries = retrieval.embed(corpus(spark, many), asked(spark), model)
+    hits = retrieval.search(built, queries, ("hybrid", "dense"), (4,), embedding="vectors").cache()
+    check(hits, many, QUESTIONS, "dense", 4, dense)
+    check(hits, many, QUESTIONS, "hybrid", 4, lambda t, q, k: brute.fuse(dense(t, q, 12), brute.bm25(t, q, 12), k))
+    with pytest.raises(ValueError, match="unknown embedding"):
+        retrieval.search(built, queries, embedding="vector")
+
+
 def test_cosine(spark):
     rows = [([1.0, 0.0], [2.0, 0.0], 1.0), ([0.0, 0.0], [1.0, 1.0], 0.0), ([1.0, 2.0], [-1.0, -2.0], -1.0)]
     df = spark.createDataFrame(rows, "a array<double>, b array<double>, expected double")
