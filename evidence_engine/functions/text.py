@@ -56,8 +56,8 @@ def tokenize(text: Column) -> Column:
     pairs = let(
         F.regexp_extract_all(text, F.lit(fv.IDEOGRAPH_PATTERN), F.lit(0)),
         lambda signs: F.zip_with(
-            F.slice(signs, F.lit(1), F.greatest(F.size(signs) - 1, F.lit(0))),
-            F.slice(signs, F.lit(2), F.greatest(F.size(signs) - 1, F.lit(0))),
+            F.slice(signs, F.lit(1), F.greatest(F.array_size(signs) - 1, F.lit(0))),
+            F.slice(signs, F.lit(2), F.greatest(F.array_size(signs) - 1, F.lit(0))),
             lambda left, right: F.concat(left, right),
         ),
     )
@@ -72,7 +72,7 @@ def term_counts(tokens: Column) -> Column:
 
     def count_runs(ordered: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
+            F.sequence(F.lit(0), F.array_size(ordered) - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
         return let(
@@ -81,10 +81,10 @@ def term_counts(tokens: Column) -> Column:
                 begin,
                 lambda start, n: F.struct(
                     F.get(ordered, start).alias("term"),
-                    (F.coalesce(F.get(begin, n + 1), F.size(ordered)) - start).cast("bigint").alias("tf"),
+                    (F.coalesce(F.get(begin, n + 1), F.array_size(ordered)) - start).cast("bigint").alias("tf"),
                 ),
             ),
         )
 
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), count_runs)).otherwise(empty)
+    return F.when(F.array_size(tokens) > 0, let(F.sort_array(tokens), count_runs)).otherwise(empty)

@@ -76,9 +76,9 @@ def score_cases(
     return expected.join(found, in_case, "left").select(
         *in_case,
         "n_relevant",
-        F.coalesce(F.size("ranks"), F.lit(0)).alias("n_found"),
+        F.coalesce(F.array_size("ranks"), F.lit(0)).alias("n_found"),
         F.when(ranks.isNotNull(), 1.0).otherwise(zero).alias("hit"),
-        F.coalesce(F.size("ranks") / F.col("n_relevant"), zero).alias("recall"),
+        F.coalesce(F.array_size("ranks") / F.col("n_relevant"), zero).alias("recall"),
         F.coalesce(1.0 / F.get(ranks, 0), zero).alias("reciprocal_rank"),
         F.coalesce(discounted_gain(ranks) / discounted_gain(ideal), zero).alias("ndcg"),
     )

@@ -11,7 +11,10 @@ from evidence_engine.functions.text import term_counts, tokenize
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks`` carry their tokens and their number; the other tables are the corpus statistics."""
+    """``chunks`` carry their tokens and their number; the other tables are the corpus statistics.
+
+    A term may have several rows in ``doc_freq``, which add up: the changes of a store.
+    """
 
     chunks: DataFrame
     doc_freq: DataFrame
@@ -21,7 +24,7 @@ class Index:
 def with_tokens(chunks: DataFrame) -> DataFrame:
     """Add ``tokens`` and ``n_tokens``; statistics of lengths then read one narrow column."""
     tokens = chunks.withColumn("tokens", tokenize(F.col("text")))
-    return tokens.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    return tokens.withColumn("n_tokens", F.array_size("tokens").cast("bigint"))
 
 
 def term_frequency(token_chunks: DataFrame) -> DataFrame:
@@ -52,6 +55,15 @@ def corpus_stats(token_chunks: DataFrame) -> DataFrame:
     )
 
 
+def weigh(query_terms: DataFrame, index: Index) -> DataFrame:
+    """``query_id, term, tf`` with each term's ``df``; terms that no chunk has are dropped.
+
+    The few query terms meet the vocabulary before it is summed up, so most of it is never shuffled.
+    """
+    rows = query_terms.join(index.doc_freq, "term")
+    return rows.groupBy("query_id", "term", "tf").agg(F.sum("df").alias("df")).where("df > 0")
+
+
 def build_index(chunks: DataFrame) -> Index:
     tokens = with_tokens(chunks)
     return Index(tokens, document_frequency(tokens), corpus_stats(tokens))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators import kernels
-from evidence_engine.operators.index import Index
+from evidence_engine.operators.index import Index, weigh
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -32,8 +32,8 @@ ENTRIES_PER_PASS = {"tokens": 30_000, "vector": 1_000_000}
 # What a task keeps is queries x K rows.
 CANDIDATES_PER_PASS = 50_000
 
-# Scans of more tasks than this merge their candidates in two steps.
-TASKS_PER_MERGE = 2_000
+# On more cores than this, the candidates of their tasks are merged in two steps.
+CORES_PER_MERGE = 400
 
 CHUNK_COLUMNS = ("chunk_id", "document_id", "source", "text")
 
@@ -67,7 +67,7 @@ def blank_queries(questions: DataFrame) -> DataFrame:
 
 def query_passes(queries: DataFrame, features: Sequence[str], k: int) -> Iterator[DataFrame]:
     """Split queries by hash into passes small enough to broadcast; usually there is one."""
-    entries = [F.sum(F.size(feature).cast("bigint")) for feature in features]
+    entries = [F.sum(F.array_size(feature).cast("bigint")) for feature in features]
     n, *totals = queries.agg(F.count(F.lit(1)), *entries).first()
     shares = [(total or 0) / ENTRIES_PER_PASS[feature] for feature, total in zip(features, totals)]
     passes = math.ceil(max(n / QUERIES_PER_PASS, n * k / CANDIDATES_PER_PASS, *shares))
@@ -79,7 +79,7 @@ def query_passes(queries: DataFrame, features: Sequence[str], k: int) -> Iterato
 def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float, b: float) -> tuple:
     """What the BM25 scorer of one pass needs: its terms joined with the document frequencies."""
     terms = tokens.select("query_id", F.inline(tx.term_counts(F.col("tokens"))))
-    weighted = terms.join(index.doc_freq, "term").select("query_id", "term", "tf", "df").toArrow().combine_chunks()
+    weighted = weigh(terms, index).toArrow().combine_chunks()
     n_chunks, avg_len = index.stats.select("n_chunks", "avg_len").first()
     df = weighted["df"].to_numpy()
     idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
@@ -119,15 +119,15 @@ def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int
     scans = [scan(block) for block in query_passes(queries, features, k)]
     if not scans:
         return chunks.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
-    return _merge(reduce(DataFrame.unionByName, scans), k, flat.rdd.getNumPartitions())
+    return _merge(reduce(DataFrame.unionByName, scans), k)
 
 
-def _merge(candidates: DataFrame, k: int, tasks: int) -> DataFrame:
+def _merge(candidates: DataFrame, k: int) -> DataFrame:
     """Global ranks from the tasks' candidates.
 
-    Every later step groups by query, so one shuffle on ``query_id`` serves them all. After a
-    scan of very many tasks the candidates are first thinned in salted groups, which keeps
-    the rows that meet in one task per query near ``sqrt(tasks) * k``.
+    Every later step groups by query, so one shuffle on ``query_id`` serves them all. A large
+    cluster runs many tasks, so it first thins the candidates in salted groups: what meets
+    in one task per query then shrinks by the root of the number of cores.
     """
     order = (F.desc("score"), "doc_ord", "chunk_index")
 
@@ -136,9 +136,9 @@ def _merge(candidates: DataFrame, k: int, tasks: int) -> DataFrame:
             F.col("rank") <= k
         )
 
-    if tasks > TASKS_PER_MERGE:
-        salt = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))
-        salted = candidates.withColumn("salt", salt)
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    if cores > CORES_PER_MERGE:
+        salted = candidates.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(cores))))
         candidates = best(salted, "ranking", "query_id", "salt").drop("rank", "salt")
     return best(candidates.repartition("query_id"), "ranking", "query_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import term_counts
-from evidence_engine.operators.index import Index
+from evidence_engine.operators.index import Index, weigh
 
 
 def idf(n_chunks: Column, df: Column) -> Column:
@@ -22,8 +22,8 @@ def bm25_score(
     Repeated query terms count repeatedly.
     """
     asked = pairs.select("query_id", "chunk_id").distinct()
-    query_terms = queries.select("query_id", F.inline(term_counts(F.col("tokens")))).withColumnRenamed("tf", "qtf")
-    weighted = query_terms.join(index.doc_freq, "term")
+    query_terms = queries.select("query_id", F.inline(term_counts(F.col("tokens"))))
+    weighted = weigh(query_terms, index).withColumnRenamed("tf", "qtf")
     wanted = index.chunks.join(asked.select("chunk_id").distinct(), "chunk_id", "left_semi")
     postings = wanted.select("chunk_id", "n_tokens", F.inline(term_counts(F.col("tokens"))))
     stats = index.stats

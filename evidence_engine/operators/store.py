@@ -59,9 +59,9 @@ class ChunkStore:
         return self._live(self._head(version)).drop("version", "tokens", "n_tokens")
 
     def index(self, version: int | None = None) -> Index:
-        """The chunks with their tokens, and statistics summed up from the changes."""
+        """The chunks with their tokens; their statistics are the changes' and add up."""
         head = self._head(version)
-        doc_freq = self._history("terms", head).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        doc_freq = self._history("terms", head).select("term", "df")
         sizes = self._sizes(head)
         average = F.when(F.col("n_chunks") > 0, F.col("n_tokens").cast("double") / F.col("n_chunks")).otherwise(0.0)
         return Index(self._live(head).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
@@ -168,7 +168,8 @@ class ChunkStore:
         version = head.version + 1
         self._write(index.chunks, "chunks", version)
         self._write(None, "removed", version)
-        self._write(index.doc_freq, "terms", version)
+        terms = index.doc_freq.groupBy("term").agg(F.sum("df").alias("df"))
+        self._write(terms.where("df <> 0"), "terms", version)
         self._write(self._sizes(head), "sizes", version)
         self._commit(version, version, "compact")
         return version

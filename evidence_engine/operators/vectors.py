@@ -55,4 +55,4 @@ def cosine(left: Column, right: Column) -> Column:
         return F.coalesce(F.nullif(F.sqrt(dot(vector, vector)), F.lit(0.0)), F.lit(1.0))
 
     complaint = F.raise_error(F.lit("vector dimensions differ")).cast("double")
-    return F.when(F.size(left) != F.size(right), complaint).otherwise(dot(left, right) / (norm(left) * norm(right)))
+    return F.when(F.array_size(left) != F.array_size(right), complaint).otherwise(dot(left, right) / (norm(left) * norm(right)))

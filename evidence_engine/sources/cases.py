@@ -25,12 +25,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before_block = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = (
         raw.groupBy("file", "block")
-        .agg(F.sum(F.size("lines").cast("bigint")).alias("n"))
+        .agg(F.sum(F.array_size("lines").cast("bigint")).alias("n"))
         .withColumn("blocks_before", F.coalesce(F.sum("n").over(before_block), F.lit(0)))
         .drop("n")
     )
     return (
-        raw.withColumn("rows_before", F.coalesce(F.sum(F.size("lines").cast("bigint")).over(in_block), F.lit(0)))
+        raw.withColumn("rows_before", F.coalesce(F.sum(F.array_size("lines").cast("bigint")).over(in_block), F.lit(0)))
         .join(blocks, ["file", "block"])
         .select("file", "blocks_before", "rows_before", F.posexplode("lines").alias("position", "line"))
         .select("file", (F.expr("blocks_before + rows_before + position + 1")).alias("line_number"), "line")
@@ -88,7 +88,7 @@ def validate_cases(lines: DataFrame) -> DataFrame:
         .when(F.col("question") == "", F.lit("question is missing"))
         .when(sources_bad, F.lit("relevant_sources must be a list of non-blank strings"))
         .when(F.coalesce("answer_type", F.lit("BOOLEAN")) != "BOOLEAN", F.lit("should_answer must be a boolean"))
-        .when(F.col("should_answer") & (F.size("sources") == 0), F.lit("an answerable case needs relevant_sources"))
+        .when(F.col("should_answer") & (F.array_size("sources") == 0), F.lit("an answerable case needs relevant_sources"))
     )
     number = F.lpad(
         F.col("line_number").cast("string"),

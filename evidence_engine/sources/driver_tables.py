@@ -79,9 +79,9 @@ def _anchors(words: Column, length: int) -> Column:
     return tx.let(
         words,
         lambda w: F.when(
-            F.size(w) >= length,
+            F.array_size(w) >= length,
             F.transform(
-                F.sequence(F.lit(1), F.size(w) - (length - 1)),
+                F.sequence(F.lit(1), F.array_size(w) - (length - 1)),
                 lambda start: F.xxhash64(F.slice(w, start, F.lit(length))),
             ),
         ).otherwise(F.array().cast("array<bigint>")),
@@ -95,9 +95,9 @@ def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
     then compared in full: no text meets a passage with which it shares no run of words.
     """
     items = passages.select("item_id", _words(F.col("text")).alias("words")).where("words[0] <> ''")
-    least = 1 if not items.where(F.size("words") < ANCHOR_WORDS).isEmpty() else ANCHOR_WORDS
+    least = 1 if not items.where(F.array_size("words") < ANCHOR_WORDS).isEmpty() else ANCHOR_WORDS
     lengths = sorted({least, ANCHOR_WORDS})
-    run = F.when(F.size("words") < ANCHOR_WORDS, F.lit(least)).otherwise(F.lit(ANCHOR_WORDS))
+    run = F.when(F.array_size("words") < ANCHOR_WORDS, F.lit(least)).otherwise(F.lit(ANCHOR_WORDS))
     keyed = items.select("item_id", "words", F.xxhash64(F.slice("words", F.lit(1), run)).alias("anchor"))
     runs = F.concat(*(_anchors(_words(F.col("text")), n) for n in lengths))
     candidates = (
