@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.functions.chunk_windows import chunk_windows
+from evidence_engine.sources.scratch import materialize
 
 
 def identify_documents(raw: DataFrame) -> DataFrame:
@@ -29,6 +30,20 @@ def dedupe_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+def unique_documents(documents: DataFrame) -> DataFrame:
+    """The same for a large table: only the texts of repeated documents are shuffled.
+
+    Ids are counted first (a scan that shuffles 16 characters a row). The few that repeat are written,
+    so that Spark knows their size; all other documents then pass through untouched.
+    """
+    ids = documents.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialize(ids.where("n > 1").select("document_id"), "repeated")
+    if repeated.isEmpty():
+        return documents
+    once = documents.join(repeated, "document_id", "left_anti")
+    return once.unionByName(dedupe_documents(documents.join(repeated, "document_id", "left_semi")))
+
+
 def chunk_documents(
     documents: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP
 ) -> DataFrame:

@@ -3,6 +3,7 @@
 Everything is plain Parquet that Spark appends to:
 
 * ``chunks/version=N``   the chunks ingested by change N, with their tokens,
+* ``documents/version=N`` the documents they belong to, with their numbers of chunks,
 * ``removed/version=N``  ids of documents whose chunks from earlier changes are void since N,
 * ``terms/version=N``    by how much change N raises or lowers document frequencies,
 * ``sizes/version=N``    the same for the numbers of chunks and tokens,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import is_blank
-from evidence_engine.operators.chunking import chunk_documents, dedupe_documents, identify_documents
+from evidence_engine.operators.chunking import chunk_documents, identify_documents, unique_documents
 from evidence_engine.operators.index import Index, document_frequency, with_tokens
 
 _SCHEMAS = {
@@ -33,12 +34,20 @@ _SCHEMAS = {
         "chunk_id string, document_id string, source string, text string, start_char int, end_char int, "
         "metadata struct<chunk_index:int>, doc_ord string, tokens array<string>, n_tokens bigint, version bigint"
     ),
+    "documents": "document_id string, source string, chunk_count bigint, version bigint",
     "removed": "document_id string, version bigint",
     "terms": "term string, df bigint, version bigint",
     "sizes": "n_chunks bigint, n_tokens bigint, version bigint",
 }
 
 
+PUSHED_IDS = "spark.sql.parquet.pushdown.inFilterThreshold"
+BLOOM_FILTERS = {
+    "parquet.bloom.filter.enabled#document_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
+
+
 class Head(NamedTuple):
     version: int
     base: int
@@ -56,7 +65,12 @@ class ChunkStore:
 
     def load(self, version: int | None = None) -> DataFrame:
         """The chunk table; ``doc_ord`` puts later ingested documents behind earlier ones."""
-        return self._live(self._head(version)).drop("version", "tokens", "n_tokens")
+        return self._live("chunks", self._head(version)).drop("version", "tokens", "n_tokens")
+
+    def list_documents(self, version: int | None = None) -> DataFrame:
+        """``document_id, source, chunk_count`` by source, without a look at the chunks."""
+        live = self._live("documents", self._head(version)).drop("version")
+        return live.orderBy("source", "document_id")
 
     def index(self, version: int | None = None) -> Index:
         """The chunks with their tokens; their statistics are the changes' and add up."""
@@ -64,7 +78,7 @@ class ChunkStore:
         doc_freq = self._history("terms", head).select("term", "df")
         sizes = self._sizes(head)
         average = F.when(F.col("n_chunks") > 0, F.col("n_tokens").cast("double") / F.col("n_chunks")).otherwise(0.0)
-        return Index(self._live(head).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
+        return Index(self._live("chunks", head).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
 
     def _head(self, version: int | None = None) -> Head:
         commits = self._read("commits")
@@ -85,11 +99,22 @@ class ChunkStore:
         """Rows of the changes from the base to the head: whole partitions."""
         return self._read(table).where((F.col("version") >= head.base) & (F.col("version") <= head.version))
 
-    def _live(self, head: Head) -> DataFrame:
-        chunks = self._history("chunks", head)
+    def _live(self, table: str, head: Head) -> DataFrame:
+        """Rows of chunks or documents that no later change has made void."""
+        rows = self._history(table, head)
         since = self._history("removed", head).groupBy("document_id").agg(F.max("version").alias("void_before"))
-        void = (chunks["document_id"] == since["document_id"]) & (chunks["version"] < since["void_before"])
-        return chunks.join(since, void, "left_anti")
+        void = (rows["document_id"] == since["document_id"]) & (rows["version"] < since["void_before"])
+        return rows.join(since, void, "left_anti")
+
+    def _chunks_of(self, documents: DataFrame, head: Head) -> DataFrame:
+        """Live chunks of some documents. As many ids as Spark pushes down by value become an IN list:
+        the Bloom filters of the files then let it skip what does not hold them."""
+        live = self._live("chunks", head)
+        pushed = int(self.spark.conf.get(PUSHED_IDS))
+        few = [row["document_id"] for row in documents.limit(pushed + 1).collect()]
+        if len(few) <= pushed:
+            return live.where(F.col("document_id").isin(few))
+        return live.join(documents, "document_id", "left_semi")
 
     def _sizes(self, head: Head) -> DataFrame:
         sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_chunks", "n_tokens")]
@@ -101,7 +126,10 @@ class ChunkStore:
         schema = self._read(table).drop("version").schema
         path = f"{self.path}/{table}/version={version}"
         rows = self.spark.createDataFrame([], schema).coalesce(1) if rows is None else rows.select(*schema.names)
-        rows.write.mode("overwrite").parquet(path)
+        writer = rows.write.mode("overwrite")
+        if table == "chunks":
+            writer = writer.options(**BLOOM_FILTERS)
+        writer.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def _commit(self, version: int, base: int, change: str) -> None:
@@ -115,11 +143,12 @@ class ChunkStore:
         """
         version = head.version + 1
         added = self._write(chunks, "chunks", version)
-        live = self._live(head)
-        touched = (added if ids is None else ids).select("document_id")
-        held = live.join(touched, "document_id", "left_semi").select("document_id")
-        removed = self._write(held.distinct(), "removed", version)
-        voided = None if removed.isEmpty() else live.join(removed, "document_id", "left_semi")
+        counts = added.groupBy("document_id", "source").agg(F.count(F.lit(1)).alias("chunk_count"))
+        documents = self._write(counts, "documents", version)
+        touched = (documents if ids is None else ids).select("document_id")
+        held = self._live("documents", head).join(touched, "document_id", "left_semi")
+        removed = self._write(held.select("document_id").distinct(), "removed", version)
+        voided = None if removed.isEmpty() else self._chunks_of(removed, head)
         if chunks is None and voided is None:
             return False
         parts = [(rows, sign) for rows, sign in ((added, 1), (voided, -1)) if rows is not None]
@@ -153,10 +182,9 @@ class ChunkStore:
         """
         if strict and not raw.where(is_blank(F.col("text"))).isEmpty():
             raise ValueError("a document is blank")
-        documents = dedupe_documents(identify_documents(raw))
+        documents = unique_documents(identify_documents(raw))
         version = self.replace_documents(chunk_documents(documents, size, overlap))
-        written = self._read("chunks").where(F.col("version") == version)
-        return written.groupBy("document_id", "source").agg(F.count(F.lit(1)).alias("chunk_count"))
+        return self._read("documents").where(F.col("version") == version).drop("version")
 
     def delete_documents(self, ids: DataFrame) -> bool:
         """Remove documents; False, and nothing committed, if the store holds none of them."""
@@ -167,6 +195,7 @@ class ChunkStore:
         head, index = self._head(), self.index()
         version = head.version + 1
         self._write(index.chunks, "chunks", version)
+        self._write(self._live("documents", head), "documents", version)
         self._write(None, "removed", version)
         terms = index.doc_freq.groupBy("term").agg(F.sum("df").alias("df"))
         self._write(terms.where("df <> 0"), "terms", version)

@@ -391,7 +391,7 @@ def delete_document(spark, sf_dir):
     english = given.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
     gone = given.raw_documents(spark, sf_dir).join(english, "doc_id", "left_semi")
     store.delete_documents(chunking.identify_documents(gone.select("source", "text")).select("document_id"))
-    return chunking.list_documents(store.load())
+    return store.list_documents()
 
 
 def ingest_stream(spark, sf_dir):
@@ -405,7 +405,7 @@ def ingest_stream(spark, sf_dir):
     uploads = incoming.select(path.alias("source"), "text")
     query = start(uploads, target, scratch_path(spark, "stream"))
     query.awaitTermination()
-    return chunking.list_documents(ChunkStore(spark, target).load())
+    return ChunkStore(spark, target).list_documents()
 
 
 def search_after_changes(spark, sf_dir):

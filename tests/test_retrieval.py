@@ -92,6 +92,15 @@ def test_small_passes_small_batches_and_salted_merge(spark, many, monkeypatch):
     check(hits, many, QUESTIONS, "dense", 4, brute.dense)
 
 
+def test_a_third_of_all_chunks_is_one_text(spark, many):
+    texts = many[:200] + [many[1]] * 50 + many[200:] + [many[1]] * 105
+    hits = retrieval.search(corpus(spark, texts, 7), asked(spark), ("hybrid", "dense", "bm25"), (5, 200)).cache()
+    for k in (5, 200):
+        check(hits, texts, QUESTIONS, "dense", k, brute.dense)
+        check(hits, texts, QUESTIONS, "bm25", k, brute.bm25)
+        check(hits, texts, QUESTIONS, "hybrid", k, brute.fused)
+
+
 def test_query_without_tokens(spark):
     """Dense returns the first chunks of the corpus with score 0, BM25 nothing."""
     lists = as_lists(retrieval.search(corpus(spark, TEXTS), asked(spark, ["？"]), ("bm25", "dense"), (3,)))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import chunking, index, retrieval
+from evidence_engine.operators import chunking, index, retrieval, store as store_module
 from evidence_engine.operators.answers import answer_queries
 from evidence_engine.operators.store import ChunkStore
 from evidence_engine.streaming import ingest as streams
@@ -14,7 +14,9 @@ def raw(spark, texts):
 
 
 def listing(store):
-    return [(r["source"], r["chunk_count"]) for r in chunking.list_documents(store.load()).collect()]
+    counted = [(r["source"], r["chunk_count"]) for r in chunking.list_documents(store.load()).collect()]
+    assert counted == [(r["source"], r["chunk_count"]) for r in store.list_documents().collect()]
+    return counted
 
 
 def same_index(store):
@@ -131,6 +133,18 @@ def test_an_unfinished_change_is_invisible(spark, folder, monkeypatch):
     same_index(store)
 
 
+def test_many_ids_are_joined(spark, folder):
+    store = ChunkStore(spark, folder)
+    store.ingest(raw(spark, TEXTS))
+    spark.conf.set(store_module.PUSHED_IDS, "1")
+    try:
+        assert store.delete_documents(store.load().where("source <> 'c.md'").select("document_id"))
+    finally:
+        spark.conf.unset(store_module.PUSHED_IDS)
+    assert listing(store) == [("c.md", 2)]
+    same_index(store)
+
+
 def test_streams(spark, folder):
     uploads, questions = folder + "/uploads", folder + "/questions"
     raw(spark, TEXTS).write.parquet(uploads)
