@@ -378,9 +378,7 @@ def replace_document(spark, sf_dir):
     """Ingest everything, then the English documents again: the same chunks, those at the end."""
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.ingest(given.raw_documents(spark, sf_dir).select("source", "text"))
-    english = given.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    again = given.raw_documents(spark, sf_dir).join(english, "doc_id", "left_semi")
-    store.ingest(again.select("source", "text"))
+    store.ingest(given.raw_documents(spark, sf_dir, "lang = 'en'").select("source", "text"))
     return store.load().select("chunk_id", "source", F.substring("doc_ord", 1, 19).cast("bigint").alias("ingested_by"))
 
 
@@ -388,9 +386,8 @@ def delete_document(spark, sf_dir):
     """Ingest everything, delete the English documents, list the rest."""
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.ingest(given.raw_documents(spark, sf_dir).select("source", "text"))
-    english = given.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    gone = given.raw_documents(spark, sf_dir).join(english, "doc_id", "left_semi")
-    store.delete_documents(chunking.identify_documents(gone.select("source", "text")).select("document_id"))
+    english = given.raw_documents(spark, sf_dir, "lang = 'en'").select("source", "text")
+    store.delete_documents(chunking.identify_documents(english).select("document_id"))
     return store.list_documents()
 
 
@@ -415,11 +412,9 @@ def search_after_changes(spark, sf_dir):
     """
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.ingest(given.raw_documents(spark, sf_dir).select("source", "text"))
-    languages = given.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    uploads = given.raw_documents(spark, sf_dir).join(languages, "doc_id")
-    store.ingest(uploads.where("lang = 'en'").select("source", "text"))
-    german = chunking.identify_documents(uploads.where("lang = 'de'").select("source", "text"))
-    store.delete_documents(german.select("document_id"))
+    store.ingest(given.raw_documents(spark, sf_dir, "lang = 'en'").select("source", "text"))
+    german = given.raw_documents(spark, sf_dir, "lang = 'de'").select("source", "text")
+    store.delete_documents(chunking.identify_documents(german).select("document_id"))
     return shown(retrieval.search(store.index(), prepared(spark, sf_dir), **NARROW))
 
 
@@ -480,8 +475,7 @@ def duplicate_case_ids(spark, sf_dir):
 
 def missing_sources(spark, sf_dir):
     """Relevant sources against a corpus without its English documents."""
-    documents = given.table(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id")
-    corpus = given.raw_documents(spark, sf_dir).join(documents, "doc_id", "left_semi")
+    corpus = given.raw_documents(spark, sf_dir, "lang <> 'en'")
     return evaluation.missing_sources(given.relevance(spark, sf_dir), corpus)
 
 

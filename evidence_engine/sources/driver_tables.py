@@ -11,7 +11,7 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators.chunking import chunk_documents, identify_documents
 from evidence_engine.operators.index import Index, read_index, write_index
-from evidence_engine.sources.scratch import scratch_path, spread
+from evidence_engine.sources.scratch import materialize, scratch_path, spread
 
 ANCHOR_WORDS = 4
 
@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_documents(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
     """``doc_id, source, text``; the source is made unique so that it is a path of one document."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = table(spark, sf_dir, "documents").where(condition).select("doc_id", "source", "text")
     return spread(documents, "doc_id").withColumn("source", _path())
 
 
@@ -92,7 +92,8 @@ def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """``doc_id, item_id`` where a text contains a passage as whole words.
 
     An equi-join on hashed runs of the passage's first words finds the few candidates, which are
-    then compared in full: no text meets a passage with which it shares no run of words.
+    then compared in full: no text meets a passage with which it shares no run of words. The
+    candidates are written first; Spark then knows how few they are, and need not shuffle texts.
     """
     items = passages.select("item_id", _words(F.col("text")).alias("words")).where("words[0] <> ''")
     least = 1 if not items.where(F.array_size("words") < ANCHOR_WORDS).isEmpty() else ANCHOR_WORDS
@@ -104,15 +105,16 @@ def find_passages(texts: DataFrame, passages: DataFrame) -> DataFrame:
         texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("anchor"))
         .join(keyed.select("item_id", "anchor"), "anchor")
         .select("doc_id", "item_id")
+        .distinct()
     )
     padded = F.concat(F.lit(" "), F.array_join(_words(F.col("text")), " "), F.lit(" "))
     sought = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     return (
-        candidates.join(keyed.select("item_id", "words"), "item_id")
-        .join(texts.select("doc_id", "text"), "doc_id")
+        texts.select("doc_id", "text")
+        .join(materialize(candidates, "candidates"), "doc_id")
+        .join(keyed.select("item_id", "words"), "item_id")
         .where(F.contains(padded, sought))
         .select("doc_id", "item_id")
-        .distinct()
     )
 
 
