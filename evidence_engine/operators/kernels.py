@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 SCORE_DIGITS = 9  # ranks must not depend on the order in which floats were added
 BLOCK_CELLS = 4_000_000  # upper bound of any matrix a task holds (32 MB of doubles)
 POOL_ROWS = 20_000
+CELL_COST = 128  # adding to one cell costs about as much as this many cells of a matrix product
 CACHED_TERMS = 500_000
 
 
@@ -70,35 +71,59 @@ def norms(matrix: np.ndarray) -> np.ndarray:
 
 
 class Bm25Scorer:
-    """Okapi BM25; ``weights`` holds idf x query multiplicity as (term, query, weight) triplets."""
+    """Okapi BM25; ``triplets`` hold idf x query multiplicity as (term, query, weight).
+
+    Terms that many chunks and many queries share go through a matrix product. The others, by far
+    the most, touch few (chunk, query) cells each and are added cell by cell.
+    """
 
     positive_only = True
 
-    def __init__(self, vocabulary, triplets, n_queries, avg_len, k1, b):
-        self.vocabulary, self.triplets, self.n_queries = vocabulary, triplets, n_queries
+    def __init__(self, vocabulary, shares, triplets, n_queries, avg_len, k1, b):
+        self.vocabulary, self.n_queries = vocabulary, n_queries
         self.avg_len, self.k1, self.b = avg_len or 1.0, k1, b
-        self.weights = None
+        term, query, weight = triplets
+        queries_per_term = np.bincount(term, minlength=len(vocabulary))
+        self.common = shares * queries_per_term * CELL_COST > n_queries
+        self.column = np.cumsum(self.common) - 1
+        common = self.common[term]
+        self.weights = np.zeros((int(self.common.sum()), n_queries))
+        self.weights[self.column[term[common]], query[common]] = weight[common]
+        order = np.flatnonzero(~common)[np.argsort(term[~common], kind="stable")]
+        self.rare_query, self.rare_weight = query[order], weight[order]
+        self.rare_count = np.where(self.common, 0, queries_per_term)
+        self.rare_start = np.cumsum(self.rare_count) - self.rare_count
 
     def width(self) -> int:
-        return max(len(self.vocabulary), self.n_queries, 1)
+        return max(len(self.weights), self.n_queries, 1)
 
-    def __call__(self, chunks: pa.Table) -> np.ndarray:
-        if self.weights is None:
-            self.weights = np.zeros((len(self.vocabulary), self.n_queries))
-            term, query, weight = self.triplets
-            self.weights[term, query] = weight
-        tokens = one_array(chunks["tokens"])
-        count = len(tokens)
+    def saturations(self, tokens: pa.ListArray):
+        """(chunk, term, saturated frequency) of every query term in every chunk."""
         lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
         found = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
         known = found.is_valid().to_numpy(zero_copy_only=False)
-        term = found.drop_null().to_numpy(zero_copy_only=False)
-        present, column = np.unique(term, return_inverse=True)
-        cells = np.repeat(np.arange(count), lengths)[known] * len(present) + column
-        tf = np.bincount(cells, minlength=count * len(present)).reshape(count, len(present))
-        damping = self.k1 * (1 - self.b + self.b * lengths / self.avg_len)
-        saturation = np.divide(tf * (self.k1 + 1), tf + damping[:, None], out=np.zeros(tf.shape), where=tf > 0)
-        return self.weights[present].T @ saturation.T
+        terms = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        places = np.repeat(np.arange(len(tokens)), lengths)[known] * len(self.vocabulary) + terms
+        places, tf = np.unique(places, return_counts=True)
+        chunk, term = np.divmod(places, max(len(self.vocabulary), 1))
+        damping = self.k1 * (1 - self.b + self.b * lengths[chunk] / self.avg_len)
+        return chunk, term, tf * (self.k1 + 1) / (tf + damping)
+
+    def __call__(self, chunks: pa.Table) -> np.ndarray:
+        tokens = one_array(chunks["tokens"])
+        chunk, term, value = self.saturations(tokens)
+        common = self.common[term]
+        matrix = np.zeros((len(tokens), len(self.weights)))
+        matrix[chunk[common], self.column[term[common]]] = value[common]
+        scores = self.weights.T @ matrix.T
+        chunk, term, value = chunk[~common], term[~common], value[~common]
+        # Each remaining (chunk, term) meets the queries that ask for the term: a run of the triplets.
+        run = self.rare_count[term]
+        which = np.repeat(np.arange(len(term)), run)
+        at = np.arange(len(which)) + np.repeat(self.rare_start[term] - (np.cumsum(run) - run), run)
+        cells = self.rare_query[at] * len(tokens) + chunk[which]
+        scores += np.bincount(cells, value[which] * self.rare_weight[at], scores.size).reshape(scores.shape)
+        return scores
 
 
 class HashedCosineScorer:

@@ -25,10 +25,10 @@ from evidence_engine.operators.index import Index, weigh
 
 cloudpickle.register_pickle_by_value(kernels)
 
-# A pass takes about this many queries, and query tokens or vector entries, at most. The widest
-# matrix it broadcasts or holds is then queries x terms of 8 bytes: some 60 MB.
-QUERIES_PER_PASS = 256
-ENTRIES_PER_PASS = {"tokens": 30_000, "vector": 1_000_000}
+# A pass takes about this many queries, and query tokens or vector entries, at most: a few
+# megabytes to broadcast. Larger passes mean fewer scans, smaller ones less memory per task.
+QUERIES_PER_PASS = 1_000
+ENTRIES_PER_PASS = {"tokens": 100_000, "vector": 2_000_000}
 # What a task keeps is queries x K rows.
 CANDIDATES_PER_PASS = 50_000
 
@@ -84,10 +84,13 @@ def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float
     df = weighted["df"].to_numpy()
     idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
     encoded = kernels.one_array(weighted["term"].dictionary_encode())
+    term = encoded.indices.to_numpy()
+    shares = np.zeros(len(encoded.dictionary))
+    shares[term] = df / max(n_chunks, 1)
     position = {query_id: number for number, query_id in enumerate(query_ids.to_pylist())}
     query = np.array([position[q] for q in weighted["query_id"].to_pylist()], dtype=np.int64)
-    triplets = (encoded.indices.to_numpy(), query, idf * weighted["tf"].to_numpy())
-    return "bm25", encoded.dictionary, triplets, len(query_ids), avg_len, k1, b
+    triplets = (term, query, idf * weighted["tf"].to_numpy())
+    return "bm25", encoded.dictionary, shares, triplets, len(query_ids), avg_len, k1, b
 
 
 def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int, keep: Sequence[str], describe):

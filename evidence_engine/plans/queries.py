@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.functions.chunk_windows import chunk_params_problem, preferred_end as window_end
-from evidence_engine.functions.rounding import round_exact
 from evidence_engine.operators import answers, chunking, evaluation, index, reports, retrieval, scoring, vectors
 from evidence_engine.operators.store import ChunkStore
 from evidence_engine.sources import cases as case_source, driver_tables as given, files
