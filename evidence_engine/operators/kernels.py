@@ -21,39 +21,40 @@ CELL_COST = 128  # adding to one cell costs about as much as this many cells of
 CACHED_TERMS = 500_000
 
 
-def hash_term(term: str, family: str) -> int:
-    """The unsigned integer that decides a term's bucket and sign."""
+def hash_terms(terms: list[str], family: str) -> np.ndarray:
+    """The unsigned integers that decide the buckets and signs of terms."""
     if family == "blake2b":
-        return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big")
-    if family == "md5":
-        return int(hashlib.md5(term.encode()).hexdigest()[:15], 16)
+        digests = b"".join([hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms])
+        return np.frombuffer(digests, ">u8").astype(np.uint64)
+    if family == "md5":  # the first 15 hexadecimal digits
+        digests = b"".join([hashlib.md5(t.encode()).digest()[:8] for t in terms])
+        return np.frombuffer(digests, ">u8").astype(np.uint64) >> np.uint64(4)
     raise ValueError(f"unknown hash family {family!r}")
 
 
 class TermHasher:
-    """Signed feature hashing of token lists; only distinct terms of a batch are hashed."""
+    """Signed feature hashing of token lists; only terms that are new to the task are hashed."""
 
     def __init__(self, dimension: int, family: str):
         self.dimension, self.family, self.known = dimension, family, {}
 
-    def _locate(self, term: str) -> tuple[int, int]:
-        place = self.known.get(term)
-        if place is None:
-            if len(self.known) >= CACHED_TERMS:
-                self.known.clear()
-            value = hash_term(term, self.family)
-            place = self.known[term] = (value % self.dimension, 1 if value & 1 else -1)
-        return place
+    def _values(self, terms: list[str]) -> np.ndarray:
+        if len(self.known) > CACHED_TERMS:
+            self.known = {}
+        new = [t for t in terms if t not in self.known]
+        self.known.update(zip(new, hash_terms(new, self.family).tolist()))
+        return np.array([self.known[t] for t in terms], dtype=np.uint64)
 
     def matrix(self, tokens: pa.ListArray) -> np.ndarray:
         """Integer-valued ``len(tokens) x dimension`` matrix of signed counts."""
-        rows = row_numbers(tokens)
         encoded = pc.dictionary_encode(tokens.flatten())
-        places = np.array([self._locate(t) for t in encoded.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+        values = self._values(encoded.dictionary.to_pylist())
+        bucket = (values % np.uint64(self.dimension)).astype(np.int64)
+        sign = np.where(values % np.uint64(2) == 1, 1.0, -1.0)
         code = encoded.indices.to_numpy(zero_copy_only=False)
         cells = np.bincount(
-            rows * self.dimension + places[code, 0],
-            weights=places[code, 1],
+            row_numbers(tokens) * self.dimension + bucket[code],
+            weights=sign[code],
             minlength=len(tokens) * self.dimension,
         )
         return cells.reshape(len(tokens), self.dimension)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -162,10 +163,13 @@ def test_statistics_count_chunks_without_tokens(spark):
 
 
 def test_hash_golden():
-    number = kernels.hash_term("p0", "blake2b")
+    number = int(kernels.hash_terms(["p0"], "blake2b")[0])
     assert (number % 384, number % 2) == (372, 0)
+    assert kernels.hash_terms(["p0", "中"], "md5").tolist() == [
+        int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in ("p0", "中")
+    ]
     with pytest.raises(ValueError):
-        kernels.hash_term("p0", "crc")
+        kernels.hash_terms(["p0"], "crc")
 
 
 @pytest.mark.parametrize("dimension", [7, 384])
