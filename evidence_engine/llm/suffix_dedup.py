@@ -11,9 +11,11 @@ and counting of buckets is distributed:
    are always in one bucket, whatever surrounds them. Buckets with one suffix are dropped.
 2. Refinement: a bucket is split by the identifier of all bytes that its suffix's windows cover.
    Suffixes that stay together repeat with all their windows.
-3. Refinement of what was split: window identifiers come from q-gram identifiers at later offsets,
-   combined 8 -> 40 -> 200 bytes, each step reusing the one before. One member of each sub-bucket,
-   with its count, stands for all in it, so copies are never expanded into pairs.
+3. Refinement of what was split, in blocks of neighbouring windows: by the bytes that a block's windows
+   share (if those are alone, none of them repeats) and by all bytes that they cover (if those
+   repeat, all do), then window by window. Window identifiers come from identifiers at later
+   offsets, combined in steps up to 200 bytes, each reusing the one before. One member of each
+   sub-bucket, with its count, stands for all in it, so copies are never expanded into pairs.
 
 No bucket is ever gathered: buckets are counted with partial sums, and looked up by joins that Spark
 may split.
@@ -26,12 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from evidence_engine.llm.common import keyed, map_arrow, materialize, texts, with_info
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
+#: Offsets of a block of windows.
+STEP = 16
 BLOCK = 1 << 18
 
 _RANDOM = np.random.default_rng(20_011)
@@ -162,36 +166,52 @@ def _bucket_sizes(length: int):
     return run
 
 
-def _windows(length: int):
-    """Task: the window identifiers of a document's suffixes that stand for split buckets."""
+def _blocks(length: int):
+    """Task: windows of the suffixes that stand for split buckets, in blocks of neighbouring offsets.
+
+    ``inner`` names the bytes that all windows of a block share, ``outer`` all that those present cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            parts: list[tuple] = []
+            keys, rows = [], []
             for doc, h, text, members in zip(
                 batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3)
             ):
                 ids = window_ids(np.frombuffer(text, np.uint8), length).view(np.int64)
-                k, packed, n = (members.values.field(i).to_numpy() for i in range(3))
-                sizes = (packed >> 8 & 255) + 1
-                starts = np.repeat(packed >> 16, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                parts.append((np.repeat(k, sizes), ids[starts], doc, h, starts, np.repeat(n, sizes)))
-            if parts:
-                counts = [len(p[0]) for p in parts]
-                documents = [p[2] for p, c in zip(parts, counts) for _ in range(c)]
-                arrays = [
-                    pa.array(np.concatenate([p[0] for p in parts])),
-                    pa.array(np.concatenate([p[1] for p in parts])),
-                    pa.array(documents, pa.int64()),
-                    pa.array(np.repeat([p[3] for p in parts], counts)),
-                    pa.array(np.concatenate([p[4] for p in parts])),
-                    pa.array(np.concatenate([p[5] for p in parts]).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k", "w", "doc_id", "h", "start", "n"])
+                for k, packed, n in zip(*(members.values.field(i).to_pylist() for i in range(3))):
+                    first, after, back = packed >> 16, packed >> 8 & 255, packed & 255
+                    place, least = first + back, back - after
+                    for low in range(least - least % STEP, back + 1, STEP):
+                        high = low + STEP - 1
+                        inner = digest(text[place - low : place - high + length], seed=low)
+                        low_in, high_in = max(low, least), min(high, back)
+                        start, stop = place - high_in, place - low_in
+                        outer = digest(text[start : stop + length], seed=low_in)
+                        keys.append((k, inner, outer, h, start, n))
+                        rows.append((doc, ids[start : stop + 1]))
+            if keys:
+                table = np.array([(k, i - 2**63, o - 2**63, h, s, n) for k, i, o, h, s, n in keys], np.int64).T.copy()
+                ends = np.cumsum([0] + [len(r[1]) for r in rows]).astype(np.int32)
+                windows = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[1] for r in rows])))
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, table[:5]), pa.array(table[5].astype(np.int32)), pa.array([r[0] for r in rows], pa.int64()), windows],
+                    names=["k", "inner", "outer", "h", "first", "n", "doc_id", "windows"],
+                )
 
     return run
 
 
+BLOCKS = "k long, inner long, outer long, h long, first long, n int, doc_id long, windows array<long>"
+
+
+def _one(*columns: str) -> list[Column]:
+    """The columns of one row of a group, the same row for all."""
+    order = F.xxhash64(*columns)
+    return [F.min_by(c, order).alias(c) for c in columns]
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, h, first, last``: runs of starts of strings of ``length`` bytes that also start elsewhere."""
     rows = docs.select("doc_id", "h", "text").where(F.octet_length("text") >= length)
@@ -203,10 +223,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     members = buckets.where(f"n <> {LOCAL}")
     refined = materialize(
-        members.groupBy("k", "f").agg(
-            F.sum("n").cast("long").alias("size"), F.min(F.struct("doc_id", "h", "run")).alias("member")
-        ),
-        "suffix-refined",
+        members.groupBy("k", "f").agg(F.sum("n").alias("size"), *_one("doc_id", "h", "run")), "suffix-refined"
     )
     split = refined.groupBy("k").agg(F.count("*").alias("parts")).where("parts > 1").select("k")
     together = members.join(refined.where("size > 1").select("k", "f"), ["k", "f"])
@@ -215,21 +232,36 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     stand_ins = (
         refined.join(split, "k")
-        .groupBy("member.doc_id", "member.h")
-        .agg(F.collect_list(F.struct("k", "member.run", F.least("size", F.lit(2)).cast("int").alias("n"))).alias("members"))
+        .groupBy("doc_id", "h")
+        .agg(F.collect_list(F.struct("k", "run", F.least("size", F.lit(2)).cast("int").alias("n"))).alias("members"))
     )
-    windows = materialize(
+    blocks = materialize(
         map_arrow(
-            with_info(rows, stand_ins, "inner").select("doc_id", "h", "text", "members"),
-            _windows(length),
-            "k long, w long, doc_id long, h long, start long, n int",
+            with_info(rows, stand_ins, "inner").select("doc_id", "h", "text", "members"), _blocks(length), BLOCKS
         ),
+        "suffix-blocks",
+    )
+    outers = blocks.groupBy("k", "inner", "outer").agg(
+        F.sum("n").alias("size"), F.max("n").alias("n"), *_one("doc_id", "h", "first")
+    )
+    outers = materialize(outers, "suffix-outer")
+    same = blocks.where("n = 1").join(outers.where("size > 1").select("k", "inner", "outer"), ["k", "inner", "outer"])
+    same = same.select("doc_id", "h", "first", (F.col("first") + F.size("windows") - 1).alias("last"))
+    mixed = outers.groupBy("k", "inner").agg(F.count("*").alias("parts")).where("parts > 1").select("k", "inner")
+    shown = outers.join(mixed, ["k", "inner"]).select(
+        "k", "inner", "outer", "doc_id", "h", "first", F.least("size", F.lit(2)).alias("times")
+    )
+    windows = materialize(
+        blocks.join(shown, ["k", "inner", "outer", "h", "first"])
+        .where(blocks["doc_id"].eqNullSafe(shown["doc_id"]))
+        .select("k", blocks["doc_id"], "h", "first", "times", F.posexplode("windows").alias("at", "w")),
         "suffix-windows",
     )
-    again = windows.groupBy("k", "w").agg(F.sum("n").alias("size")).where("size > 1").select("k", "w")
-    single = windows.where("n = 1").join(again, ["k", "w"]).select("doc_id", "h", F.col("start").alias("first"), F.col("start").alias("last"))
+    again = windows.groupBy("k", "w").agg(F.sum("times").alias("size")).where("size > 1").select("k", "w")
+    at = F.col("first") + F.col("at")
+    single = windows.where("times = 1").join(again, ["k", "w"]).select("doc_id", "h", at.alias("first"), at.alias("last"))
     local = buckets.where(f"n = {LOCAL}").select("doc_id", "h", F.col("run").alias("first"), F.col("f").alias("last"))
-    return whole.unionByName(single).unionByName(local)
+    return whole.unionByName(same).unionByName(single).unionByName(local)
 
 
 def _removed(length: int):
