@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_engine.sources.scratch import materialize, scratch_path
 
-__all__ = ["bounded", "documents", "keyed", "map_arrow", "materialize", "scratch_path", "table", "texts"]
+__all__ = ["Scratch", "bounded", "documents", "keyed", "map_arrow", "materialize", "scratch_path", "table", "texts"]
 
 #: Fixed: white space between words.
 BLANKS = "[ \\t-\\r]+"
@@ -64,3 +64,22 @@ def map_arrow(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
     return df.mapInArrow(function, schema)
+
+
+class Scratch:
+    """Written intermediate tables of one operator, deleted together when later ones replace them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evidence_engine.llm import suffix_dedup
+from evidence_engine.llm import lsh_forest, suffix_dedup
 from evidence_engine.llm.common import documents
 
 
@@ -22,8 +22,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: three-word shingles, similarity 0.85."""
+    found = lsh_forest.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_lsh_forest": op3_lsh_forest,
 }
 
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidence_engine.llm.common import keyed, map_arrow, materialize, texts, with_info
+from evidence_engine.llm.common import Scratch, keyed, map_arrow, materialize, texts, with_info
 
 LENGTH = 200
 GRAM = 64
@@ -213,16 +213,17 @@ def _one(*columns: str) -> list[Column]:
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, h, first, last``: runs of starts of strings of ``length`` bytes that also start elsewhere."""
+    """``doc_id, h, starts``: runs of starts of strings of ``length`` bytes that also start elsewhere; written."""
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "h", "text").where(F.octet_length("text") >= length)
     sizes = map_arrow(rows, _bucket_sizes(length), "k long, n long")
     shared = sizes.groupBy("k").agg(F.sum("n").alias("size")).where("size > 1")
     suffixes = map_arrow(rows, _suffixes(length), ANCHORS)
-    buckets = materialize(
+    buckets = scratch.write(
         suffixes.join(shared, "k", "left").where(f"size is not null or n = {LOCAL}").drop("size"), "suffix-buckets"
     )
     members = buckets.where(f"n <> {LOCAL}")
-    refined = materialize(
+    refined = scratch.write(
         members.groupBy("k", "f").agg(F.sum("n").alias("size"), *_one("doc_id", "h", "run")), "suffix-refined"
     )
     split = refined.groupBy("k").agg(F.count("*").alias("parts")).where("parts > 1").select("k")
@@ -235,7 +236,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .groupBy("doc_id", "h")
         .agg(F.collect_list(F.struct("k", "run", F.least("size", F.lit(2)).cast("int").alias("n"))).alias("members"))
     )
-    blocks = materialize(
+    blocks = scratch.write(
         map_arrow(
             with_info(rows, stand_ins, "inner").select("doc_id", "h", "text", "members"), _blocks(length), BLOCKS
         ),
@@ -244,14 +245,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     outers = blocks.groupBy("k", "inner", "outer").agg(
         F.sum("n").alias("size"), F.max("n").alias("n"), *_one("doc_id", "h", "first")
     )
-    outers = materialize(outers, "suffix-outer")
+    outers = scratch.write(outers, "suffix-outer")
     same = blocks.where("n = 1").join(outers.where("size > 1").select("k", "inner", "outer"), ["k", "inner", "outer"])
     same = same.select("doc_id", "h", "first", (F.col("first") + F.size("windows") - 1).alias("last"))
     mixed = outers.groupBy("k", "inner").agg(F.count("*").alias("parts")).where("parts > 1").select("k", "inner")
     shown = outers.join(mixed, ["k", "inner"]).select(
         "k", "inner", "outer", "doc_id", "h", "first", F.least("size", F.lit(2)).alias("times")
     )
-    windows = materialize(
+    windows = scratch.write(
         blocks.join(shown, ["k", "inner", "outer", "h", "first"])
         .where(blocks["doc_id"].eqNullSafe(shown["doc_id"]))
         .select("k", blocks["doc_id"], "h", "first", "times", F.posexplode("windows").alias("at", "w")),
@@ -261,7 +262,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at = F.col("first") + F.col("at")
     single = windows.where("times = 1").join(again, ["k", "w"]).select("doc_id", "h", at.alias("first"), at.alias("last"))
     local = buckets.where(f"n = {LOCAL}").select("doc_id", "h", F.col("run").alias("first"), F.col("f").alias("last"))
-    return whole.unionByName(same).unionByName(single).unionByName(local)
+    runs = whole.unionByName(same).unionByName(single).unionByName(local)
+    starts = runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last")).alias("starts"))
+    starts = materialize(starts, "suffix-starts")
+    scratch.clear()
+    return starts
 
 
 def _removed(length: int):
@@ -303,13 +308,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     empty table.
     """
     docs = keyed(docs)
-    starts = (
-        repeated_starts(docs, length)
-        .groupBy("doc_id", "h")
-        .agg(F.collect_set(F.struct("first", "last")).alias("starts"))
-    )
     return map_arrow(
-        with_info(docs, starts).select("doc_id", "text", "starts"),
+        with_info(docs, repeated_starts(docs, length)).select("doc_id", "text", "starts"),
         _removed(length),
         "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, stop: long>>",
     )
