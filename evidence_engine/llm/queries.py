@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidence_engine.llm import lsh_forest, suffix_dedup
-from evidence_engine.llm.common import documents
+from evidence_engine.llm import lsh_forest, packing, quality, secrets, suffix_dedup
+from evidence_engine.llm.common import documents, table
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,48 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def tokenizer_file() -> str:
+    """The public word tokenizer; its place is a parameter of the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4,096 tokens."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_file())
+
+
+def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict for all documents."""
+    return quality.rate(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("h")
+
+
+def op9_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secrets.find_secrets(documents(spark, sf_dir))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lsh_forest": op3_lsh_forest,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality_ratio": op8_quality_ratio,
+    "op9_secret_models": op9_secret_models,
 }
 
 ORACLES: dict[str, str] = {}
