@@ -10,6 +10,7 @@ come from counts per task and length, so no task ever holds more than its own pi
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -23,28 +24,59 @@ from evidence_engine.llm.common import Scratch, map_arrow, materialize, texts
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes; the ids of a word do not depend on its neighbours."""
+    """Token ids of texts as little-endian bytes; the ids of a word do not depend on its neighbours.
+
+    New words are encoded together, with a special token between them, which the tokenizer treats as
+    the border of two texts.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json), {}
+        added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", ()) if t["special"]]
+        self.border, self.marks = added[-1], added
+        self.border_id = self.tokenizer.token_to_id(self.border)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        plain = []
+        for word in words:
+            text = word.decode()
+            if any(mark in text for mark in self.marks):
+                self.known[word] = self._ids(text).tobytes()
+            else:
+                plain.append((word, text))
+        for at in range(0, len(plain), 1000):
+            group = plain[at : at + 1000]
+            ids = self._ids(self.border.join(text for _, text in group))
+            for (word, _), part in zip(group, np.split(ids, np.flatnonzero(ids == self.border_id))):
+                self.known[word] = part[part != self.border_id].tobytes()
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        return b"".join(map(known.__getitem__, words))
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(dict.fromkeys(words))
+        self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+
+#: One for each tokenizer that a Python worker has used; a worker serves many tasks.
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_json: str) -> WordIds:
+    if tokenizer_json not in _WORD_IDS:
+        _WORD_IDS[tokenizer_json] = WordIds(tokenizer_json)
+    return _WORD_IDS[tokenizer_json]
 
 
 def _pieces(tokenizer_json: str, capacity: int, end_id: int):
@@ -52,7 +84,7 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_json)
+        ids = word_ids(tokenizer_json)
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]

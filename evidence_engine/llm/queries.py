@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidence_engine.llm import lsh_forest, packing, quality, secrets, suffix_dedup
+from evidence_engine.llm import decontamination, lsh_forest, packing, quality, secrets, suffix_dedup, url_filters
 from evidence_engine.llm.common import documents, table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the address of every page."""
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rules_table(spark))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of strings of 200 bytes that repeat, removed from all documents."""
     removed = suffix_dedup.remove_repeats(documents(spark, sf_dir))
@@ -64,12 +69,19 @@ def op9_secret_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return decontamination.find_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("h")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lsh_forest": op3_lsh_forest,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_ratio": op8_quality_ratio,
     "op9_secret_models": op9_secret_models,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
 
 ORACLES: dict[str, str] = {}
