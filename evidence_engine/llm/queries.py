@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evidence_engine.llm import decontamination, lsh_forest, packing, quality, secrets, suffix_dedup, url_filters
+from evidence_engine.llm import (
+    decontamination,
+    language_model,
+    line_chunks,
+    lsh_forest,
+    packing,
+    quality,
+    secrets,
+    suffix_dedup,
+    url_filters,
+)
 from evidence_engine.llm.common import documents, table
 
 
@@ -33,6 +43,19 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines, removed from all documents."""
+    removed = line_chunks.remove_repeated_chunks(documents(spark, sf_dir).select("doc_id", "text"))
+    return removed.select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.size("__chunks").cast("long").alias("n_chunks"),
+        F.array_join(F.transform("__chunks", lambda c: F.concat_ws("+", c["line"], c["lines"])), ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def tokenizer_file() -> str:
     """The public word tokenizer; its place is a parameter of the installation."""
     import public_tokenizers
@@ -45,6 +68,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file())
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear scores of all documents."""
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op8_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict for all documents."""
     return quality.rate(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("h")
@@ -78,7 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lsh_forest": op3_lsh_forest,
+    "op5_line_chunks": op5_line_chunks,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_log_bilinear": op7_log_bilinear,
     "op8_quality_ratio": op8_quality_ratio,
     "op9_secret_models": op9_secret_models,
     "op10_spaced_seeds": op10_spaced_seeds,
