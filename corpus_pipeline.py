@@ -4,11 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidence_engine.llm.common import documents, materialize
+from evidence_engine.llm import decontamination, line_chunks, lsh_forest, packing, quality
+from evidence_engine.llm.common import documents, materialize, table
+from evidence_engine.llm.queries import tokenizer_file
 
-STAGES: list = []
 
-#: SQL cannot express the model-based and iterative stages.
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the rules or look unlike trusted ones."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut chunks of lines that an earlier document has, and documents of which nothing is left."""
+    return line_chunks.keep_first_chunks(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: five-word shingles, similarity 0.8."""
+    return lsh_forest.keep_one(docs, words=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold passages of the benchmark."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenize and pack into sequences of 4,096 tokens."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
+
+#: SQL cannot express the model-based and iterative stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 

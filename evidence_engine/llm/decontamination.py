@@ -149,5 +149,5 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no benchmark item, with all their columns."""
     bad = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    condition = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
+    condition = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
     return docs.join(bad, condition, "left_anti")

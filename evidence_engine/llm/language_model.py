@@ -27,10 +27,10 @@ from evidence_engine.llm.common import Scratch, map_arrow, texts
 
 CLASSES = 1024
 SIZE = 16
-NOISE = 32
+NOISE = 64
 BATCH = 2048
 ROUNDS = 2
-RATE = 0.1
+RATE = 0.05
 #: Words whose counts every task holds.
 COMMON = 1 << 18
 #: Distinct words that a task counts before it passes them on.
@@ -72,7 +72,7 @@ class Model:
         n = len(words) + 2
         self.ids = {word: i + 2 for i, word in enumerate(words)}
         self.noise = counts / counts.sum()
-        self.u, self.v, self.r = (random.normal(0, 0.05, (n, SIZE)).astype(np.float32) for _ in range(3))
+        self.u, self.v, self.r = (random.normal(0, 0.1, (n, SIZE)).astype(np.float32) for _ in range(3))
         self.b = np.log(self.noise).astype(np.float32)
 
     def stream(self, text: bytes) -> np.ndarray:
@@ -98,7 +98,7 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int):
         self.model, self.random = model, np.random.default_rng(seed)
-        self.sums = {name: np.full(getattr(model, name).shape, 1e-2, np.float32) for name in "uvrb"}
+        self.sums = {name: np.ones(getattr(model, name).shape, np.float32) for name in "uvrb"}
         self.edges = np.cumsum(model.noise)
 
     def step(self, first: np.ndarray, second: np.ndarray, word: np.ndarray) -> None:

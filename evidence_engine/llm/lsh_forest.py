@@ -21,7 +21,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evidence_engine.llm.common import Scratch, keyed, map_arrow, materialize, texts, with_info
+from evidence_engine.llm.common import Scratch, keyed, map_arrow, materialize, text_hash, texts
 from evidence_engine.llm.components import components
 from evidence_engine.llm.words import hashed, shingles
 
@@ -245,11 +245,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; equal rows come back once."""
-    from evidence_engine.llm.common import text_hash
-
-    kept = near_duplicates(docs, words, percent).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("h").alias("__h")
-    ).distinct()
-    condition = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
-    return docs.join(kept, condition, "left_semi").distinct()
+    """The documents that ``near_duplicates`` keeps, with all their columns; of rows with one id and text one."""
+    found = near_duplicates(docs, words, percent).where("kept")
+    kept = found.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
+    condition = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
+    if kept.where("__n > 1").isEmpty():
+        return docs.join(kept, condition, "left_semi")
+    return docs.join(kept, condition).dropDuplicates(["__id", "__h"]).select(*(docs[c] for c in docs.columns))

@@ -16,6 +16,7 @@ from evidence_engine.llm import (
     secrets,
     suffix_dedup,
     url_filters,
+    warc,
 )
 from evidence_engine.llm.common import documents, table
 
@@ -43,6 +44,11 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back through the index."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines, removed from all documents."""
     removed = line_chunks.remove_repeated_chunks(documents(spark, sf_dir).select("doc_id", "text"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_capture_index": op4_capture_index,
     "op5_line_chunks": op5_line_chunks,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_log_bilinear": op7_log_bilinear,
