@@ -32,7 +32,7 @@ BATCH = 2048
 ROUNDS = 2
 RATE = 0.05
 #: Words whose counts every task holds.
-COMMON = 1 << 18
+COMMON = 1 << 17
 #: Distinct words that a task counts before it passes them on.
 HELD = 300_000
 

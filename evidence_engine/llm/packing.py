@@ -10,7 +10,10 @@ come from counts per task and length, so no task ever holds more than its own pi
 
 from __future__ import annotations
 
+import itertools
 import json
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,50 +26,83 @@ from evidence_engine.llm.common import Scratch, map_arrow, materialize, texts
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task remembers.
+PUNCTUATION = string.punctuation.encode()
+#: Words, and stems, whose ids a Python worker remembers.
 REMEMBERED = 500_000
 
 
 class WordIds:
     """Token ids of texts as little-endian bytes; the ids of a word do not depend on its neighbours.
 
-    New words are encoded together, with a special token between them, which the tokenizer treats as
-    the border of two texts.
+    The tokenizer lower-cases, and a letter and the punctuation behind it are never one token. So a new
+    word is put together from its lower-cased stem and its trailing punctuation, and only new stems
+    and marks are encoded, many at a time.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer_json), {}
-        added = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens", ()) if t["special"]]
-        self.border, self.marks = added[-1], added
-        self.border_id = self.tokenizer.token_to_id(self.border)
+        model = json.loads(tokenizer_json)
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.marks = [t["content"].lower() for t in model.get("added_tokens", ())]
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        suffix = model["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = []
-        for word in words:
-            text = word.decode()
-            if any(mark in text for mark in self.marks):
-                self.known[word] = self._ids(text).tobytes()
+    def _learn(self, stems: list[bytes]) -> None:
+        """Encode stems. Those of letters alone are one pre-token each, and end with an end-of-word token."""
+        letters = []
+        for stem in stems:
+            text = stem.decode()
+            if text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha():
+                letters.append((stem, text))
             else:
-                plain.append((word, text))
-        for at in range(0, len(plain), 1000):
-            group = plain[at : at + 1000]
-            ids = self._ids(self.border.join(text for _, text in group))
-            for (word, _), part in zip(group, np.split(ids, np.flatnonzero(ids == self.border_id))):
-                self.known[word] = part[part != self.border_id].tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(dict.fromkeys(words))
-        self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+                self.stems[stem] = self._ids(text).tobytes()
+        for at in range(0, len(letters), 200):
+            group = letters[at : at + 200]
+            ids = self._ids(" ".join(text for _, text in group))
+            parts = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
+            if len(parts) != len(group):  # a tokenizer without such tokens
+                parts = [self._ids(text) for _, text in group]
+            self.stems.update((stem, part.tobytes()) for (stem, _), part in zip(group, parts))
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(PUNCTUATION)
+        if not stem or not stem[-1:].isalpha():
+            return word.lower(), b""
+        return stem.lower(), word[len(stem) :]
+
+    def _known_stem(self, stem: bytes) -> bool:
+        if stem in self.stems or not stem:
+            return True
+        if stem in self.older:
+            self.stems[stem] = self.older[stem]
+            return True
+        return False
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.split() for text in texts]
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.stems) > REMEMBERED:
+            self.stems, self.older = {}, self.stems
+        new = {w: self._parts(w) for words in split for w in words if w not in self.words}
+        special = [w for w in new if any(mark in w.lower().decode() for mark in self.marks)] if self.marks else []
+        for word in special:
+            self.words[word] = self._ids(word.decode()).tobytes()
+            del new[word]
+        self._learn([s for s in dict.fromkeys(s for parts in new.values() for s in parts) if not self._known_stem(s)])
+        stems = self.stems
+        self.words.update((w, stems[stem] + stems[end] if end else stems[stem]) for w, (stem, end) in new.items())
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 #: One for each tokenizer that a Python worker has used; a worker serves many tasks.
@@ -90,8 +126,10 @@ def _pieces(tokenizer_json: str, capacity: int, end_id: int):
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                data = memoryview(ids.encode(text or b"") + end)
+            values = [text or b"" for text in texts(batch.column(1))]
+            groups = (ids.encode_all(values[at : at + 500]) for at in range(0, len(values), 500))
+            for doc, text_ids in zip(batch.column(0).to_pylist(), itertools.chain.from_iterable(groups)):
+                data = memoryview(text_ids + end)
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part_ids = data[at : at + 4 * capacity]
                     length = len(part_ids) // 4
