@@ -2,8 +2,8 @@
 
 Whether a string looks random is a likelihood ratio of two character Markov models of first order.
 Both are trained on all documents, labelled by the patterns: what they find counts as random, all
-other identifier characters as ordinary. The models are sums of transition counts, one small table
-whatever the corpus. Without random samples that model is uniform.
+other identifier characters as ordinary; the random model is mixed with a uniform one. The models are sums of transition counts, one small table
+whatever the corpus.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SYMBOLS = len(ALPHABET)
 LEAST_RANDOM = 20
 #: Nats per character that a string must be likelier as a random one.
 MARGIN = 0.5
+#: Weight of a uniform model beside the trained one of random strings: keys may use letters that no sample has.
+UNIFORM = 0.5
 #: Added to every transition's count.
 SMOOTHING = 1.0
 
@@ -103,7 +105,8 @@ def train(docs: DataFrame) -> np.ndarray:
         table = np.full(SYMBOLS**2, SMOOTHING)
         table[counts["at"].to_numpy(np.int64)] += counts[kind].to_numpy(np.float64)
         table = table.reshape(SYMBOLS, SYMBOLS)
-        model[kind] = np.log(table / table.sum(axis=1, keepdims=True))
+        table /= table.sum(axis=1, keepdims=True)
+        model[kind] = np.log(table if kind == "ordinary" else (1 - UNIFORM) * table + UNIFORM / SYMBOLS)
     return model["random"] - model["ordinary"]
 
 

@@ -1,0 +1,135 @@
+"""The training-data operators, written out plainly for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import regex
+
+
+def words(text, lower=True):
+    data = (text or "").encode()
+    return (data.lower() if lower else data).split()
+
+
+def suffix_dedup(rows, length=200):
+    data = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(t[j : j + length] for _, t in data for j in range(len(t) - length + 1))
+    out = []
+    for i, t in data:
+        gone = [False] * len(t)
+        for j in range(len(t) - length + 1):
+            if seen[t[j : j + length]] > 1:
+                gone[j : j + length] = [True] * length
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = sum(g and not (x and gone[x - 1]) for x, g in enumerate(gone))
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def shingle_set(text, n):
+    w = words(text)
+    return frozenset(tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1))))
+
+
+def near_duplicates(rows, n, percent):
+    """Rows have distinct ids."""
+    sets = {i: shingle_set(t, n) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            x, y = sets[a], sets[b]
+            if a < b and x and y and 100 * len(x & y) >= percent * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return [(i, len(sets[i]), find(i), find(i) == i) for i in ids]
+
+
+def base_quality(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = defaultdict(list)
+    for j in range(len(w) - 7):
+        windows[tuple(w[j : j + 8])].append(j)
+    again = {k for v in windows.values() if len(v) > 1 for j in v for k in range(j, j + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 20 or 100 * len(again) > 30 * len(w)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(again), failed
+
+
+def secrets(text):
+    text = text or ""
+    letters = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = rf"""({letters})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(assign, text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found)]
+
+
+def unigram(rows):
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    counts = Counter()
+    for i, t in rows:
+        if not held[i]:
+            counts.update([*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for i, t in rows:
+        w = [*words(t), None]
+        base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
+        out.append((i, held[i], len(w), sum(counts[x] > 0 for x in w), n, base))
+    return out
+
+
+MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 8, 9))
+
+
+def overlaps(rows, items, window=13, percent=80):
+    def tokens(t):
+        return regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+
+    def seeds(w):
+        return ((m, *(w[a + x] for x in o), a) for m, o in enumerate(MASKS) for a in range(len(w) - o[-1]))
+
+    known, sought = defaultdict(list), {}
+    for i, t in items:
+        sought[i] = tokens(t)
+        for *key, a in seeds(sought[i]):
+            known[tuple(key)].append((i, a))
+    out = {}
+    for d, t in rows:
+        w = tokens(t)
+        for item, shift in {(i, a - b) for *key, a in seeds(w) for i, b in known.get(tuple(key), ())}:
+            g = sought[item]
+            first, skip = max(shift, 0), max(-shift, 0)
+            n, size = min(len(g) - skip, len(w) - first), min(window, len(g))
+            equal = [w[first + k] == g[skip + k] for k in range(n)]
+            if n >= size and max(sum(equal[k : k + size]) for k in range(n - size + 1)) * 100 >= size * percent:
+                out[d, item] = max(out.get((d, item), (-1, 0, 0)), (sum(equal), -shift, n))
+    return sorted((d, i, -back, equal, n) for (d, i), (equal, back, n) in out.items())
+
+
+def verdict(url, rules, addresses_blocked=()):
+    _, found, rest = (url or "").partition("://")
+    rest = rest if found else ""
+    host = re.match("[^/?#]*", rest)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    path = re.match("[^/?#]*([^?#]*)", rest)[1]
+    fits = []
+    for rule, what in rules:
+        name, start = rule[: rule.index("/")], rule[rule.index("/") :]
+        if (host == name or host.endswith("." + name)) and path.startswith(start):
+            fits.append((len(rule), rule, what))
+    best = max(fits, default=(0, None, None))
+    return host, path, best[1], best[2]
