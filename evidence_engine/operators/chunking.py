@@ -20,14 +20,16 @@ def identify_documents(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_documents(documents: DataFrame) -> DataFrame:
-    """One row per document id, at its last position.
+    """One row per document, at its last position; the id has 64 bits, so source and text decide.
 
     Rows of one id have equal content, so a partial aggregate collapses any number of copies
     before the shuffle; the texts travel once per task and id.
     """
-    return documents.groupBy("document_id").agg(
-        F.any_value("source").alias("source"), F.any_value("text").alias("text"), F.max("doc_ord").alias("doc_ord")
+    content = F.sha2("text", 256).alias("content")
+    unique = documents.groupBy("document_id", "source", content).agg(
+        F.any_value("text").alias("text"), F.max("doc_ord").alias("doc_ord")
     )
+    return unique.drop("content")
 
 
 def unique_documents(documents: DataFrame) -> DataFrame:

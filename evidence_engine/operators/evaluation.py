@@ -25,7 +25,7 @@ def explode_relevance(cases: DataFrame) -> DataFrame:
 
 def split_answerable(cases: DataFrame, relevance: DataFrame) -> DataFrame:
     """Cases with ``n_relevant`` and ``answerable``; only answerable ones are scored."""
-    counts = relevance.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    counts = relevance.groupBy("case_id").agg(F.count_distinct("source").alias("n_relevant"))
     counted = cases.join(counts, "case_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
     return counted.withColumn("answerable", F.col("should_answer") & (F.col("n_relevant") > 0))
 
@@ -49,8 +49,10 @@ def score_cases(
 ) -> DataFrame:
     """Unrounded metrics per ``strategy, k, case``: every answerable case has a row.
 
-    A source is credited once, at its first rank; ranks are not compacted.
+    A source is credited once, at its first rank; ranks are not compacted. Repeated rows of
+    ``relevance`` count once.
     """
+    relevance = relevance.select("case_id", "source").distinct()
     settings = [F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("k")) for s in strategies for k in sorted(set(ks))]
     expected = (
         split_answerable(cases, relevance)

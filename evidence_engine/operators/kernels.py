@@ -163,6 +163,8 @@ class VectorCosineScorer:
         if (lengths != self.queries.shape[1]).any():
             raise ValueError(f"vector dimensions differ: queries have {self.queries.shape[1]}")
         matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+        if not np.isfinite(matrix).all():
+            raise ValueError("a chunk's vector has an entry that is missing or not finite")
         return (self.queries @ matrix.T) / (self.query_norms[:, None] * norms(matrix)[None, :])
 
 

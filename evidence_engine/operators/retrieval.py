@@ -66,9 +66,12 @@ def blank_queries(questions: DataFrame) -> DataFrame:
 
 
 def query_passes(queries: DataFrame, features: Sequence[str], k: int) -> Iterator[DataFrame]:
-    """Split queries by hash into passes small enough to broadcast; usually there is one."""
+    """Split queries by hash into passes small enough to broadcast; usually there is one. Repeated ids are an error."""
     entries = [F.sum(F.array_size(feature).cast("bigint")) for feature in features]
     n, *totals = queries.agg(F.count(F.lit(1)), *entries).first()
+    repeated = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if repeated:
+        raise ValueError(f"query id {repeated['query_id']} occurs {repeated['n']} times")
     shares = [(total or 0) / ENTRIES_PER_PASS[feature] for feature, total in zip(features, totals)]
     passes = math.ceil(max(n / QUERIES_PER_PASS, n * k / CANDIDATES_PER_PASS, *shares))
     for number in range(passes):
@@ -188,7 +191,10 @@ def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[s
 
 
 def _matrix(held: pa.Table) -> np.ndarray:
-    return np.array(held["vector"].to_pylist(), dtype=np.float64)
+    matrix = np.array(held["vector"].to_pylist(), dtype=np.float64)
+    if not np.isfinite(matrix).all():
+        raise ValueError("a query's vector has an entry that is missing or not finite")
+    return matrix
 
 
 def embed(index: Index, queries: DataFrame, model: Callable[[Column], Column]) -> tuple[Index, DataFrame]:
@@ -237,7 +243,10 @@ def rank_strategies(
 
     fused_score = share(dense_weight, "dense_rank") + share(sparse_weight, "sparse_rank")
     fused = (
-        candidates.groupBy(F.col("at.strategy").alias("strategy"), F.col("at.k").alias("k"), "query_id", "chunk_id")
+        candidates.groupBy(
+            # The place names a chunk even where two ids, of 64 bits, should be equal.
+            F.col("at.strategy").alias("strategy"), F.col("at.k").alias("k"), "query_id", "chunk_id", "doc_ord", "chunk_index"
+        )
         .agg(
             rank_in("dense").alias("dense_rank"),
             rank_in("bm25").alias("sparse_rank"),

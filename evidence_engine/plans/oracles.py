@@ -353,6 +353,10 @@ ORACLES = {
     "filter_supported": """SELECT path FROM (
         SELECT source || '/' || doc_id || ['.txt', '.MD', '.pdf', '.png', '', '.txt.gz', '.'][doc_id % 7 + 1] AS path
         FROM documents) WHERE regexp_matches(path, '(?i)[^/]\\.(txt|md|pdf)$')""",
+    "scan_rejects": """SELECT path, CASE WHEN path LIKE '%.PDF' THEN 'PDF files are not parsed: give their pages as a table'
+        ELSE 'unsupported file type' END AS reason FROM (
+        SELECT source || '/' || doc_id || ['.txt', '.MD', '.PDF', '.png', '', '.txt.gz', '.'][doc_id % 7 + 1] AS path
+        FROM documents) WHERE NOT regexp_matches(path, '\\.(txt|MD)$')""",
     "decode_text": "SELECT doc_id, text, false AS undecodable FROM documents",
     "assemble_pages": f"""SELECT conv_id, string_agg(coalesce(text, ''), {NL} || {NL} ORDER BY turn) AS text
         FROM conversations GROUP BY conv_id""",
@@ -453,10 +457,12 @@ ORACLES = {
     "recall_at_k": _evaluated("SELECT strategy, k, case_id, round(recall, 6) AS recall FROM scores"),
     "reciprocal_rank": _evaluated("SELECT strategy, k, case_id, round(reciprocal_rank, 6) AS reciprocal_rank FROM scores"),
     "ndcg_at_k": _evaluated("SELECT strategy, k, case_id, round(ndcg, 6) AS ndcg FROM scores"),
-    "eval_details": _evaluated(f"""SELECT strategy, k, case_id, category, question, coalesce(retrieved, '') AS retrieved,
+    "eval_details": _evaluated(f"""SELECT strategy, k, case_id, category, question, coalesce(retrieved, '') AS retrieved, expected,
         hit > 0 AS hit, {round_exact('recall', 4)} AS recall, {round_exact('reciprocal_rank', 4)} AS reciprocal_rank,
         {round_exact('ndcg', 4)} AS ndcg
         FROM scores JOIN (SELECT case_id, category, question FROM cases) USING (case_id)
+        JOIN (SELECT case_id, string_agg(DISTINCT source, ',' ORDER BY source) AS expected
+              FROM relevance GROUP BY case_id) USING (case_id)
         LEFT JOIN (SELECT strategy, k, query_id AS case_id, string_agg(source, ',' ORDER BY rank) AS retrieved
                    FROM hits GROUP BY ALL) USING (strategy, k, case_id)"""),
     "eval_metrics": _evaluated("SELECT * FROM metrics"),

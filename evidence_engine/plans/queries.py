@@ -75,6 +75,16 @@ def filter_supported(spark, sf_dir):
     return files.filter_supported(named)
 
 
+def scan_rejects(spark, sf_dir):
+    """What a scan would leave out of files named after documents, and why."""
+    endings = F.array(*map(F.lit, (".txt", ".MD", ".PDF", ".png", "", ".txt.gz", ".")))
+    ending = F.get(endings, (F.col("doc_id") % 7).cast("int"))
+    named = given.table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path")
+    )
+    return files.reject_files(named)
+
+
 def decode_text(spark, sf_dir):
     raw = given.table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return files.decode_text(raw).select("doc_id", "text", "undecodable")
@@ -485,11 +495,12 @@ def split_answerable(spark, sf_dir):
 def eval_details(spark, sf_dir):
     # The hits are used for the scores and for the list of sources: search once.
     hits = materialize(evaluated_hits(spark, sf_dir), "hits")
-    cases = given.cases(spark, sf_dir)
     wanted = given.relevance(spark, sf_dir).select("case_id", "source")
+    expected = wanted.groupBy("case_id").agg(F.array_sort(F.collect_set("source")).alias("relevant_sources"))
+    cases = given.cases(spark, sf_dir).join(expected, "case_id", "left")
     scores = evaluation.score_cases(cases, wanted, hits, fv.STRATEGIES, KS)
     details = evaluation.eval_details(scores, cases, hits)
-    return details.withColumn("retrieved", F.array_join("retrieved", ","))
+    return details.withColumns({c: F.array_join(c, ",") for c in ("retrieved", "expected")})
 
 
 def eval_metrics(spark, sf_dir):
@@ -580,6 +591,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         scan_files,
+        scan_rejects,
         filter_supported,
         decode_text,
         assemble_pages,

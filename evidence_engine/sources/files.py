@@ -77,18 +77,44 @@ def _text_files(spark: SparkSession, directory: str) -> DataFrame:
     return reader.option("pathGlobFilter", "*.{" + ",".join(endings) + "}").load(directory)
 
 
+def qualified(spark: SparkSession, directory: str) -> str:
+    """A directory as its file system names it, without ``//``, ``.`` and ``..``; patterns are an error."""
+    if re.search(r"[*?\[{]", directory):
+        raise ValueError(f"{directory} is a pattern, not a directory")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    full = path(directory).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path(directory))
+    return path(full.toUri().normalize()).toString()
+
+
+def reject_files(files: DataFrame) -> DataFrame:
+    """``path, reason`` of the files that a scan does not read for their names."""
+    name = F.lower(F.col("path"))
+    text = F.lit(False)
+    for suffix in fv.TEXT_SUFFIXES:
+        text = text | name.endswith(suffix)
+    reason = F.when(name.endswith(".pdf"), "PDF files are not parsed: give their pages as a table").otherwise("unsupported file type")
+    return files.where(~text).select("path", reason.alias("reason"))
+
+
+def scan_rejects(spark: SparkSession, directory: str) -> DataFrame:
+    """The reject table of :func:`scan_files`."""
+    return reject_files(list_files(spark, qualified(spark, directory)).select("path"))
+
+
 def scan_files(spark: SparkSession, directory: str, strict: bool = True) -> DataFrame:
     """Text files below a directory as ``source, text``; sources are relative paths.
 
-    A missing directory is an error, as is one without supported files. With ``strict`` an
-    undecodable file is one too; otherwise it is left out (see :func:`undecodable_files`).
-    Files whose names start with ``_`` or ``.`` are not seen by Spark's file sources.
+    A missing directory is an error, as is one without text files, or a pattern. With ``strict`` an
+    undecodable file is one too; otherwise it is left out (see :func:`undecodable_files`). What is
+    not read for its name, PDFs among them, is in :func:`scan_rejects`. Empty files, and those whose
+    names start with ``_`` or ``.``, are not seen by Spark's file sources.
     """
-    if filter_supported(list_files(spark, directory).select("path")).isEmpty():
-        raise ValueError(f"no supported files in {directory}")
-    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", directory).rstrip("/") + "/"
-    start = F.locate(root, F.col("path")) + len(root)
-    relative = F.substring(F.col("path"), start, F.length("path"))
+    directory = qualified(spark, directory)
+    if _text_files(spark, directory).select("path").isEmpty():
+        raise ValueError(f"no supported files in {directory}: only text files are read")
+    root = directory.rstrip("/") + "/"
+    outside = F.raise_error(F.concat(F.col("path"), F.lit(f" is not below {root}"))).cast("string")
+    relative = F.when(F.startswith("path", F.lit(root)), F.substring(F.col("path"), len(root) + 1, 1 << 30)).otherwise(outside)
     decoded = decode_text(_text_files(spark, directory).select(relative.alias("source"), "content"))
     if strict:
         complaint = F.raise_error(F.concat(F.lit("undecodable file: "), F.col("source"))).cast("string")

