@@ -19,6 +19,7 @@ from evidence_engine.llm import (
     warc,
 )
 from evidence_engine.llm.common import documents, table
+from evidence_engine.llm.oracles import ORACLES
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +109,8 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -120,5 +123,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_models": op9_secret_models,
     "op10_spaced_seeds": op10_spaced_seeds,
 }
-
-ORACLES: dict[str, str] = {}
