@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # The most alike neighbour of every text first; then what still lies between two components.
     both = likely.select("x", "y", "alike").union(likely.select("y", "x", "alike"))
-    best = both.groupBy("x").agg(F.max_by("y", "alike").alias("y"))
-    best = best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    best = both.groupBy("x").agg(F.max_by("y", F.struct("alike", "y")).alias("y"))
+    # Written, as it is used twice: what is left out below must be what was verified here.
+    best = scratch.write(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "forest-best")
     same_id = members.where("doc_id <> class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
     named = same_id.join(nodes.groupBy("doc_id").agg(F.count_distinct("h").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("u")), "u", "left_semi")
     links = scratch.write(verified(best), "forest-links")

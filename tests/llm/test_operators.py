@@ -70,6 +70,24 @@ def test_near_duplicates(docs, rows, words, percent):
     )
 
 
+def test_near_duplicates_with_equal_signatures(spark):
+    """Many neighbours are equally alike: whichever is verified first, no link is lost."""
+    r = random.Random(17)
+    rows = []
+    for group in range(12):
+        base = [f"w{group}x{i}" for i in range(60)]
+        for _ in range(25):
+            changed = list(base)
+            for at in r.sample(range(60), 2):
+                changed[at] = f"other{r.randrange(4)}"
+            rows.append((len(rows), " ".join(changed)))
+    expected = ordered(brute.near_duplicates(rows, 3, 85))
+    for parts in (1, 3, 8):
+        r.shuffle(rows)
+        dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert shown(lsh_forest.near_duplicates(dealt, 3, 85)) == expected
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in lsh_forest.near_duplicates(odd[0], 3, 85).collect()}
     size = len(brute.shingle_set(odd[1][0][1], 3))
