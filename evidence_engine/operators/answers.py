@@ -8,11 +8,11 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.functions.rounding import round_exact
 
-CITATION_FIELDS = ("chunk_id", "document_id", "source", "text")
+CITATION_FIELDS = ("chunk_id", "document_id", "source", "text", "metadata")
 
 
 def citation(score: str = "score") -> Column:
-    """A hit as it is shown to a reader: its chunk, rounded score and both ranks."""
+    """A hit as it is shown to a reader: its chunk with metadata, rounded score and both ranks."""
     return F.struct(
         *CITATION_FIELDS,
         round_exact(F.col(score), fv.SCORE_DECIMALS).alias("score"),
@@ -25,10 +25,16 @@ def citation_projection(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "rank", citation().alias("citation")).select("query_id", "rank", "citation.*")
 
 
+def search_keys(hits: DataFrame) -> list[str]:
+    """What tells apart the searches that ``hits`` holds, besides their query."""
+    return [c for c in ("strategy", "k") if c in hits.columns]
+
+
 def collect_evidence(hits: DataFrame) -> DataFrame:
-    """One row per query with its at most K hits in rank order."""
+    """One row per query, and per strategy and K if the hits name them, with its at most K hits in rank order."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", citation().alias("citation"))))
-    return hits.groupBy("query_id").agg(F.transform(ordered, lambda hit: hit["citation"]).alias("citations"))
+    citations = F.transform(ordered, lambda hit: hit["citation"]).alias("citations")
+    return hits.groupBy("query_id", *search_keys(hits)).agg(citations)
 
 
 def answer_text(citations: Column) -> Column:
@@ -51,12 +57,12 @@ def context_text(citations: Column) -> Column:
 
 
 def extractive_answer(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """``query_id, answer``; a question without hits gets the fallback sentence."""
-    return answer_queries(questions, hits).select("query_id", "answer")
+    """``query_id, answer``, with ``strategy, k`` if hits name them; without hits, the fallback sentence."""
+    return answer_queries(questions, hits).select("query_id", *search_keys(hits), "answer")
 
 
 def build_context(hits: DataFrame) -> DataFrame:
-    return collect_evidence(hits).select("query_id", context_text(F.col("citations")).alias("context"))
+    return collect_evidence(hits).select("query_id", *search_keys(hits), context_text(F.col("citations")).alias("context"))
 
 
 def prompt_table(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -70,17 +76,23 @@ def prompt_table(questions: DataFrame, hits: DataFrame) -> DataFrame:
     return (
         questions.select("query_id", "question")
         .join(build_context(hits), "query_id")
-        .select("query_id", F.lit(fv.SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("user_prompt"))
+        .select("query_id", *search_keys(hits), F.lit(fv.SYSTEM_PROMPT).alias("system_prompt"), prompt.alias("user_prompt"))
     )
 
 
 def answer_queries(questions: DataFrame, hits: DataFrame) -> DataFrame:
-    """Question as asked, answer, and all its hits as citations; blank questions are left out."""
+    """Question as asked, answer, and all its hits as citations; blank questions are left out.
+
+    If the hits name ``strategy`` and ``k``, each of these with hits for a question answers it in a row
+    of its own; a question without any hits has one row, where both are missing.
+    """
     asked = questions.where(~tx.is_blank(F.col("question"))).select("query_id", "question")
     answered = asked.join(collect_evidence(hits), "query_id", "left")
     answer = F.when(F.col("citations").isNull(), F.lit(fv.ANSWER_FALLBACK)).otherwise(answer_text(F.col("citations")))
     citations = F.coalesce("citations", F.array().cast(answered.schema["citations"].dataType))
-    return answered.select("query_id", "question", answer.alias("answer"), citations.alias("citations"))
+    return answered.select(
+        "query_id", *search_keys(hits), "question", answer.alias("answer"), citations.alias("citations")
+    )
 
 
 def generated_answers(prompts: DataFrame, generate) -> DataFrame:
@@ -90,4 +102,4 @@ def generated_answers(prompts: DataFrame, generate) -> DataFrame:
     """
     reply = generate(F.col("system_prompt"), F.col("user_prompt"))
     filled = F.when(F.coalesce(reply, F.lit("")) == "", F.lit(fv.ANSWER_FALLBACK)).otherwise(reply)
-    return prompts.select("query_id", filled.alias("answer"))
+    return prompts.select("query_id", *search_keys(prompts), filled.alias("answer"))

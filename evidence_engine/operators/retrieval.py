@@ -32,8 +32,8 @@ ENTRIES_PER_PASS = {"tokens": 100_000, "vector": 2_000_000}
 # What a task keeps is queries x K rows.
 CANDIDATES_PER_PASS = 50_000
 
-# On more cores than this, the candidates of their tasks are merged in two steps.
-CORES_PER_MERGE = 400
+# Candidates are merged in two steps; in the first, a query's are dealt into so many groups.
+MERGE_GROUPS = 64
 
 CHUNK_COLUMNS = ("chunk_id", "document_id", "source", "text")
 
@@ -131,9 +131,8 @@ def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
     """Global ranks from the tasks' candidates.
 
-    Every later step groups by query, so one shuffle on ``query_id`` serves them all. A large
-    cluster runs many tasks, so it first thins the candidates in salted groups: what meets
-    in one task per query then shrinks by the root of the number of cores.
+    Candidates are thinned in groups of tasks first, so that no task meets all of a query's. Every
+    later step groups by query: one more shuffle on ``query_id`` serves them all.
     """
     order = (F.desc("score"), "doc_ord", "chunk_index")
 
@@ -142,11 +141,9 @@ def _merge(candidates: DataFrame, k: int) -> DataFrame:
             F.col("rank") <= k
         )
 
-    cores = candidates.sparkSession.sparkContext.defaultParallelism
-    if cores > CORES_PER_MERGE:
-        salted = candidates.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(cores))))
-        candidates = best(salted, "ranking", "query_id", "salt").drop("rank", "salt")
-    return best(candidates.repartition("query_id"), "ranking", "query_id")
+    salted = candidates.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)))
+    thinned = best(salted, "ranking", "query_id", "salt").drop("rank", "salt")
+    return best(thinned.repartition("query_id"), "ranking", "query_id")
 
 
 def rank_chunks(
@@ -263,7 +260,7 @@ def rank_strategies(
     return (
         fused.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= F.col("k"))
-        .select(*columns, *shown, "score", "dense_rank", "sparse_rank")
+        .select(*columns, *shown, F.struct("chunk_index").alias("metadata"), "score", "dense_rank", "sparse_rank")
     )
 
 

@@ -166,9 +166,9 @@ def hits(strategies=fv.STRATEGIES, ks=KS, tag: str = "", rrf_k=fv.RRF_K, dense_w
     return f"""
 cutoffs{tag}(k, depth) AS (VALUES {ks_rows}),
 hits{tag} AS (
-  SELECT strategy, k::INTEGER AS k, query_id, rank::INTEGER AS rank, chunk_id, document_id, source, text, score,
-         dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank
-  FROM ({union}) JOIN (SELECT chunk_id, document_id, source, text FROM chunks{tag}) USING (chunk_id))"""
+  SELECT strategy, k::INTEGER AS k, query_id, rank::INTEGER AS rank, chunk_id, document_id, source, text,
+         chunk_index, score, dense_rank::INTEGER AS dense_rank, sparse_rank::INTEGER AS sparse_rank
+  FROM ({union}) JOIN (SELECT chunk_id, document_id, source, text, chunk_index FROM chunks{tag}) USING (chunk_id))"""
 
 
 def ranking(strategies, ks, dimension=fv.HASH_DIMENSION, hashes=BLAKE2B, tag="", **fusion) -> str:
@@ -252,7 +252,8 @@ COUNTS = "(UNPIVOT (SELECT document_count, chunk_count, case_count FROM summary)
 
 CITATION = f"""
 cited AS (
-  SELECT query_id, rank, chunk_id, document_id, source, text, {round_exact('score', 6)} AS score, dense_rank, sparse_rank
+  SELECT query_id, rank, chunk_id, document_id, source, text, chunk_index, {round_exact('score', 6)} AS score,
+         dense_rank, sparse_rank
   FROM hits)"""
 ANSWERS = f"""
 answers AS (
@@ -388,8 +389,8 @@ ORACLES = {
     "blank_query_guard": f"""SELECT item_id AS query_id, trim(text, {WS}) AS searched, '' AS reason FROM benchmark
         UNION ALL SELECT -1 - item_id, '', 'blank question' FROM benchmark""",
     "chunk_documents": query(DOCS, chunks(), select=f"SELECT {CHUNK_COLUMNS} FROM chunks"),
-    "preferred_end": query(DOCS, chunks(), select="""SELECT document_id, e::INTEGER AS end_char
-        FROM spans WHERE s = 0 AND e > 0 AND n > 500"""),
+    "preferred_end": query(DOCS, chunks(), select=f"""SELECT document_id, s::INTEGER AS start_char, e::INTEGER AS end_char
+        FROM spans WHERE e > 0 AND s + {fv.CHUNK_SIZE} < n AND trim(substring(t, s + 1, e - s), {WS}) <> ''"""),
     "tokenize": query(*_TABLE_TOKENS, select="""SELECT chunk_id, (generate_subscripts(tokens, 1) - 1)::INTEGER AS position,
         unnest(tokens) AS token FROM toks"""),
     "term_frequency": query(*_INDEXED, select="SELECT chunk_id, term, tf FROM postings"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
-from evidence_engine.functions.chunk_windows import chunk_params_problem, preferred_end as window_end
+from evidence_engine.functions.chunk_windows import chunk_params_problem, chunk_windows
 from evidence_engine.operators import answers, chunking, evaluation, index, reports, retrieval, scoring, vectors
 from evidence_engine.operators.store import ChunkStore
 from evidence_engine.sources import cases as case_source, driver_tables as given, files
@@ -206,16 +206,11 @@ def chunk_documents(spark, sf_dir):
 
 
 def preferred_end(spark, sf_dir):
-    """End of the first window of every document that is longer than a window."""
+    """Where every window ends that is not the last of its document."""
     normalized = given.documents(spark, sf_dir).select("document_id", tx.normalize(F.col("text")).alias("text"))
-    size = F.lit(fv.CHUNK_SIZE)
-
-    def first_end(text):
-        window = F.substring(text, F.lit(1), size)
-        return F.when(F.length(text) > size, window_end(window, int(fv.CHUNK_SIZE * fv.BREAK_SEARCH_FROM), size))
-
-    ends = normalized.select("document_id", tx.let(F.col("text"), first_end).alias("end_char"))
-    return ends.where(F.col("end_char").isNotNull())
+    windows = normalized.select("document_id", F.length("text").alias("n"), F.inline(chunk_windows(F.col("text"))))
+    inner = windows.where(F.col("start") + fv.CHUNK_SIZE < F.col("n"))
+    return inner.select("document_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 
 
 def tokenize(spark, sf_dir):
@@ -372,7 +367,7 @@ def hybrid_external(spark, sf_dir):
 
 
 def citation_projection(spark, sf_dir):
-    return answers.citation_projection(found(spark, sf_dir))
+    return answers.citation_projection(found(spark, sf_dir)).select("*", "metadata.chunk_index").drop("metadata")
 
 
 # Store
@@ -431,22 +426,23 @@ def search_after_changes(spark, sf_dir):
 
 
 def extractive_answer(spark, sf_dir):
-    return answers.extractive_answer(given.questions(spark, sf_dir), found(spark, sf_dir))
+    return answers.extractive_answer(given.questions(spark, sf_dir), found(spark, sf_dir)).select("query_id", "answer")
 
 
 def build_context(spark, sf_dir):
-    return answers.build_context(found(spark, sf_dir))
+    return answers.build_context(found(spark, sf_dir)).select("query_id", "context")
 
 
 def prompt_table(spark, sf_dir):
-    return answers.prompt_table(given.questions(spark, sf_dir), found(spark, sf_dir))
+    return answers.prompt_table(given.questions(spark, sf_dir), found(spark, sf_dir)).drop("strategy", "k")
 
 
 def answer_queries(spark, sf_dir):
     """Answers with one row per citation."""
     answered = answers.answer_queries(given.questions(spark, sf_dir), found(spark, sf_dir))
     cited = answered.select("query_id", "question", "answer", F.posexplode_outer("citations").alias("n", "c"))
-    return cited.select("query_id", "question", "answer", (F.col("n") + 1).alias("citation_no"), "c.*")
+    columns = ("query_id", "question", "answer", (F.col("n") + 1).alias("citation_no"))
+    return cited.select(*columns, "c.*", "c.metadata.chunk_index").drop("metadata")
 
 
 # Evaluation

@@ -4,17 +4,17 @@ from pyspark.sql import functions as F
 from evidence_engine import fixed_values as fv
 from evidence_engine.operators import answers
 
-HITS = "query_id int, rank int, chunk_id string, document_id string, source string, text string, score double, dense_rank int, sparse_rank int"
+HITS = "query_id int, rank int, chunk_id string, document_id string, source string, text string, metadata struct<chunk_index: int>, score double, dense_rank int, sparse_rank int"
 
 
 @pytest.fixture
 def hits(spark):
     long = "头\n" + "长" * 300
     rows = [
-        (1, 2, "c2", "d2", "two.md", "second", 0.0163934426, None, 1),
-        (1, 1, "c1", "d1", "one.md", long, 0.03278688524590164, 1, 2),
-        (1, 4, "c4", "d4", "four.md", "fourth", 0.01, 3, None),
-        (1, 3, "c3", "d3", "three.md", " \nthird\n", 0.0158730158, 2, None),
+        (1, 2, "c2", "d2", "two.md", "second", (0,), 0.0163934426, None, 1),
+        (1, 1, "c1", "d1", "one.md", long, (7,), 0.03278688524590164, 1, 2),
+        (1, 4, "c4", "d4", "four.md", "fourth", (0,), 0.01, 3, None),
+        (1, 3, "c3", "d3", "three.md", " \nthird\n", (2,), 0.0158730158, 2, None),
     ]
     return spark.createDataFrame(rows, HITS)
 
@@ -34,9 +34,21 @@ def test_answers_use_three_hits_and_cite_all(questions, hits):
     assert [c["chunk_id"] for c in cited] == ["c1", "c2", "c3", "c4"]
     assert [c["score"] for c in cited] == [0.032787, 0.016393, 0.015873, 0.01]
     assert [(c["dense_rank"], c["sparse_rank"]) for c in cited] == [(1, 2), (None, 1), (2, None), (3, None)]
+    assert [c["metadata"]["chunk_index"] for c in cited] == [7, 0, 2, 0]
     assert rows[2]["answer"] == fv.ANSWER_FALLBACK and rows[2]["citations"] == []
 
 
+def test_strategies_are_answered_apart(questions, hits):
+    both = hits.withColumns({"strategy": F.lit("dense"), "k": F.lit(4)}).unionByName(
+        hits.where("rank = 2").withColumns({"rank": F.lit(1), "strategy": F.lit("bm25"), "k": F.lit(1)})
+    )
+    rows = {(r["query_id"], r["strategy"], r["k"]): r for r in answers.answer_queries(questions, both).collect()}
+    assert set(rows) == {(1, "dense", 4), (1, "bm25", 1), (2, None, None)}
+    assert [c["chunk_id"] for c in rows[1, "dense", 4]["citations"]] == ["c1", "c2", "c3", "c4"]
+    assert [c["chunk_id"] for c in rows[1, "bm25", 1]["citations"]] == ["c2"]
+    assert {(p["strategy"], p["k"]) for p in answers.prompt_table(questions, both).collect()} == {("dense", 4), ("bm25", 1)}
+
+
 def test_contexts_and_prompts(questions, hits):
     context = answers.build_context(hits).first()["context"]
     assert context.startswith("[1] 来源：one.md\n头\n长长")

@@ -84,7 +84,7 @@ def test_weights_and_md5(spark, many):
 
 def test_small_passes_small_batches_and_salted_merge(spark, many, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", 3)
-    monkeypatch.setattr(retrieval, "CORES_PER_MERGE", 4)
+    monkeypatch.setattr(retrieval, "MERGE_GROUPS", 3)
     monkeypatch.setattr(kernels, "BLOCK_CELLS", 4_000)
     monkeypatch.setattr(kernels, "POOL_ROWS", 1)
     assert len(list(retrieval.query_passes(asked(spark), ["tokens"], 4))) > 1
