@@ -119,11 +119,19 @@ class Bm25Scorer:
         scores = self.weights.T @ matrix.T
         chunk, term, value = chunk[~common], term[~common], value[~common]
         # Each remaining (chunk, term) meets the queries that ask for the term: a run of the triplets.
+        # Runs are laid out in blocks of bounded length; one run is no longer than a pass has queries.
         run = self.rare_count[term]
-        which = np.repeat(np.arange(len(term)), run)
-        at = np.arange(len(which)) + np.repeat(self.rare_start[term] - (np.cumsum(run) - run), run)
-        cells = self.rare_query[at] * len(tokens) + chunk[which]
-        scores += np.bincount(cells, value[which] * self.rare_weight[at], scores.size).reshape(scores.shape)
+        ends = np.cumsum(run)
+        first = 0
+        while first < len(term):
+            before = ends[first] - run[first]
+            stop = max(first + 1, int(np.searchsorted(ends, before + BLOCK_CELLS, side="right")))
+            part = slice(first, stop)
+            which = np.repeat(np.arange(first, stop), run[part])
+            at = np.arange(len(which)) + np.repeat(self.rare_start[term[part]] - (ends[part] - run[part] - before), run[part])
+            cells = self.rare_query[at] * len(tokens) + chunk[which]
+            scores += np.bincount(cells, value[which] * self.rare_weight[at], scores.size).reshape(scores.shape)
+            first = stop
         return scores
 
 

@@ -2,8 +2,10 @@
 
 Dense and BM25 rankings come out of a single scan of the chunk table: every task keeps its
 own best rows per query (see :mod:`evidence_engine.operators.kernels`), and one window per query
-merges them. Only ``tasks x queries x k`` candidate rows are shuffled, never scores of pairs.
-Queries are taken in passes of bounded size, so what is broadcast does not grow with them.
+merges them. Only ``tasks x queries x k`` candidate rows are shuffled, never scores of pairs, and
+they carry no texts: those are joined to the final hits.
+Queries are taken in passes of bounded size, one after another: a pass writes its ranks and gives
+its broadcast back before the next one starts.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators import kernels
 from evidence_engine.operators.index import Index, weigh
+from evidence_engine.sources.scratch import materialize
 
 cloudpickle.register_pickle_by_value(kernels)
 
@@ -36,6 +39,7 @@ CANDIDATES_PER_PASS = 50_000
 MERGE_GROUPS = 64
 
 CHUNK_COLUMNS = ("chunk_id", "document_id", "source", "text")
+NARROW_COLUMNS = ("chunk_id", "document_id", "source")
 
 
 def check_top_k(k: int) -> None:
@@ -96,11 +100,13 @@ def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float
     return "bm25", encoded.dictionary, shares, triplets, len(query_ids), avg_len, k1, b
 
 
-def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int, keep: Sequence[str], describe):
-    """Scan the chunks once per pass for the k best rows per ranking and query.
+def _rank(
+    chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int, keep: Sequence[str], describe
+) -> Iterator[DataFrame]:
+    """Each pass's k best rows per ranking and query, written, from one scan of the chunks.
 
     ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a
-    DataFrame and as an Arrow table.
+    DataFrame and as an Arrow table. Without queries there is one empty table.
     """
     check_top_k(k)
     payload = list(dict.fromkeys([*keep, "doc_ord", "chunk_index"]))
@@ -109,23 +115,23 @@ def _rank(chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int
         [T.StructField("ranking", T.StringType()), queries.schema["query_id"], T.StructField("score", T.DoubleType())]
         + [flat.schema[c] for c in payload]
     )
-
-    def scan(block: DataFrame) -> DataFrame:
+    none = True
+    for block in query_passes(queries, features, k):
+        none = False
         held = block.select("query_id", *features).toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
         shared = chunks.sparkSession.sparkContext.broadcast((describe(block, held, query_ids), query_ids))
 
-        def rank(batches):
+        def rank(batches, shared=shared):
             described, ids = shared.value
             scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
             yield from kernels.rank_partition(batches, scorers, ids, k, payload)
 
-        return flat.mapInArrow(rank, schema)
-
-    scans = [scan(block) for block in query_passes(queries, features, k)]
-    if not scans:
-        return chunks.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
-    return _merge(reduce(DataFrame.unionByName, scans), k)
+        ranked = materialize(_merge(flat.mapInArrow(rank, schema), k), "ranked")
+        shared.destroy()
+        yield ranked
+    if none:
+        yield chunks.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
 
 
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
@@ -146,25 +152,19 @@ def _merge(candidates: DataFrame, k: int) -> DataFrame:
     return best(thinned.repartition("query_id"), "ranking", "query_id")
 
 
-def rank_chunks(
+def _rank_index(
     index: Index,
     queries: DataFrame,
     rankings: Sequence[str],
     k: int,
-    keep: Sequence[str] = CHUNK_COLUMNS,
+    keep: Sequence[str],
     *,
     k1: float = fv.BM25_K1,
     b: float = fv.BM25_B,
     embedding: str = "hashing",
     dimension: int = fv.HASH_DIMENSION,
     family: str = "blake2b",
-) -> DataFrame:
-    """Exact top-k of the ``bm25`` and/or ``dense`` ranking for every query, from one scan.
-
-    Dense keeps zero scores (a query without tokens gets the first k chunks of the corpus);
-    BM25 drops them. Ties go to corpus order. With ``embedding="vectors"``, dense compares the
-    ``vector`` columns of chunks and queries, see :func:`embed`.
-    """
+) -> Iterator[DataFrame]:
     if embedding not in ("hashing", "vectors"):
         raise ValueError(f"unknown embedding {embedding!r}")
     own_vectors = "dense" in rankings and embedding == "vectors"
@@ -182,9 +182,23 @@ def rank_chunks(
     return _rank(index.chunks, queries, ["tokens", "vector"] if own_vectors else ["tokens"], k, keep, describe)
 
 
-def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = CHUNK_COLUMNS) -> DataFrame:
+def rank_chunks(
+    index: Index, queries: DataFrame, rankings: Sequence[str], k: int, keep: Sequence[str] = NARROW_COLUMNS, **options
+) -> DataFrame:
+    """Exact top-k of the ``bm25`` and/or ``dense`` ranking for every query, from one scan for each pass of queries.
+
+    Dense keeps zero scores (a query without tokens gets the first k chunks of the corpus);
+    BM25 drops them. Ties go to corpus order. With ``embedding="vectors"``, dense compares the
+    ``vector`` columns of chunks and queries, see :func:`embed`. Other options are ``k1``, ``b``,
+    ``dimension`` and ``family``.
+    """
+    return reduce(DataFrame.unionByName, _rank_index(index, queries, rankings, k, keep, **options))
+
+
+def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = NARROW_COLUMNS) -> DataFrame:
     """Exact cosine top-k where only vectors are at hand: both tables carry ``vector ARRAY<FLOAT|DOUBLE>``."""
-    return _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: {"dense": ("vectors", _matrix(held))})
+    passes = _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: {"dense": ("vectors", _matrix(held))})
+    return reduce(DataFrame.unionByName, passes)
 
 
 def _matrix(held: pa.Table) -> np.ndarray:
@@ -218,6 +232,14 @@ def rank_strategies(
     ranks of both rankings, each read to a depth that depends on K; so its K = 1 is not in general
     a prefix of its K = 5. Equal scores go to the better dense, then the better sparse rank.
     """
+    fusion = {"rrf_k": rrf_k, "dense_weight": dense_weight, "sparse_weight": sparse_weight}
+    return _fused(ranked, strategies, ks, **fusion).drop("doc_ord")
+
+
+def _fused(
+    ranked: DataFrame, strategies: Sequence[str], ks: Sequence[int], *, rrf_k: int, dense_weight: float, sparse_weight: float
+) -> DataFrame:
+    """:func:`rank_strategies` with ``doc_ord``, which with the chunk's number names its place."""
     wanted = [
         F.struct(
             F.lit(strategy).alias("strategy"),
@@ -260,10 +282,18 @@ def rank_strategies(
     return (
         fused.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= F.col("k"))
-        .select(*columns, *shown, F.struct("chunk_index").alias("metadata"), "score", "dense_rank", "sparse_rank")
+        .select(*columns, *shown, F.struct("chunk_index").alias("metadata"), "score", "dense_rank", "sparse_rank", "doc_ord")
     )
 
 
+def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Join texts to one pass's hits, whose number the pass limits: they are sent to where the texts are."""
+    texts = chunks.select("chunk_id", "doc_ord", "text", F.col("metadata.chunk_index").alias("chunk_index"))
+    named = [texts[c] == hits[c] for c in ("chunk_id", "doc_ord")]
+    joined = texts.join(F.broadcast(hits), [*named, texts["chunk_index"] == hits["metadata.chunk_index"]])
+    return joined.select(*(hits[c] for c in hits.columns), texts["text"])
+
+
 def check_strategies(strategies: Sequence[str]) -> list[str]:
     """Selected strategies in order, each once; unknown names are an error."""
     unknown = sorted(set(strategies) - set(fv.STRATEGIES))
@@ -284,8 +314,9 @@ def search(
 ) -> DataFrame:
     """Hits of all strategies at all K: ``strategy, k, query_id, rank, …, score, dense_rank, sparse_rank``.
 
-    The chunk table is scanned once, for the rankings that the strategies need. ``options``
-    go to :func:`rank_chunks` and :func:`rank_strategies`.
+    Each pass of queries scans the chunks once, for the rankings that the strategies need, and once
+    more for the texts of its hits if ``keep`` names them. ``options`` go to :func:`rank_chunks` and
+    :func:`rank_strategies`.
     """
     selected = check_strategies(strategies)
     ks = sorted(set(ks))
@@ -294,6 +325,15 @@ def search(
     hybrid = "hybrid" in selected
     rankings = [r for r in ("dense", "bm25") if hybrid or r in selected]
     depth = candidate_count(max(ks)) if hybrid else max(ks)
-    fusion = {o: options.pop(o) for o in ("rrf_k", "dense_weight", "sparse_weight") if o in options}
-    ranked = rank_chunks(index, queries, rankings, depth, tuple(dict.fromkeys(("chunk_id", *keep))), **options)
-    return rank_strategies(ranked, selected, ks, **fusion)
+    fusion = {"rrf_k": fv.RRF_K, "dense_weight": 1.0, "sparse_weight": 1.0}
+    fusion = {name: options.pop(name, default) for name, default in fusion.items()}
+    narrow = tuple(c for c in dict.fromkeys(("chunk_id", *keep)) if c != "text")
+
+    def shown(ranked: DataFrame) -> DataFrame:
+        hits = _fused(ranked, selected, ks, **fusion)
+        if "text" in keep:
+            hits = _with_text(hits, index.chunks)
+        ordered = ["strategy", "k", "query_id", "rank", *dict.fromkeys(("chunk_id", *keep))]
+        return hits.select(*ordered, "metadata", "score", "dense_rank", "sparse_rank")
+
+    return reduce(DataFrame.unionByName, map(shown, _rank_index(index, queries, rankings, depth, narrow, **options)))

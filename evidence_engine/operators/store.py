@@ -41,13 +41,6 @@ _SCHEMAS = {
 }
 
 
-PUSHED_IDS = "spark.sql.parquet.pushdown.inFilterThreshold"
-BLOOM_FILTERS = {
-    "parquet.bloom.filter.enabled#document_id": "true",
-    "parquet.bloom.filter.adaptive.enabled": "true",
-}
-
-
 class Head(NamedTuple):
     version: int
     base: int
@@ -107,14 +100,8 @@ class ChunkStore:
         return rows.join(since, void, "left_anti")
 
     def _chunks_of(self, documents: DataFrame, head: Head) -> DataFrame:
-        """Live chunks of some documents. As many ids as Spark pushes down by value become an IN list:
-        the Bloom filters of the files then let it skip what does not hold them."""
-        live = self._live("chunks", head)
-        pushed = int(self.spark.conf.get(PUSHED_IDS))
-        few = [row["document_id"] for row in documents.limit(pushed + 1).collect()]
-        if len(few) <= pushed:
-            return live.where(F.col("document_id").isin(few))
-        return live.join(documents, "document_id", "left_semi")
+        """Live chunks of some documents."""
+        return self._live("chunks", head).join(documents, "document_id", "left_semi")
 
     def _sizes(self, head: Head) -> DataFrame:
         sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("n_chunks", "n_tokens")]
@@ -126,10 +113,7 @@ class ChunkStore:
         schema = self._read(table).drop("version").schema
         path = f"{self.path}/{table}/version={version}"
         rows = self.spark.createDataFrame([], schema).coalesce(1) if rows is None else rows.select(*schema.names)
-        writer = rows.write.mode("overwrite")
-        if table == "chunks":
-            writer = writer.options(**BLOOM_FILTERS)
-        writer.parquet(path)
+        rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def _commit(self, version: int, base: int, change: str) -> None:

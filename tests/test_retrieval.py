@@ -3,11 +3,13 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import tokenize
 from evidence_engine.operators import index, kernels, retrieval, scoring, vectors
+from evidence_engine.sources.scratch import materialize
 
 TEXTS = [
     "员工报销需在十个工作日内提交。",
@@ -93,6 +95,44 @@ def test_small_passes_small_batches_and_salted_merge(spark, many, monkeypatch):
     check(hits, many, QUESTIONS, "dense", 4, brute.dense)
 
 
+def test_passes_write_ranks_without_texts_and_give_broadcasts_back(spark, many, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", 2)
+    payloads, live, most = [], set(), []
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(retrieval, "materialize", lambda df, name: payloads.append(df.columns) or materialize(df, name))
+    broadcast = context.broadcast
+
+    def tracked(self, value):
+        shared = broadcast(self, value)
+        live.add(shared)
+        most.append(len(live))
+        destroy = shared.destroy
+        shared.destroy = lambda *args: (live.discard(shared), destroy(*args))
+        return shared
+
+    monkeypatch.setattr(context, "broadcast", tracked)
+    hits = retrieval.search(corpus(spark, many), asked(spark), ("hybrid",), (4,))
+    assert len(payloads) > 1 and not any("text" in columns or "tokens" in columns for columns in payloads)
+    assert max(most) == 1 and not live
+    texts = {f"c{n}": text for n, text in enumerate(many)}
+    assert all(row["text"] == texts[row["chunk_id"]] for row in hits.collect())
+    check(hits, many, QUESTIONS, "hybrid", 4, brute.fused)
+
+
+def test_bm25_in_blocks_of_any_length(monkeypatch):
+    """Rare terms that many queries share are added in bounded blocks; the sums are the same."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{n}" for n in range(40)]
+    term, query = np.nonzero(rnd.random((40, 30)) < 0.5)
+    parts = (pa.array(words), np.zeros(40), (term, query, rnd.random(len(term))), 30, 8.0, 1.5, 0.75)
+    table = pa.table({"tokens": [list(rnd.choice(words, rnd.integers(0, 12))) for _ in range(50)]})
+    whole = kernels.Bm25Scorer(*parts)(table)
+    assert whole.any()
+    for cells in (1, 7, 100):
+        monkeypatch.setattr(kernels, "BLOCK_CELLS", cells)
+        assert np.allclose(kernels.Bm25Scorer(*parts)(table), whole)
+
+
 def test_a_third_of_all_chunks_is_one_text(spark, many):
     texts = many[:200] + [many[1]] * 50 + many[200:] + [many[1]] * 105
     hits = retrieval.search(corpus(spark, texts, 7), asked(spark), ("hybrid", "dense", "bm25"), (5, 200)).cache()

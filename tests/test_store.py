@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import chunking, index, retrieval, store as store_module
+from evidence_engine.operators import chunking, index, retrieval
 from evidence_engine.operators.answers import answer_queries
 from evidence_engine.operators.store import ChunkStore
 from evidence_engine.streaming import ingest as streams
@@ -136,11 +136,12 @@ def test_an_unfinished_change_is_invisible(spark, folder, monkeypatch):
 def test_many_ids_are_joined(spark, folder):
     store = ChunkStore(spark, folder)
     store.ingest(raw(spark, TEXTS))
-    spark.conf.set(store_module.PUSHED_IDS, "1")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert store.delete_documents(store.load().where("source <> 'c.md'").select("document_id"))
     finally:
-        spark.conf.unset(store_module.PUSHED_IDS)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert listing(store) == [("c.md", 2)]
     same_index(store)
 
