@@ -211,9 +211,9 @@ def _matrix(held: pa.Table) -> np.ndarray:
 def embed(index: Index, queries: DataFrame, model: Callable[[Column], Column]) -> tuple[Index, DataFrame]:
     """Add a user's ``vector`` to chunks and queries: ``model`` maps text to an array column.
 
-    The chunks are embedded whenever they are read; write them first to embed them once.
+    The embedded chunks are written here, so a model runs once over each chunk whatever the passes.
     """
-    chunks = index.chunks.withColumn("vector", model(F.col("text")))
+    chunks = materialize(index.chunks.withColumn("vector", model(F.col("text"))), "embedded")
     return replace(index, chunks=chunks), queries.withColumn("vector", model(F.col("searched")))
 
 

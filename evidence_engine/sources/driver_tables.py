@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,9 +42,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def written_once(spark: SparkSession, name: str, key: tuple, write: Callable[[str], object]) -> str:
-    """Path of a derived table that one application writes once and then reads many times."""
-    key = (spark.sparkContext.applicationId, name, *key)
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What changes when a table's files do: their number, and a sum over names, lengths and times."""
+    files = spark.read.format("binaryFile").load(path)  # the contents are not read
+    named = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(named)).first())
+
+
+def written_once(
+    spark: SparkSession, name: str, key: tuple, sources: Sequence[str], write: Callable[[str], object]
+) -> str:
+    """Path of a table derived from ``sources``, written once by an application until one of them changes."""
+    key = (spark.sparkContext.applicationId, name, *key, *(_state(spark, path) for path in sources))
     if key in _WRITTEN:
         try:
             spark.read.text(f"{_WRITTEN[key]}/*/_SUCCESS")
@@ -65,7 +74,8 @@ def corpus_index(
     def write(path: str) -> None:
         write_index(chunk_documents(documents(spark, sf_dir), size, overlap), path)
 
-    return read_index(spark, written_once(spark, "index", (sf_dir, size, overlap), write))
+    path = written_once(spark, "index", (sf_dir, size, overlap), [f"{sf_dir}/documents.parquet"], write)
+    return read_index(spark, path)
 
 
 def _words(text: Column) -> Column:
@@ -130,7 +140,8 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         rows.write.parquet(f"{path}/rows")
 
-    return spark.read.parquet(written_once(spark, "relevance", (sf_dir,), write) + "/rows")
+    sources = [f"{sf_dir}/{name}.parquet" for name in ("documents", "benchmark")]
+    return spark.read.parquet(written_once(spark, "relevance", (sf_dir,), sources, write) + "/rows")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,3 +152,17 @@ def test_shared_folder_is_the_configured_one(spark):
     assert first == (configured.rstrip("/") if configured else scratch.shared_folder(spark))
     table = scratch.materialize(spark.range(5).toDF("x"), "numbers")
     assert table.inputFiles()[0].find(first.split(":")[-1]) >= 0 and table.count() == 5
+
+
+def test_derived_tables_follow_their_sources(spark, folder):
+    def save(*rows):
+        table = spark.createDataFrame(list(rows), "doc_id long, text string, source string")
+        table.write.mode("overwrite").parquet(folder + "/documents.parquet")
+
+    def indexed():
+        return sorted(row["text"] for row in driver_tables.corpus_index(spark, folder).chunks.collect())
+
+    save((1, "one", "a"))
+    assert indexed() == ["one"]
+    save((1, "one", "a"), (2, "two", "a"))
+    assert indexed() == ["one", "two"]
