@@ -7,8 +7,11 @@ The orders are range-partitioned sorts with the text's id as the last key: a reg
 spread over tasks. Candidates grow with texts x trees, never with pairs of a region.
 
 At the least depth of 4, a pair of similarity 0.85 meets in a tree with probability 0.52, and in none
-of 48 trees with 1e-15; where others crowd between the two, the trees in which they share a longer
-prefix find them, or a chain of links does.
+of 48 trees with 1e-15. Where others crowd between the two, rounds follow over the crowded regions only:
+in a forest of new orders every text meets the nearest text before it that is of another component
+(where either has links), and the nearest such hub, a text with several links. The original of many copies
+that are unlike each other is a hub whatever their number, so one round links the rest to it. Rounds end
+with one that adds no link.
 """
 
 from __future__ import annotations
@@ -67,6 +70,12 @@ def _signatures(words: int):
     return run
 
 
+def orders_of(number: int) -> np.ndarray:
+    """The trees' orders of MinHash values in a round."""
+    random = np.random.default_rng(30_011 + number)
+    return np.stack([random.permutation(VALUES)[:DEPTH] for _ in range(TREES)])
+
+
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: a text's label in every tree, as two numbers."""
     for batch in batches:
@@ -136,6 +145,127 @@ def candidates(signatures: DataFrame) -> DataFrame:
     return pairs
 
 
+def _crowded_labels(number: int):
+    """Task: labels of a round, with the text's component, whether it has links, and whether it is a hub."""
+    orders = orders_of(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3, 4)]
+            for at in range(0, len(values), 500):
+                labels = np.ascontiguousarray(values[at : at + 500, orders]).view(">i8").astype(np.int64)
+                repeated = (pa.array(np.repeat(c[at : at + 500], TREES)) for c in columns)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(labels))), pa.array(labels[..., 0].ravel()), pa.array(labels[..., 1].ravel()), *repeated],
+                    names=["tree", "a", "b", "id", "component", "linked", "hub"],
+                )
+
+    return run
+
+
+def last_other(component: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each row the last earlier wanted row of another component; -1 without one."""
+    n = len(component)
+    at = np.flatnonzero(wanted)
+    if not len(at):
+        return np.full(n, -1)
+    own = component[at]
+    # The wanted row before the run of wanted rows of one component.
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), np.arange(len(at)), 0))
+    before = np.where(start > 0, at[start - 1], -1)
+    last = np.cumsum(wanted) - wanted - 1
+    same = component[at[last]] == component
+    return np.where(last < 0, -1, np.where(same, before[last], at[last]))
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: each text in a sorted part with the last text, and the last hub, of another component (``kind`` 0 and 1).
+
+    Rows without such a partner in their part have a missing ``y``; rows with ``edge`` are what
+    the next parts need: the last two wanted rows of different components.
+    """
+    part, carried = TaskContext.get().partitionId(), None
+
+    def rows(kind, edge, tree, a, x, of_x, linked, y):
+        n = len(x)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array(np.full(n, edge, np.int32)), pa.array(tree), pa.array(a), pa.array(x), pa.array(of_x), pa.array(linked), y],
+            names=["part", "kind", "edge", "tree", "a", "x", "of_x", "linked", "y"],
+        )
+
+    def ends(now, wanted):
+        """Positions of the last wanted row and the last one of another component, oldest first."""
+        at = np.flatnonzero(wanted)
+        if not len(at):
+            return []
+        others = at[now[3][at] != now[3][at[-1]]]
+        return [*others[-1:], at[-1]]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5, 6)]
+        old = 0 if carried is None else len(carried[0])
+        now = new if carried is None else [np.concatenate(p) for p in zip(carried, new)]
+        tree, a, ids, component, linked, hub = now
+        keep = set()
+        for kind, wanted in enumerate((np.ones(len(ids), bool), hub)):
+            y = last_other(component, wanted)
+            fits = y >= 0
+            near = fits & (tree == tree[y]) & ((a ^ a[y]).view(np.uint64) >> np.uint64(64 - 8 * LEAST_DEPTH) == 0)
+            if kind == 0:
+                near &= linked | linked[y]
+            take = near | ~fits
+            take[:old] = False
+            partner = pa.array(ids[y][take], pa.int64(), mask=~near[take])
+            yield rows(kind, 0, tree[take], a[take], ids[take], component[take], linked[take], partner)
+            keep.update(ends(now, wanted))
+        keep = sorted(keep)
+        carried = [c[keep] for c in now]
+    if carried is not None:
+        for kind, wanted in enumerate((np.ones(len(carried[0]), bool), carried[5])):
+            for edge, at in enumerate(reversed(ends(carried, wanted))):
+                one = slice(at, at + 1)
+                yield rows(kind, edge + 1, carried[0][one], carried[1][one], carried[2][one], carried[3][one], carried[4][one], pa.nulls(1, pa.int64()))
+
+
+MET = "part int, kind int, edge int, tree int, a long, x long, of_x long, linked boolean, y long"
+
+
+def crowded_candidates(texts_of: DataFrame, number: int) -> DataFrame:
+    """``x, y``: ids of different components that meet in a round's forest; texts ``id, signature, component, linked, hub``."""
+    spark, scratch = texts_of.sparkSession, Scratch(texts_of.sparkSession)
+    order = ["tree", "a", "b", "id"]
+    labels = map_arrow(
+        texts_of.select("id", "signature", "component", "linked", "hub"),
+        _crowded_labels(number),
+        "tree int, a long, b long, id long, component long, linked boolean, hub boolean",
+    )
+    met = scratch.write(map_arrow(labels.repartitionByRange(*order).sortWithinPartitions(*order), _met, MET), "forest-met")
+    # Four rows for each part at most; what a part lacks is the last that an earlier part has.
+    kept: dict[int, list] = {0: [], 1: []}
+    handed = []
+    edges = met.where("edge > 0").orderBy("part", F.desc("edge")).collect()
+    for part in sorted({r["part"] for r in edges}):
+        for kind, last in kept.items():
+            handed += [(part, kind, *r) for r in last]
+            for r in edges:
+                if r["part"] == part and r["kind"] == kind:
+                    last = [o for o in last if o[3] != r["of_x"]][-1:] + [(r["tree"], r["a"], r["x"], r["of_x"], r["linked"])]
+            kept[kind] = last
+    before = spark.createDataFrame(handed, "part int, kind int, last_tree int, last_a long, last long, of_last long, last_linked boolean")
+    across = met.where("edge = 0 and y is null").join(F.broadcast(before), ["part", "kind"]).where(
+        F.expr(f"tree = last_tree and of_x <> of_last and (kind = 1 or linked or last_linked) and shiftrightunsigned(a ^ last_a, {64 - 8 * LEAST_DEPTH}) = 0")
+    )
+    pairs = met.where("edge = 0 and y is not null").select("x", "y").union(across.select("x", F.col("last").alias("y")))
+    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "forest-crowded")
+    scratch.clear()
+    return pairs
+
+
 def _agreeing(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,49 +318,89 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = scratch.write(nodes.join(classes, ["c1", "c2"]).select("doc_id", "h", "class", "signature"), "forest-members")
     shown = members.where("doc_id = class").select(F.col("doc_id").alias("id"), "h", "signature").dropDuplicates(["id", "h"])
     pairs = candidates(shown)
-    left = shown.select(F.col("id").alias("x"), F.col("signature").alias("left"))
-    right = shown.select(F.col("id").alias("y"), F.col("signature").alias("right"))
-    likely = scratch.write(
-        map_arrow(
-            pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right"),
-            _agreeing(percent / 100 - MARGIN),
-            "x long, y long, alike double",
-        ),
-        "forest-likely",
-    )
-    wanted = likely.select(F.col("x").alias("id")).union(likely.select("y")).distinct()
-    pool = scratch.write(
-        docs.join(shown.select("id", F.col("h").alias("shown")).join(wanted, "id"), (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("shown")))
-        .select("id", "text")
-        .distinct(),
-        "forest-texts",
-    )
 
-    def verified(chosen: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
+        left = shown.select(F.col("id").alias("x"), F.col("signature").alias("left"))
+        right = shown.select(F.col("id").alias("y"), F.col("signature").alias("right"))
+        joined = pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right")
+        return scratch.write(map_arrow(joined, _agreeing(percent / 100 - MARGIN), "x long, y long, alike double"), "forest-likely")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        named = shown.select("id", F.col("h").alias("shown")).join(wanted, "id")
+        found = docs.join(named, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("shown"))).select("id", "text")
+        return scratch.write(found.distinct(), "forest-texts")
+
+    def most_alike(likely: DataFrame) -> DataFrame:
+        both = likely.select("x", "y", "alike").union(likely.select("y", "x", "alike"))
+        best = both.groupBy("x").agg(F.max_by("y", F.struct("alike", "y")).alias("y"))
+        return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    def verified(chosen: DataFrame, pool: DataFrame) -> DataFrame:
         first = pool.select(F.col("id").alias("x"), F.col("text").alias("left"))
         second = pool.select(F.col("id").alias("y"), F.col("text").alias("right"))
         joined = chosen.select("x", "y").join(first, "x").join(second, "y").select("x", "y", "left", "right")
         return map_arrow(joined, _linked(words, percent), "u long, v long")
 
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs that lie between two components, with these."""
+        of = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("x", "y")]
+        named = pairs.join(of[0], "x", "left").join(of[1], "y", "left")
+        return named.select(*pairs.columns, F.coalesce("of_x", "x").alias("of_x"), F.coalesce("of_y", "y").alias("of_y")).where("of_x <> of_y")
+
+    likely = alike(pairs)
+    pool = texts_of(likely)
     # The most alike neighbour of every text first; then what still lies between two components.
-    both = likely.select("x", "y", "alike").union(likely.select("y", "x", "alike"))
-    best = both.groupBy("x").agg(F.max_by("y", F.struct("alike", "y")).alias("y"))
     # Written, as it is used twice: what is left out below must be what was verified here.
-    best = scratch.write(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "forest-best")
+    best = scratch.write(most_alike(likely), "forest-best")
     same_id = members.where("doc_id <> class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
     named = same_id.join(nodes.groupBy("doc_id").agg(F.count_distinct("h").alias("texts")).where("texts > 1").select(F.col("doc_id").alias("u")), "u", "left_semi")
-    links = scratch.write(verified(best), "forest-links")
+    links = scratch.write(verified(best, pool), "forest-links")
     found = components(links)
-    of = [found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("x", "y")]
-    open_pairs = (
-        likely.join(of[0], "x", "left")
-        .join(of[1], "y", "left")
-        .where("coalesce(of_x, x) <> coalesce(of_y, y)")
-        .select("x", "y")
-        .join(best, ["x", "y"], "left_anti")
-    )
-    more = scratch.write(verified(open_pairs), "forest-more-links")
-    found = components(links.union(more).union(named))
+    open_pairs = apart(likely, found).select("x", "y").join(best, ["x", "y"], "left_anti")
+    more = scratch.write(verified(open_pairs, pool), "forest-more-links")
+    links = links.union(more).union(named)
+    found = components(links)
+
+    # Regions that hold several components: all their texts go on, in new orders, until a round adds no link.
+    between = scratch.write(apart(pairs, found).select("of_x", "of_y"), "forest-between")
+    crowded = between.select(F.col("of_x").alias("component")).union(between.select("of_y")).distinct()
+    tried, number = likely.select("x", "y"), 1
+    while not between.isEmpty():
+        both = links.select("u", "v").where("u <> v").distinct()
+        both = both.union(both.select("v", "u")).distinct()
+        degree = both.groupBy("u").agg(F.count("*").alias("n"))
+        # A leaf of a text with several links is no hub.
+        hubs = both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("n").alias("of_partner")), "v")
+        hubs = hubs.groupBy(F.col("u").alias("id")).agg((F.max("n") > 1).alias("several"), F.max("of_partner").alias("most"))
+        hubs = hubs.select("id", F.expr("several or most = 1").alias("is_hub"))
+        active = (
+            shown.join(found.withColumnRenamed("node", "id"), "id", "left")
+            .withColumn("component", F.coalesce("component", "id"))
+            .join(crowded, "component", "left_semi")
+            .join(hubs, "id", "left")
+            .select("id", "signature", "component", F.col("is_hub").isNotNull().alias("linked"), F.coalesce("is_hub", F.lit(False)).alias("hub"))
+        )
+        active = scratch.write(active, "forest-active")
+        if active.select("component").distinct().limit(2).count() < 2:
+            break
+        fresh = alike(crowded_candidates(active, number).join(tried, ["x", "y"], "left_anti"))
+        texts_now, linked = texts_of(fresh), links
+        # The most alike partner first, as above: a text meets many hubs of one component.
+        first = scratch.write(most_alike(fresh), "forest-best")
+        links = links.union(scratch.write(verified(first, texts_now), "forest-added-links"))
+        now = components(links)
+        rest = apart(fresh, now).select("x", "y").join(first, ["x", "y"], "left_anti")
+        more = scratch.write(verified(rest, texts_now), "forest-more-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            now = components(links)
+        tried, number = tried.union(fresh.select("x", "y")), number + 1
+        if links.count() == linked.count():
+            break
+        found = now
+        moved = crowded.join(found.withColumnRenamed("component", "to"), F.col("component") == F.col("node"), "left")
+        crowded = scratch.write(moved.select(F.coalesce("to", "component").alias("component")).distinct(), "forest-crowded-components")
     of_class = members.select("doc_id", "h", "class").distinct().join(found.withColumnRenamed("node", "class"), "class", "left")
     reached = of_class.groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("reached"))
     out = signed.join(reached, "doc_id", "left").select(
