@@ -55,11 +55,14 @@ def node(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(name, F.regexp_replace(path(url), "/+$", ""), joined))
 
 
-def _target(html: Column) -> Column:
-    """Where a page says that it lives: its canonical link, else its refresh; missing without one."""
-    link = F.coalesce(*(F.nullif(F.regexp_extract(html, _LINK, i), F.lit("")) for i in (1, 2, 3)))
-    found = F.coalesce(link, F.nullif(F.regexp_extract(html, _REFRESH, 1), F.lit("")))
-    return F.when(html.rlike("(?i)canonical|http-equiv"), F.trim(F.replace(found, F.lit("&amp;"), F.lit("&"))))
+def _targets(html: Column) -> Column:
+    """Where a page says that it lives: all its canonical links and refreshes; missing without HTML."""
+    found = F.concat(
+        *(F.regexp_extract_all(html, F.lit(_LINK), F.lit(i)) for i in (1, 2, 3)),
+        F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)),
+    )
+    trimmed = F.transform(F.filter(found, lambda t: t != ""), lambda t: F.trim(F.replace(t, F.lit("&amp;"), F.lit("&"))))
+    return F.when(html.rlike("(?i)canonical|http-equiv"), F.array_distinct(trimmed))
 
 
 def _absolute(url: Column, target: Column) -> Column:
@@ -112,19 +115,20 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     are judged alike, one row for each; other columns are ignored; an empty table gives an empty table.
     """
     scratch = Scratch(pages.sparkSession)
-    url, target = F.col("url"), F.col("target")
+    url, target = F.col("url"), F.col("target")  # one row of ``target`` for each link
     parsed = scratch.write(
-        pages.select("page_id", "url", _target(F.col("html")).alias("target")).select(
+        pages.select("page_id", "url", _targets(F.col("html")).alias("targets")).select(
             "page_id",
             host(url).alias("host"),
             path(url).alias("path"),
             node(url).alias("node"),
-            F.when(F.contains(url, F.lit("://")), _absolute(url, target)).alias("target"),
+            F.when(F.contains(url, F.lit("://")), F.transform("targets", lambda t: _absolute(url, t))).alias("targets"),
         ),
         "url-pages",
     )
-    named = parsed.where("target is not null").select(
-        F.col("node").alias("from"), host(target).alias("host"), path(target).alias("path"), node(target).alias("node")
+    links = parsed.select(F.col("node").alias("from"), F.explode("targets").alias("target"))
+    named = links.select(
+        "from", host(target).alias("host"), path(target).alias("path"), node(target).alias("node")
     ).where("node is not null")
     addresses = parsed.select("host", "path", "node").union(named.select("host", "path", "node"))
     addresses = addresses.where("node is not null").distinct()
