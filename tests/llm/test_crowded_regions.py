@@ -2,7 +2,7 @@
 
 import random
 
-import brute
+import plain
 import numpy as np
 import pytest
 
@@ -34,7 +34,7 @@ def test_copies_of_one_original(spark, groups, copies, parts):
         for text in star(r, version, copies, 6):
             wanted[len(rows)] = first
             rows.append((len(rows), " ".join(text)))
-    sets = {i: brute.shingle_set(t, 3) for i, t in rows}
+    sets = {i: plain.shingle_set(t, 3) for i, t in rows}
     assert all(100 * len(sets[i] & sets[o]) >= 85 * len(sets[i] | sets[o]) for i, o in wanted.items())
     r.shuffle(rows)
     dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-import brute
+import plain
 import numpy as np
 import public_tokenizers
 import pytest
@@ -44,8 +44,8 @@ def digest(df):
 
 
 def test_suffix_dedup(docs, rows, odd, empty):
-    assert digest(suffix_dedup.remove_repeats(docs)) == ordered(brute.suffix_dedup(pairs(rows)))
-    assert digest(suffix_dedup.remove_repeats(odd[0])) == ordered(brute.suffix_dedup(odd[1]))
+    assert digest(suffix_dedup.remove_repeats(docs)) == ordered(plain.suffix_dedup(pairs(rows)))
+    assert digest(suffix_dedup.remove_repeats(odd[0])) == ordered(plain.suffix_dedup(odd[1]))
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
@@ -66,7 +66,7 @@ def shown(df):
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(docs, rows, words, percent):
     assert shown(lsh_forest.near_duplicates(docs, words, percent)) == ordered(
-        brute.near_duplicates(pairs(rows), words, percent)
+        plain.near_duplicates(pairs(rows), words, percent)
     )
 
 
@@ -81,7 +81,7 @@ def test_near_duplicates_with_equal_signatures(spark):
             for at in r.sample(range(60), 2):
                 changed[at] = f"other{r.randrange(4)}"
             rows.append((len(rows), " ".join(changed)))
-    expected = ordered(brute.near_duplicates(rows, 3, 85))
+    expected = ordered(plain.near_duplicates(rows, 3, 85))
     for parts in (1, 3, 8):
         r.shuffle(rows)
         dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
@@ -90,7 +90,7 @@ def test_near_duplicates_with_equal_signatures(spark):
 
 def test_near_duplicates_of_odd_rows(odd, empty):
     found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in lsh_forest.near_duplicates(odd[0], 3, 85).collect()}
-    size = len(brute.shingle_set(odd[1][0][1], 3))
+    size = len(plain.shingle_set(odd[1][0][1], 3))
     assert found[900, size] == found[900, 2] == found[5, size] == (0, False)  # one node for both texts of an id
     assert found[None, size] == (None, True)
     assert found[901, 0] == (901, True)
@@ -177,7 +177,7 @@ def test_word_ids():
 def test_quality(spark, docs, rows, odd, empty):
     labels = spark.createDataFrame([(i, int(i < 40), 0) for i in [*range(0, 60, 2), 77]] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     rated = quality.rate(docs, labels).collect()
-    assert ordered((r["doc_id"], *r[2:7], r["base_failed"]) for r in rated) == ordered((i, *brute.base_quality(t)) for i, t in pairs(rows))
+    assert ordered((r["doc_id"], *r[2:7], r["base_failed"]) for r in rated) == ordered((i, *plain.base_quality(t)) for i, t in pairs(rows))
     assert not any(r["kept"] for r in rated if r["base_failed"])
     assert len(quality.rate(odd[0], labels).collect()) == len(odd[1])
     assert quality.rate(empty, labels).count() == 0
@@ -207,7 +207,7 @@ def test_best_threshold():
 def test_secrets(docs, rows, odd, empty):
     found = {r["doc_id"]: [f"{s['kind']}:{s['start']}:{s['stop']}" for s in r["spans"]] for r in secrets.find_secrets(docs).collect()}
     for i, t in pairs(rows):
-        assert [s for s in found[i] if not s.startswith("markov")] == brute.secrets(t)
+        assert [s for s in found[i] if not s.startswith("markov")] == plain.secrets(t)
     assert secrets.find_secrets(odd[0]).count() == len(odd[1])
     assert secrets.find_secrets(empty).count() == 0
 
@@ -271,7 +271,7 @@ def test_language_model(docs, rows, odd, empty, monkeypatch):
     monkeypatch.setattr(language_model, "CLASSES", 60)
     for table, expected in ((docs, pairs(rows)), (odd[0], odd[1])):
         found = ordered(language_model.score(table).collect())
-        for got, want in zip(found, ordered(brute.unigram(expected)), strict=True):
+        for got, want in zip(found, ordered(plain.unigram(expected)), strict=True):
             assert got[:5] == want[:5] and got[5] == pytest.approx(want[5])
     assert language_model.score(empty).count() == 0
     assert language_model.score(docs.where("doc_id = 4")).count() == 1  # may be held out: nothing is known
@@ -311,13 +311,13 @@ def test_overlaps(spark, docs, rows, odd, empty):
     items += [(300, "too short here"), (301, None), (302, "")]
     benchmark = spark.createDataFrame([(*i, 1, 2) for i in items], "item_id long, text string, h int, tokens int")
     found = ordered(decontamination.find_overlaps(docs, benchmark).drop("h").collect())
-    assert found == ordered(brute.overlaps(pairs(rows), items))
+    assert found == ordered(plain.overlaps(pairs(rows), items))
     assert {(1, 1), (1, 101), (7, 7), (7, 107)} <= {(d, i) for d, i, *_ in found}
     assert decontamination.find_overlaps(empty, benchmark).count() == 0
     assert decontamination.find_overlaps(docs, benchmark.where("false")).count() == 0
     clean = decontamination.keep_clean(odd[0], benchmark)
     assert clean.columns == odd[0].columns
-    bad = {d for d, *_ in brute.overlaps([(str(r), r[1]) for r in odd[1]], items)}
+    bad = {d for d, *_ in plain.overlaps([(str(r), r[1]) for r in odd[1]], items)}
     assert clean.count() == sum(str(r) not in bad for r in odd[1])
 
 
@@ -341,7 +341,7 @@ def test_url_rules(spark):
     found = {r["page_id"]: r for r in url_filters.judge(pages, url_filters.rules_table(spark)).collect()}
     assert len(found) == len(URLS) + 3
     for i, u in enumerate(URLS):
-        host, path, rule, verdict = brute.verdict(u, url_filters.RULES)
+        host, path, rule, verdict = plain.verdict(u, url_filters.RULES)
         assert tuple(found[i][c] for c in ("host", "path", "rule")) == (host, path, rule)
         assert found[i]["verdict"] == (verdict or "allow")
     assert url_filters.judge(pages.where("false"), url_filters.rules_table(spark)).count() == 0

@@ -1,6 +1,6 @@
 """The pipeline's stages on the smallest tables, each against plain code over its own input."""
 
-import brute
+import plain
 import pytest
 
 import corpus_pipeline
@@ -32,7 +32,7 @@ def test_columns(stages):
 def test_quality_rules(stages):
     before, after = map(texts, stages["quality_rules"])
     assert after.items() <= before.items()
-    assert not any(brute.base_quality(t)[-1] for t in after.values())
+    assert not any(plain.base_quality(t)[-1] for t in after.values())
     assert len(after) > 0.7 * len(before)
 
 
@@ -52,13 +52,13 @@ def test_line_dedup(stages):
 
 def test_near_dedup(stages):
     before, after = map(texts, stages["near_dedup"])
-    assert set(after) == {i for i, _, _, kept in brute.near_duplicates(list(before.items()), 5, 80) if kept}
+    assert set(after) == {i for i, _, _, kept in plain.near_duplicates(list(before.items()), 5, 80) if kept}
 
 
 def test_decontaminate(spark, stages):
     before, after = map(texts, stages["decontaminate"])
     items = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").select("item_id", "text").collect()]
-    bad = {d for d, *_ in brute.overlaps(list(before.items()), items)}
+    bad = {d for d, *_ in plain.overlaps(list(before.items()), items)}
     assert bad and set(after) == set(before) - bad
 
 
