@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_engine.llm import (
+    alignment,
     decontamination,
     language_model,
     line_chunks,
     lsh_forest,
+    neighbours,
     packing,
     quality,
     secrets,
+    spelling,
     suffix_dedup,
     url_filters,
     warc,
@@ -109,6 +112,24 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("h")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over all documents, aligned."""
+    import public_tokenizers
+
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_tokens(documents(spark, sf_dir), *files)[0]
+
+
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors for every twentieth one."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -122,4 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ratio": op8_quality_ratio,
     "op9_secret_models": op9_secret_models,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_cross_polytope": op12_cross_polytope,
+    "op13_spelling_variants": op13_spelling_variants,
 }
