@@ -9,8 +9,8 @@ tables differ in their rotations.
 
 A query visits in each table the cells with the least loss. How many is fitted: the true neighbours of a
 bounded sample of queries, found by one scan of all classes, must lie in visited cells often enough.
-Visits and entries meet by table and cell, in blocks of bounded size; a task holds one block and
-passes queries over it. Scores are exact, in double precision and in one order of additions, and every query
+Neighbouring cells form a region. Visits and entries meet by table and region, in blocks of bounded size: a
+query is sent once with a list of cells to each region that it visits, a task holds one block and passes queries over it. Scores are exact, in double precision and in one order of additions, and every query
 brings along a lower bound of its last score from a bounded sample, so most of what is visited ends in the task.
 """
 
@@ -28,8 +28,9 @@ from evidence_engine.llm.common import map_arrow, materialize
 TABLES = 4
 #: Classes that a cell holds on average, at most.
 PER_CELL = 128
-#: Rows of a cell that a task holds at once.
-BLOCK = 4096
+#: Cells in a region, and rows of a region that a task holds at once.
+REGION = 32
+BLOCK = 16_384
 #: Queries that the number of visits is fitted on, and the share of their true neighbours to be found.
 FITTED, RECALL = 256, 0.96
 #: Classes that the lower bounds come from.
@@ -97,7 +98,11 @@ class Hashing:
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dimension)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
+
+
+def stacked(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    return np.concatenate([np.zeros((0, dimension)), *(matrix(part, dimension) for part in column.chunks)])
 
 
 def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -111,8 +116,10 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     Vectors whose length is not the most frequent one (the greater of two) take no part. Classes are digests of
     all components, a negative zero counting as zero.
     """
-    doubles = F.transform(vector_column, lambda x: x.cast("double") + F.lit(0.0))
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), doubles.alias("vector"))
+    single = dict(vectors.dtypes)[vector_column] == "array<float>"
+    kind = "float" if single else "double"
+    numbers = F.transform(vector_column, lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), numbers.alias("vector"))
 
     def finite(x: Column) -> Column:
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -160,12 +167,14 @@ def _true_neighbours(sample: np.ndarray, k: int, dimension: int):
 def fit_visits(hashing: Hashing, classes: DataFrame, sample: np.ndarray, k: int, recall: float) -> tuple[int, float]:
     """The number of cells to visit, and the share of the sample's true neighbours found with it."""
     found = map_arrow(
-        classes.select("vector"), _true_neighbours(sample, k, hashing.dimension), "q long, score double, vector array<double>"
+        classes.select("vector"),
+        _true_neighbours(sample, k, hashing.dimension),
+        f"q long, score double, vector {dict(classes.dtypes)['vector']}",
     )
     place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))
     true = found.withColumn("place", place).where(F.col("place") <= k).select("q", "vector").toArrow().combine_chunks()
     query = true["q"].to_numpy()
-    near = hashing.unit(matrix(true["vector"].combine_chunks() if isinstance(true["vector"], pa.ChunkedArray) else true["vector"], hashing.dimension), False)
+    near = hashing.unit(stacked(true["vector"], hashing.dimension), False)
     asked = hashing.unit(sample, True)
     n = 8
     while True:
@@ -182,9 +191,6 @@ def fit_visits(hashing: Hashing, classes: DataFrame, sample: np.ndarray, k: int,
         n *= 2
 
 
-_SHUFFLED = "tab int, cell long, block int, role int, class binary, vector array<double>, ids array<long>, least double"
-
-
 def _entries(hashing: Hashing):
     """Task: a row for each class and table."""
 
@@ -192,14 +198,15 @@ def _entries(hashing: Hashing):
         for batch in batches:
             unit = hashing.unit(matrix(batch.column(1), hashing.dimension), False)
             for table in range(hashing.tables):
-                columns = [pa.array(np.full(len(batch), table, np.int32)), pa.array(hashing.cell(unit, table)), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, names=["tab", "cell", "class", "vector", "ids"])
+                cell = hashing.cell(unit, table)
+                columns = [pa.array(np.full(len(batch), table, np.int32)), pa.array(cell // REGION), pa.array(cell), *batch.columns]
+                yield pa.RecordBatch.from_arrays(columns, names=["tab", "region", "cell", "class", "vector", "ids"])
 
     return run
 
 
 def _visits(hashing: Hashing, n: int, bounding: np.ndarray, k: int):
-    """Task: a row for each query, table and visited cell, with a lower bound of the query's last score."""
+    """Task: a row for each query, table and visited region, with its cells and a lower bound of the query's last score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,58 +220,78 @@ def _visits(hashing: Hashing, n: int, bounding: np.ndarray, k: int):
                 unit = hashing.unit(vectors, True)
                 for table in range(hashing.tables):
                     cells = hashing.visits(unit, table, n)
-                    row = pa.array(np.repeat(np.arange(len(part)), cells.shape[1]))
-                    columns = [pa.array(np.full(len(row), table, np.int32)), pa.array(cells.ravel())]
-                    columns += [part.column(0).take(row), part.column(1).take(row), pa.array(least).take(row)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["tab", "cell", "class", "vector", "least"])
+                    cells.sort(axis=1)
+                    flat = cells.ravel()
+                    region, row = flat // REGION, np.repeat(np.arange(len(part)), cells.shape[1])
+                    first = np.flatnonzero((np.diff(region, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat))
+                    at = pa.array(row[first])
+                    columns = [pa.array(np.full(len(first), table, np.int32)), pa.array(region[first]), lists]
+                    columns += [part.column(0).take(at), part.column(1).take(at), pa.array(least[row[first]])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tab", "region", "cells", "class", "vector", "least"])
 
     return run
 
 
 def _scored(dimension: int, k: int, longest: float):
-    """Task: rows sorted by cell and block, entries before queries; each query's best entries of each block."""
+    """Task: rows sorted by region and block, entries before queries and by cell; each query's best entries of a block.
 
-    def block_of(held: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array]:
-        ids = pa.concat_arrays([b.column(6) for b in held])
-        return np.concatenate([matrix(b.column(5), dimension) for b in held]), ids
+    Columns: tab, region, block, role, cell, class, vector, ids, cells, least.
+    """
 
-    def best(rows: pa.RecordBatch, block) -> Iterator[pa.RecordBatch]:
-        vectors, ids = block
-        starts = ids.offsets.to_numpy()
-        values = ids.values.to_numpy(zero_copy_only=False)
+    def block_of(held: list[pa.RecordBatch]) -> tuple:
+        cell = np.concatenate([b.column(4).to_numpy() for b in held])
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        bounds = dict(zip(cell[first].tolist(), zip(first.tolist(), [*first[1:].tolist(), len(cell)])))
+        ids = pa.concat_arrays([b.column(7) for b in held])
+        return np.concatenate([matrix(b.column(6), dimension) for b in held]), ids, bounds
+
+    def best(rows: pa.RecordBatch, block: tuple) -> Iterator[pa.RecordBatch]:
+        vectors, ids, bounds = block
+        starts, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         for start in range(0, len(rows), 512):
             part = rows.slice(start, 512)
-            asked = matrix(part.column(5), dimension)
-            scores = asked @ vectors.T
+            asked, least = matrix(part.column(6), dimension), part.column(9).to_numpy()
             slack = SLACK * longest * np.linalg.norm(asked, axis=1)
-            least = np.maximum(part.column(7).to_numpy(), _best(scores, k + 1) - 2 * slack)
-            query, row = np.nonzero(scores >= least[:, None])
+            lists = part.column(8)
+            cells, asking = lists.flatten().to_numpy(), np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+            order = np.argsort(cells, kind="stable")
+            cells, asking = cells[order], asking[order]
+            edges = np.flatnonzero(np.diff(cells, prepend=-1))
+            queries, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(edges, [*edges[1:], len(cells)]):
+                if int(cells[a]) not in bounds:
+                    continue
+                low, high = bounds[int(cells[a])]
+                who = asking[a:b]
+                scores = asked[who] @ vectors[low:high].T
+                reach = np.maximum(least[who], _best(scores, k + 1) - 2 * slack[who])
+                i, j = np.nonzero(scores >= reach[:, None])
+                queries.append(who[i])
+                found.append(low + j)
+            query, row = np.concatenate(queries), np.concatenate(found)
             score = exact(asked[query], vectors[row])
-            order = np.lexsort((row, -score, query))
-            query, row, score = query[order], row[order], score[order]
             many = starts[row + 1] - starts[row]
             at = np.repeat(starts[row], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             query, score, vec_id = np.repeat(query, many), np.repeat(score, many), values[at]
             order = np.lexsort((vec_id, -score, query))
             query, score, vec_id = query[order], score[order], vec_id[order]
-            place = np.arange(len(query)) - np.searchsorted(query, query)
-            kept = place <= k
-            columns = [part.column(4).take(pa.array(query[kept])), pa.array(vec_id[kept]), pa.array(score[kept])]
+            kept = np.arange(len(query)) - np.searchsorted(query, query) <= k
+            columns = [part.column(5).take(pa.array(query[kept])), pa.array(vec_id[kept]), pa.array(score[kept])]
             yield pa.RecordBatch.from_arrays(columns, names=["class", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block = None, [], None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], axis=1)
-            role = batch.column(3).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1) | (np.diff(role) != 0)) + 1
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
+            edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
             for start, stop in zip([0, *edges], [*edges, len(batch)]):
                 if start == stop:
                     continue
-                part, here = batch.slice(start, stop - start), tuple(keys[start])
+                part, here = batch.slice(start, stop - start), tuple(keys[start, :3])
                 if here != key:
                     key, held, block = here, [], None
-                if role[start] == 0:
+                if keys[start, 3] == 0:
                     held.append(part)
                 elif held:
                     block = block or block_of(held)
@@ -302,9 +329,7 @@ def nearest(
 
     def sampled(table: DataFrame, size: int) -> np.ndarray:
         """Those with the smallest digests."""
-        found = table.orderBy("class").limit(size).select("vector").toArrow().combine_chunks()["vector"]
-        parts = [matrix(part, dimension or 0) for part in (found.chunks if isinstance(found, pa.ChunkedArray) else [found])]
-        return np.concatenate(parts) if parts else np.zeros((0, dimension or 0))
+        return stacked(table.orderBy("class").limit(size).select("vector").toArrow()["vector"], dimension or 0)
 
     fitted = sampled(asked, FITTED)
     if not len(fitted):
@@ -312,20 +337,24 @@ def nearest(
     hashing = Hashing(dimension, longest, bool(shortest < 0.999 * longest), n, tables)
     visits, _ = fit_visits(hashing, classes, fitted, k + 1, recall)
 
+    vector = f"class binary, vector {dict(classes.dtypes)['vector']}"
     entries = map_arrow(
-        classes.select("class", "vector", "ids"), _entries(hashing), "tab int, cell long, class binary, vector array<double>, ids array<long>"
+        classes.select("class", "vector", "ids"), _entries(hashing), f"tab int, region long, cell long, {vector}, ids array<long>"
     )
-    places = entries.groupBy("tab", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    blocks = materialize(places.select("tab", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
-    asks = map_arrow(asked, _visits(hashing, visits, sampled(classes, BOUNDING), k), "tab int, cell long, class binary, vector array<double>, least double")
-    several = F.coalesce("blocks", F.lit(1))
-    dealt = entries.join(blocks, ["tab", "cell"], "left").withColumn("block", F.pmod(F.xxhash64("class"), several).cast("int"))
-    everywhere = asks.join(blocks, ["tab", "cell"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), several - 1)))
-    columns = ["tab", "cell", "block", "role", "class", "vector", "ids", "least"]
-    both = dealt.withColumns({"role": F.lit(0), "least": F.lit(None).cast("double")}).select(*columns).unionAll(
-        everywhere.withColumns({"role": F.lit(1), "ids": F.lit(None).cast("array<long>")}).select(*columns)
+    places = entries.groupBy("tab", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    blocks = materialize(places.select("tab", "region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "blocks")
+    asks = map_arrow(
+        asked, _visits(hashing, visits, sampled(classes, BOUNDING), k), f"tab int, region long, cells array<long>, {vector}, least double"
     )
-    met = both.repartition("tab", "cell", "block").sortWithinPartitions("tab", "cell", "block", "role", "class")
+    several = F.coalesce("blocks", F.lit(1))
+    dealt = entries.join(blocks, ["tab", "region"], "left").withColumn("block", F.pmod(F.xxhash64("class"), several).cast("int"))
+    asks = asks.join(blocks, ["tab", "region"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), several - 1)))
+    columns = ["tab", "region", "block", "role", "cell", "class", "vector", "ids", "cells", "least"]
+    none = {"ids": "array<long>", "cells": "array<long>", "least": "double"}
+    dealt = dealt.withColumns({"role": F.lit(0), **{c: F.lit(None).cast(none[c]) for c in ("cells", "least")}})
+    asks = asks.withColumns({"role": F.lit(1), "cell": F.lit(0).cast("long"), "ids": F.lit(None).cast(none["ids"])})
+    both = dealt.select(*columns).unionAll(asks.select(*columns))
+    met = both.repartition("tab", "region", "block").sortWithinPartitions("tab", "region", "block", "role", "cell", "class")
     found = map_arrow(met, _scored(dimension, k, longest), "class binary, vec_id long, score double")
     once = found.groupBy("class", "vec_id").agg(F.max("score").alias("score"))
     order = (F.desc("score"), "vec_id")
