@@ -35,6 +35,8 @@ BLOCK = 16_384
 FITTED, RECALL = 256, 0.96
 #: Classes that the lower bounds come from.
 BOUNDING = 4096
+#: Rows that a task holds before it thins them out to each query's best; it passes on what is more than half of it then.
+HELD = 1 << 20
 #: Room for the rounding of matrix products, relative to the lengths.
 SLACK = 1e-12
 
@@ -234,7 +236,7 @@ def _visits(hashing: Hashing, n: int, bounding: np.ndarray, k: int):
 
 
 def _scored(dimension: int, k: int, longest: float):
-    """Task: rows sorted by region and block, entries before queries and by cell; each query's best entries of a block.
+    """Task: rows sorted by region and block, entries before queries and by cell; each query's best entries of all the task's blocks.
 
     Columns: tab, region, block, role, cell, class, vector, ids, cells, least.
     """
@@ -280,7 +282,32 @@ def _scored(dimension: int, k: int, longest: float):
             columns = [part.column(5).take(pa.array(query[kept])), pa.array(vec_id[kept]), pa.array(score[kept])]
             yield pa.RecordBatch.from_arrays(columns, names=["class", "vec_id", "score"])
 
+    def thinned(found: list[pa.RecordBatch]) -> pa.Table:
+        """Each query's best, every entry once: a pair's score is the same wherever it was found."""
+        rows = pa.Table.from_batches(found).combine_chunks()
+        query = rows["class"].combine_chunks().dictionary_encode().indices.to_numpy()
+        score, vec_id = rows["score"].to_numpy(), rows["vec_id"].to_numpy()
+        order = np.lexsort((vec_id, -score, query))
+        query, vec_id = query[order], vec_id[order]
+        new = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(vec_id, prepend=vec_id[0]) != 0))
+        order, query = order[new], query[new]
+        return rows.take(pa.array(order[np.arange(len(query)) - np.searchsorted(query, query) <= k]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for part in hits(batches):
+            found.append(part)
+            size += len(part)
+            if size > HELD:
+                rows = thinned(found)
+                found, size = rows.to_batches(), len(rows)
+                if size > HELD // 2:
+                    yield from found
+                    found, size = [], 0
+        if size:
+            yield from thinned(found).to_batches(max_chunksize=10_000)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)], axis=1)
