@@ -133,3 +133,95 @@ def verdict(url, rules, addresses_blocked=()):
             fits.append((len(rule), rule, what))
     best = max(fits, default=(0, None, None))
     return host, path, best[1], best[2]
+
+
+def one_edit_apart(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[same:] == b[same + 1 :] if len(a) < len(b) else a[same + 1 :] == b[same + 1 :]
+
+
+def noisy_words(rows):
+    counted = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            word = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if i is None else i}:{word}".encode())
+            if h % 31 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            if len(word) >= 7:
+                counted[word] += 1
+    return {w: n for w, n in counted.items() if n >= 2}
+
+
+def variants(n):
+    near = {w: [v for v in n if one_edit_apart(w, v)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        if best and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return sorted(out)
+
+
+def token_alignment(rows, encode_a, encode_b):
+    """``encode`` gives (id, bytes) of a text's tokens."""
+    found, links = [], Counter()
+    for doc, text in rows:
+        whole = (" " + (text or "")).encode()
+        a, b = (encode_a(text), encode_b(text)) if text else ([], [])
+        if not text or any(b"".join(t for _, t in side) != whole for side in (a, b)):
+            found.append((doc, None))
+            continue
+        spans = [[], []]
+        for side, out in zip((a, b), spans):
+            at = 0
+            for i, token in side:
+                out.append((at, at + len(token), i))
+                at += len(token)
+        cuts = sorted({s[1] for s in spans[0]} & {s[1] for s in spans[1]})
+        groups = [tuple([i for x, y, i in side if low <= x and y <= cut] for side in spans) for low, cut in zip([0, *cuts], cuts)]
+        pairs = [(i, j) for x, y, i in spans[0] for u, v, j in spans[1] if x < v and u < y]
+        links.update(pairs)
+        found.append((doc, (len(a), len(b), groups, pairs)))
+    most = Counter()
+    for (_, j), n in links.items():
+        most[j] = max(most[j], n)
+    out = []
+    for doc, value in found:
+        if value is None:
+            out.append((doc, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        n_a, n_b, groups, pairs = value
+        written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        best = sum(links[p] == most[p[1]] for p in pairs)
+        digest = hashlib.sha256(written.encode()).hexdigest()
+        out.append((doc, n_a, n_b, len(groups), len(pairs), best, sum(links[p] for p in pairs), digest))
+    return out
+
+
+def nearest(rows, k, every):
+    """``{query: [(-score, id)]}`` of all other ids, nearest first."""
+
+    def usable(v):
+        return v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    kept = {(i, tuple(x + 0.0 for x in v)) for i, v in rows if i is not None and usable(v)}
+    lengths = Counter(len(v) for _, v in kept)
+    length = max(lengths, key=lambda n: (lengths[n], n), default=0)
+    kept = [x for x in kept if len(x[1]) == length]
+    out = {}
+    for i, v in kept:
+        for j, w in kept if i % every == 0 else ():
+            if i != j:
+                scores = out.setdefault(i, {})
+                scores[j] = max(scores.get(j, -math.inf), sum(x * y for x, y in zip(v, w)))
+    return {i: sorted((-s, j) for j, s in scores.items())[:k] for i, scores in out.items()}
