@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidence_engine.sources.scratch import materialize, scratch_path
 
-__all__ = ["Scratch", "bounded", "documents", "keyed", "map_arrow", "materialize", "scratch_path", "table", "texts"]
+__all__ = [
+    *("Scratch", "bounded", "documents", "keyed", "map_arrow", "materialize"),
+    *("named_rows", "rows_without", "scratch_path", "table", "texts"),
+]
 
 #: Fixed: white space between words.
 BLANKS = "[ \\t-\\r]+"
@@ -54,6 +57,20 @@ def with_info(docs: DataFrame, info: DataFrame, how: str = "left") -> DataFrame:
     return joined.drop(info["doc_id"]).drop(info["h"])
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """All columns as one, ``row``, with ``id`` and ``h`` as in :func:`keyed`: whatever the columns are called, none clashes."""
+    key = F.col("row.doc_id").cast("long").alias("id"), text_hash(F.col("row.text")).alias("h")
+    return docs.select(F.struct("*").alias("row")).select("row", *key)
+
+
+def rows_without(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``named`` (``doc_id, h``) does not name."""
+    rows = named_rows(docs)
+    gone = named.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    same = rows["id"].eqNullSafe(gone["gone_id"]) & (rows["h"] == gone["gone_h"])
+    return rows.join(gone, same, "left_anti").select("row.*")
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """A string column's values as UTF-8 bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

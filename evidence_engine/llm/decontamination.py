@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evidence_engine.llm.common import Scratch, keyed, materialize, text_hash, with_info
+from evidence_engine.llm.common import Scratch, keyed, materialize, rows_without, with_info
 
 #: The tokens that each mask looks at.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 8, 9))
@@ -147,7 +147,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no benchmark item, with all their columns."""
-    bad = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    condition = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
-    return docs.join(bad, condition, "left_anti")
+    """The documents that overlap no benchmark item, with all their columns, whatever these are called.
+
+    Rows with one id and one text go together; a missing or empty text overlaps nothing and stays; an empty
+    table gives an empty one, an empty benchmark leaves all.
+    """
+    return rows_without(docs, find_overlaps(docs, benchmark))

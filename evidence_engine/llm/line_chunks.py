@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evidence_engine.llm.common import Scratch, map_arrow, texts
+from evidence_engine.llm.common import Scratch, map_arrow, named_rows, texts
 
 #: One cut in so many lines, on average, beyond the shortest chunk.
 EVERY = 2
@@ -71,14 +71,19 @@ def _first_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _rebuilt(names: list[str]):
+#: Columns that an operator adds.
+ADDED = ("__lines", "__removed", "__chunks")
+
+
+def _rebuilt(names: list[str], added: tuple[str, ...]):
     """Task: every text without the chunks that equal their first occurrence; other columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
         for batch in batches:
+            given = batch.column(0).flatten()
             new, n_lines, removed, places = [], [], [], []
-            for text, firsts in zip(texts(batch.column(at)), batch.column(len(names))):
+            for text, firsts in zip(texts(given[at]), batch.column(1)):
                 n_lines.append(text.count(b"\n") + 1 if text else 0)
                 same = {f["line"]: f["chunk"] for f in firsts.as_py()} if firsts.is_valid else {}
                 kept, gone = [], []
@@ -90,18 +95,18 @@ def _rebuilt(names: list[str]):
                 new.append(b"\n".join(kept).decode() if same else (None if text is None else text.decode()))
                 removed.append(sum(g["lines"] for g in gone))
                 places.append(gone)
-            columns = [batch.column(i) if i != at else pa.array(new, pa.string()) for i in range(len(names))]
+            columns = [column if i != at else pa.array(new, pa.string()) for i, column in enumerate(given)]
             kind = pa.list_(pa.struct([("line", pa.int64()), ("lines", pa.int64())]))
             columns += [pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(places, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__lines", "__removed", "__chunks"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     return run
 
 
-def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, added: tuple[str, str, str] = ADDED) -> DataFrame:
     """The documents, with all their columns, without the chunks of lines that stand earlier already.
 
-    New columns: ``__lines`` of the input, ``__removed`` lines, ``__chunks`` (first line and number of
+    New columns, whose names can be given: ``__lines`` of the input, ``__removed`` lines, ``__chunks`` (first line and number of
     lines of each removed chunk). Of equal chunks the one in the document with the smallest id, and there
     the first, stays. Only chunks with two lines or more that have words are compared. Rows with one id
     and one text are one document: they lose the same chunks. A missing text has no lines and stays
@@ -122,7 +127,7 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     # Two rows of one document give the same chunk twice.
     same = plain["doc_id"].eqNullSafe(wanted["doc_id"]) & (plain["h"] == wanted["h"])
     firsts = scratch.write(
-        map_arrow(plain.join(wanted, same).select("text", "wanted"), _first_chunks, FIRST).dropDuplicates(["k1", "k2"]),
+        map_arrow(plain.join(wanted.hint("merge"), same).select("text", "wanted"), _first_chunks, FIRST).dropDuplicates(["k1", "k2"]),
         "line-firsts",
     )
     later = (
@@ -132,29 +137,32 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
         .join(firsts, ["k1", "k2"])
         .groupBy("doc_id", "h")
         .agg(F.collect_list(F.struct("line", "chunk")).alias("firsts"))
-        .select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "firsts")
+        .select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), "firsts")
     )
     later = scratch.write(later, "line-later")
-    condition = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h")
-    )
-    joined = docs.join(later, condition, "left").select(*(docs[c] for c in docs.columns), "firsts")
-    schema = docs.select("*").schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    # Texts are sorted and merged at every size: what the plan costs then grows as its input does.
+    rows = named_rows(docs)
+    same = rows["id"].eqNullSafe(later["of_id"]) & (rows["h"] == later["of_h"])
+    joined = rows.join(later.hint("merge"), same, "left").select("row", "firsts")
+    kinds = ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in docs.schema)
     return map_arrow(
         joined,
-        _rebuilt(docs.columns),
-        f"{kinds}, __lines long, __removed long, __chunks array<struct<line: long, lines: long>>",
+        _rebuilt(docs.columns, added),
+        f"{kinds}, `{added[0]}` long, `{added[1]}` long, `{added[2]}` array<struct<line: long, lines: long>>",
     )
 
 
 def keep_first_chunks(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left are gone.
 
-    ``n_chars`` is set anew where there is such a column. Empty and missing texts stay.
+    All columns stay, whatever they are called; ``n_chars`` is set anew where there is such a column. Empty and
+    missing texts stay; repeated rows and an empty table are treated as in ``remove_repeated_chunks``.
     """
-    out = remove_repeated_chunks(docs).where("__removed = 0 or text <> ''")
+    unlike = "_" * (1 + max(map(len, docs.columns)))
+    added = tuple(unlike + name for name in ADDED)
+    removed = F.col(f"`{added[1]}`")
+    out = remove_repeated_chunks(docs, added).where((removed == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
-        length = F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        length = F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.drop(*added)

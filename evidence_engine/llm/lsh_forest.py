@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from evidence_engine.llm.common import Scratch, keyed, map_arrow, materialize, text_hash, texts
+from evidence_engine.llm.common import Scratch, keyed, map_arrow, materialize, named_rows, rows_without, texts
 from evidence_engine.llm.components import components
 from evidence_engine.llm.words import hashed, shingles
 
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Regions that hold several components: all their texts go on, in new orders, until a round adds no link.
     between = scratch.write(apart(pairs, found).select("of_x", "of_y"), "forest-between")
     crowded = between.select(F.col("of_x").alias("component")).union(between.select("of_y")).distinct()
-    tried, number = likely.select("x", "y"), 1
+    tried, number, active = likely.select("x", "y"), 1, None
     while not between.isEmpty():
         both = links.select("u", "v").where("u <> v").distinct()
         both = both.union(both.select("v", "u")).distinct()
@@ -374,8 +374,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         hubs = both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("n").alias("of_partner")), "v")
         hubs = hubs.groupBy(F.col("u").alias("id")).agg((F.max("n") > 1).alias("several"), F.max("of_partner").alias("most"))
         hubs = hubs.select("id", F.expr("several or most = 1").alias("is_hub"))
+        # What goes on are the texts of crowded components; later rounds join components, so these are among the last round's.
+        region = shown if active is None else active.select("id", "signature")
         active = (
-            shown.join(found.withColumnRenamed("node", "id"), "id", "left")
+            region.join(found.withColumnRenamed("node", "id"), "id", "left")
             .withColumn("component", F.coalesce("component", "id"))
             .join(crowded, "component", "left_semi")
             .join(hubs, "id", "left")
@@ -416,10 +418,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns; of rows with one id and text one."""
-    found = near_duplicates(docs, words, percent).where("kept")
-    kept = found.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.count("*").alias("__n"))
-    condition = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash(F.col("text")) == F.col("__h"))
-    if kept.where("__n > 1").isEmpty():
-        return docs.join(kept, condition, "left_semi")
-    return docs.join(kept, condition).dropDuplicates(["__id", "__h"]).select(*(docs[c] for c in docs.columns))
+    """The documents that ``near_duplicates`` keeps, with all their columns, whatever these are called.
+
+    Of rows with one id and one text one stays. Documents without id, without text or with an empty one stay;
+    an empty table gives an empty one. The names of what goes, not of what stays, are joined to the texts.
+    """
+    found = near_duplicates(docs, words, percent)
+    left = rows_without(docs, found.where("not kept"))
+    again = found.where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    return named_rows(left).dropDuplicates(["id", "h"]).select("row.*")
