@@ -6,19 +6,26 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import term_counts, tokenize
+from evidence_engine.operators import postings as inverted
+from evidence_engine.operators.vectors import with_hashed
 
 
 @dataclass(frozen=True)
 class Index:
     """``chunks`` carry their tokens and their number; the other tables are the corpus statistics.
 
-    A term may have several rows in ``doc_freq``, which add up: the changes of a store.
+    A term may have several rows in ``doc_freq``, which add up: the changes of a store. A written index has
+    ``postings``, which BM25 reads in place of the chunks' tokens, and its chunks have ``hashed`` vectors of the
+    kind (dimension, hash family) that ``hashed`` names.
     """
 
     chunks: DataFrame
     doc_freq: DataFrame
     stats: DataFrame
+    postings: inverted.Postings | None = None
+    hashed: tuple[int, str] | None = None
 
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
@@ -69,15 +76,23 @@ def build_index(chunks: DataFrame) -> Index:
     return Index(tokens, document_frequency(tokens), corpus_stats(tokens))
 
 
-def write_index(chunks: DataFrame, path: str) -> Index:
-    """Chunk and tokenize once, then derive the statistics from the written table."""
+def write_index(
+    chunks: DataFrame, path: str, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b"
+) -> Index:
+    """Chunk, tokenize and hash once, then derive postings and statistics from the written table."""
     spark = chunks.sparkSession
-    with_tokens(chunks).write.mode("overwrite").parquet(f"{path}/chunks")
+    tokens = with_hashed(with_tokens(chunks), dimension, family).withColumn("place", F.monotonically_increasing_id())
+    tokens.write.mode("overwrite").parquet(f"{path}/chunks")
     tokens = spark.read.parquet(f"{path}/chunks")
-    document_frequency(tokens).write.mode("overwrite").parquet(f"{path}/doc_freq")
-    corpus_stats(tokens).write.mode("overwrite").parquet(f"{path}/stats")
+    postings = inverted.write_postings(tokens, f"{path}/postings")
+    postings.doc_freq().write.mode("overwrite").parquet(f"{path}/doc_freq")
+    stats = corpus_stats(tokens).withColumns({"dimension": F.lit(dimension), "family": F.lit(family)})
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{table}") for table in ("chunks", "doc_freq", "stats")))
+    chunks, doc_freq, stats = (spark.read.parquet(f"{path}/{table}") for table in ("chunks", "doc_freq", "stats"))
+    kind = stats.select("dimension", "family").first()
+    postings = inverted.read_postings(spark, f"{path}/postings")
+    return Index(chunks, doc_freq, stats.select("n_chunks", "avg_len"), postings, (kind["dimension"], kind["family"]))

@@ -60,6 +60,14 @@ class TermHasher:
         return cells.reshape(len(tokens), self.dimension)
 
 
+def sparse(matrix: np.ndarray) -> pa.StructArray:
+    """Rows as the places of their entries other than zero, the entries, and the row's length."""
+    row, bucket = np.nonzero(matrix)
+    ends = pa.array(np.searchsorted(row, np.arange(len(matrix) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (bucket, matrix[row, bucket].astype(np.int64))]
+    return pa.StructArray.from_arrays([*lists, pa.array(norms(matrix))], names=["bucket", "count", "norm"])
+
+
 def row_numbers(lists: pa.ListArray) -> np.ndarray:
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return np.repeat(np.arange(len(lists)), lengths)
@@ -153,6 +161,17 @@ class HashedCosineScorer:
         return (self.queries @ matrix.T) / (self.query_norms[:, None] * norms(matrix)[None, :])
 
 
+class WrittenCosineScorer(HashedCosineScorer):
+    """The same over written vectors: no token is hashed again."""
+
+    def __call__(self, chunks: pa.Table) -> np.ndarray:
+        hashed = one_array(chunks["hashed"])
+        bucket, count, length = (hashed.field(i) for i in range(3))
+        matrix = np.zeros((len(hashed), self.hasher.dimension))
+        matrix[row_numbers(bucket), bucket.flatten().to_numpy(zero_copy_only=False)] = count.flatten().to_numpy(zero_copy_only=False)
+        return (self.queries @ matrix.T) / (self.query_norms[:, None] * length.to_numpy(zero_copy_only=False)[None, :])
+
+
 class VectorCosineScorer:
     """Cosine over supplied vectors; vectors of another dimension are an error."""
 
@@ -177,7 +196,8 @@ class VectorCosineScorer:
 
 
 def make_scorer(kind: str, *parts):
-    return {"bm25": Bm25Scorer, "hashed": HashedCosineScorer, "vectors": VectorCosineScorer}[kind](*parts)
+    kinds = {"bm25": Bm25Scorer, "hashed": HashedCosineScorer, "written": WrittenCosineScorer, "vectors": VectorCosineScorer}
+    return kinds[kind](*parts)
 
 
 def one_array(column: pa.ChunkedArray) -> pa.Array:

@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
-from evidence_engine.operators import kernels
+from evidence_engine.operators import kernels, postings
 from evidence_engine.operators.index import Index, weigh
 from evidence_engine.sources.scratch import materialize
 
 cloudpickle.register_pickle_by_value(kernels)
+cloudpickle.register_pickle_by_value(postings)
 
 # A pass takes about this many queries, and query tokens or vector entries, at most: a few
 # megabytes to broadcast. Larger passes mean fewer scans, smaller ones less memory per task.
@@ -101,16 +102,25 @@ def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float
 
 
 def _rank(
-    chunks: DataFrame, queries: DataFrame, features: Sequence[str], k: int, keep: Sequence[str], describe
+    chunks: DataFrame,
+    queries: DataFrame,
+    features: Sequence[str],
+    k: int,
+    keep: Sequence[str],
+    describe,
+    scanned: Sequence[str] | None = None,
+    looked_up=None,
 ) -> Iterator[DataFrame]:
     """Each pass's k best rows per ranking and query, written, from one scan of the chunks.
 
     ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a
-    DataFrame and as an Arrow table. Without queries there is one empty table.
+    DataFrame and as an Arrow table; they read the columns ``scanned`` (``features``, unless told). Without any,
+    nothing is scanned. ``looked_up(block, query_ids, payload)`` gives candidates from elsewhere.
+    Without queries there is one empty table.
     """
     check_top_k(k)
     payload = list(dict.fromkeys([*keep, "doc_ord", "chunk_index"]))
-    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index")).select(*payload, *features)
+    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index")).select(*payload, *(features if scanned is None else scanned))
     schema = T.StructType(
         [T.StructField("ranking", T.StringType()), queries.schema["query_id"], T.StructField("score", T.DoubleType())]
         + [flat.schema[c] for c in payload]
@@ -120,14 +130,18 @@ def _rank(
         none = False
         held = block.select("query_id", *features).toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
-        shared = chunks.sparkSession.sparkContext.broadcast((describe(block, held, query_ids), query_ids))
+        described = describe(block, held, query_ids)
+        shared = chunks.sparkSession.sparkContext.broadcast((described, query_ids))
 
         def rank(batches, shared=shared):
             described, ids = shared.value
             scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
             yield from kernels.rank_partition(batches, scorers, ids, k, payload)
 
-        ranked = materialize(_merge(flat.mapInArrow(rank, schema), k), "ranked")
+        candidates = [flat.mapInArrow(rank, schema)] if described else []
+        if looked_up is not None:
+            candidates.append(looked_up(block, query_ids, payload))
+        ranked = materialize(_merge(reduce(DataFrame.unionByName, candidates), k), "ranked")
         shared.destroy()
         yield ranked
     if none:
@@ -168,18 +182,48 @@ def _rank_index(
     if embedding not in ("hashing", "vectors"):
         raise ValueError(f"unknown embedding {embedding!r}")
     own_vectors = "dense" in rankings and embedding == "vectors"
+    by_postings = "bm25" in rankings and index.postings is not None
+    written = "dense" in rankings and not own_vectors and index.hashed == (dimension, family)
+    features = ["tokens", "vector"] if own_vectors else ["tokens"]
+    # Columns of the chunks that the scorers read: the hashed vectors and the postings save the tokens.
+    scanned = ["vector"] if own_vectors else ["hashed"] if written else []
+    if ("bm25" in rankings and not by_postings) or ("dense" in rankings and not scanned):
+        scanned = ["tokens", *scanned]
 
     def describe(block: DataFrame, held: pa.Table, query_ids: pa.Array) -> dict:
         scorers = {}
-        if "bm25" in rankings:
+        if "bm25" in rankings and not by_postings:
             scorers["bm25"] = bm25_weights(index, query_ids, block, k1, b)
         if own_vectors:
             scorers["dense"] = ("vectors", _matrix(held))
         elif "dense" in rankings:
-            scorers["dense"] = ("hashed", kernels.one_array(held["tokens"]), dimension, family)
+            scorers["dense"] = ("written" if written else "hashed", kernels.one_array(held["tokens"]), dimension, family)
         return scorers
 
-    return _rank(index.chunks, queries, ["tokens", "vector"] if own_vectors else ["tokens"], k, keep, describe)
+    def looked_up(block: DataFrame, query_ids: pa.Array, payload: Sequence[str]) -> DataFrame:
+        weights = bm25_weights(index, query_ids, block, k1, b)
+        id_type = queries.schema["query_id"].dataType.simpleString()
+        found = postings.best_chunks(index.postings, weights, query_ids, id_type, k)
+        return postings.with_chunks(found, index.chunks, payload)
+
+    return _rank(
+        index.chunks, queries, features, k, keep, describe, scanned=scanned, looked_up=looked_up if by_postings else None
+    )
+
+
+def block_use(
+    index: Index, queries: DataFrame, k: int = fv.TOP_K, k1: float = fv.BM25_K1, b: float = fv.BM25_B
+) -> DataFrame:
+    """What BM25 reads of the postings: pairs of query and ``windows`` with a shared term, those ``taken``, ``blocks`` read, those ``decoded``."""
+    tables = []
+    for block in query_passes(queries, ["tokens"], k):
+        query_ids = kernels.one_array(block.select("query_id").toArrow().combine_chunks()["query_id"])
+        weights = bm25_weights(index, query_ids, block, k1, b)
+        tables.append(materialize(postings.best_chunks(index.postings, weights, query_ids, "", k, report=True), "blocks"))
+    columns = ("windows", "taken", "blocks", "decoded")
+    if not tables:
+        return index.stats.sparkSession.createDataFrame([(0, 0, 0, 0)], ", ".join(f"{c} long" for c in columns))
+    return reduce(DataFrame.unionByName, tables).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns))
 
 
 def rank_chunks(

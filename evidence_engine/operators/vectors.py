@@ -43,6 +43,27 @@ def hash_embed(
     )
 
 
+HASHED = "struct<bucket: array<int>, count: array<int>, norm: double>"
+
+
+def with_hashed(token_chunks: DataFrame, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b") -> DataFrame:
+    """Add ``hashed``: the buckets of a chunk's tokens that are not empty, their signed counts, and the length of the vector."""
+    place = token_chunks.columns.index("tokens")
+
+    def embed(batches):
+        hasher = kernels.TermHasher(dimension, family)
+        step = max(1, kernels.BLOCK_CELLS // dimension)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, kernels.sparse(hasher.matrix(part.column(place)))], names=[*part.schema.names, "hashed"]
+                )
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in token_chunks.schema)
+    return token_chunks.mapInArrow(embed, f"{kinds}, hashed {HASHED}")
+
+
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
