@@ -112,8 +112,8 @@ def write_postings(token_chunks: DataFrame, path: str) -> Postings:
     narrow = token_chunks.select("place", "doc_ord", F.col("metadata.chunk_index").alias("chunk_index"), "tokens")
     blocks = narrow.mapInArrow(_invert, _ROWS)
     blocks = blocks.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(folder_of(F.col("term"))).cast("int"))
-    # A frequent term has a block in every window: ranges of windows split it.
-    dealt = blocks.repartitionByRange("part", "term", "window").sortWithinPartitions("part", "term", "window")
+    # A folder goes to as many tasks as its size asks for.
+    dealt = blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "window")
     dealt.write.mode("overwrite").partitionBy("part").parquet(path)
     return read_postings(spark, path)
 

@@ -36,6 +36,12 @@ ENTRIES_PER_PASS = {"tokens": 100_000, "vector": 2_000_000}
 # What a task keeps is queries x K rows.
 CANDIDATES_PER_PASS = 50_000
 
+# BM25 reads postings if they hold at most this share of the corpus' tokens; more are read faster with the chunks.
+POSTINGS_SHARE = 0.25
+
+# What each kind of scorer reads of a chunk.
+SCORED_COLUMNS = {"bm25": "tokens", "hashed": "tokens", "written": "hashed", "vectors": "vector"}
+
 # Candidates are merged in two steps; in the first, a query's are dealt into so many groups.
 MERGE_GROUPS = 64
 
@@ -84,8 +90,13 @@ def query_passes(queries: DataFrame, features: Sequence[str], k: int) -> Iterato
         yield queries.where(in_pass) if passes > 1 else queries
 
 
-def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float, b: float) -> tuple:
-    """What the BM25 scorer of one pass needs: its terms joined with the document frequencies."""
+def index_tokens(index: Index) -> float:
+    n_chunks, avg_len = index.stats.select("n_chunks", "avg_len").first()
+    return n_chunks * avg_len
+
+
+def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float, b: float) -> tuple[tuple, int]:
+    """What the BM25 scorer of one pass needs, its terms joined with the document frequencies; and the number of their postings."""
     terms = tokens.select("query_id", F.inline(tx.term_counts(F.col("tokens"))))
     weighted = weigh(terms, index).toArrow().combine_chunks()
     n_chunks, avg_len = index.stats.select("n_chunks", "avg_len").first()
@@ -98,7 +109,8 @@ def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float
     position = {query_id: number for number, query_id in enumerate(query_ids.to_pylist())}
     query = np.array([position[q] for q in weighted["query_id"].to_pylist()], dtype=np.int64)
     triplets = (term, query, idf * weighted["tf"].to_numpy())
-    return "bm25", encoded.dictionary, shares, triplets, len(query_ids), avg_len, k1, b
+    n_postings = int(round(shares.sum() * max(n_chunks, 1)))
+    return ("bm25", encoded.dictionary, shares, triplets, len(query_ids), avg_len, k1, b), n_postings
 
 
 def _rank(
@@ -108,29 +120,28 @@ def _rank(
     k: int,
     keep: Sequence[str],
     describe,
-    scanned: Sequence[str] | None = None,
     looked_up=None,
 ) -> Iterator[DataFrame]:
     """Each pass's k best rows per ranking and query, written, from one scan of the chunks.
 
-    ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a
-    DataFrame and as an Arrow table; they read the columns ``scanned`` (``features``, unless told). Without any,
-    nothing is scanned. ``looked_up(block, query_ids, payload)`` gives candidates from elsewhere.
-    Without queries there is one empty table.
+    ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a DataFrame and as an
+    Arrow table, and what it looks up elsewhere; ``looked_up(that, query_ids, payload)`` gives these candidates. The scan reads
+    the scorers' columns, and without scorers there is none. Without queries there is one empty table.
     """
     check_top_k(k)
     payload = list(dict.fromkeys([*keep, "doc_ord", "chunk_index"]))
-    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index")).select(*payload, *(features if scanned is None else scanned))
+    flat = chunks.withColumn("chunk_index", F.col("metadata.chunk_index"))
     schema = T.StructType(
         [T.StructField("ranking", T.StringType()), queries.schema["query_id"], T.StructField("score", T.DoubleType())]
-        + [flat.schema[c] for c in payload]
+        + [flat.select(*payload).schema[c] for c in payload]
     )
     none = True
     for block in query_passes(queries, features, k):
         none = False
         held = block.select("query_id", *features).toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
-        described = describe(block, held, query_ids)
+        described, elsewhere = describe(block, held, query_ids)
+        read = list(dict.fromkeys(SCORED_COLUMNS[kind] for kind, *_ in described.values()))
         shared = chunks.sparkSession.sparkContext.broadcast((described, query_ids))
 
         def rank(batches, shared=shared):
@@ -138,9 +149,9 @@ def _rank(
             scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
             yield from kernels.rank_partition(batches, scorers, ids, k, payload)
 
-        candidates = [flat.mapInArrow(rank, schema)] if described else []
-        if looked_up is not None:
-            candidates.append(looked_up(block, query_ids, payload))
+        candidates = [flat.select(*payload, *read).mapInArrow(rank, schema)] if described else []
+        if elsewhere is not None:
+            candidates.append(looked_up(elsewhere, query_ids, payload))
         ranked = materialize(_merge(reduce(DataFrame.unionByName, candidates), k), "ranked")
         shared.destroy()
         yield ranked
@@ -178,37 +189,36 @@ def _rank_index(
     embedding: str = "hashing",
     dimension: int = fv.HASH_DIMENSION,
     family: str = "blake2b",
+    bm25_from: str = "cheaper",
 ) -> Iterator[DataFrame]:
+    if bm25_from not in ("cheaper", "postings", "chunks") or (bm25_from == "postings" and index.postings is None):
+        raise ValueError(f"BM25 cannot be read from {bm25_from!r}")
     if embedding not in ("hashing", "vectors"):
         raise ValueError(f"unknown embedding {embedding!r}")
     own_vectors = "dense" in rankings and embedding == "vectors"
-    by_postings = "bm25" in rankings and index.postings is not None
     written = "dense" in rankings and not own_vectors and index.hashed == (dimension, family)
     features = ["tokens", "vector"] if own_vectors else ["tokens"]
-    # Columns of the chunks that the scorers read: the hashed vectors and the postings save the tokens.
-    scanned = ["vector"] if own_vectors else ["hashed"] if written else []
-    if ("bm25" in rankings and not by_postings) or ("dense" in rankings and not scanned):
-        scanned = ["tokens", *scanned]
-
-    def describe(block: DataFrame, held: pa.Table, query_ids: pa.Array) -> dict:
-        scorers = {}
-        if "bm25" in rankings and not by_postings:
-            scorers["bm25"] = bm25_weights(index, query_ids, block, k1, b)
+
+    def describe(block: DataFrame, held: pa.Table, query_ids: pa.Array) -> tuple[dict, tuple | None]:
+        """Scorers that scan the chunks, and BM25's weights if it reads the postings."""
+        scorers, weights = {}, None
+        if "bm25" in rankings:
+            weights, n_postings = bm25_weights(index, query_ids, block, k1, b)
+            few = index.postings is not None and n_postings <= POSTINGS_SHARE * index_tokens(index)
+            if bm25_from == "chunks" or (bm25_from == "cheaper" and not few):
+                scorers["bm25"], weights = weights, None
         if own_vectors:
             scorers["dense"] = ("vectors", _matrix(held))
         elif "dense" in rankings:
             scorers["dense"] = ("written" if written else "hashed", kernels.one_array(held["tokens"]), dimension, family)
-        return scorers
+        return scorers, weights
 
-    def looked_up(block: DataFrame, query_ids: pa.Array, payload: Sequence[str]) -> DataFrame:
-        weights = bm25_weights(index, query_ids, block, k1, b)
+    def looked_up(weights: tuple, query_ids: pa.Array, payload: Sequence[str]) -> DataFrame:
         id_type = queries.schema["query_id"].dataType.simpleString()
         found = postings.best_chunks(index.postings, weights, query_ids, id_type, k)
         return postings.with_chunks(found, index.chunks, payload)
 
-    return _rank(
-        index.chunks, queries, features, k, keep, describe, scanned=scanned, looked_up=looked_up if by_postings else None
-    )
+    return _rank(index.chunks, queries, features, k, keep, describe, looked_up)
 
 
 def block_use(
@@ -218,7 +228,7 @@ def block_use(
     tables = []
     for block in query_passes(queries, ["tokens"], k):
         query_ids = kernels.one_array(block.select("query_id").toArrow().combine_chunks()["query_id"])
-        weights = bm25_weights(index, query_ids, block, k1, b)
+        weights, _ = bm25_weights(index, query_ids, block, k1, b)
         tables.append(materialize(postings.best_chunks(index.postings, weights, query_ids, "", k, report=True), "blocks"))
     columns = ("windows", "taken", "blocks", "decoded")
     if not tables:
@@ -233,15 +243,16 @@ def rank_chunks(
 
     Dense keeps zero scores (a query without tokens gets the first k chunks of the corpus);
     BM25 drops them. Ties go to corpus order. With ``embedding="vectors"``, dense compares the
-    ``vector`` columns of chunks and queries, see :func:`embed`. Other options are ``k1``, ``b``,
-    ``dimension`` and ``family``.
+    ``vector`` columns of chunks and queries, see :func:`embed`. Of a written index, dense reads the hashed
+    vectors; ``bm25_from`` says whether BM25 reads ``"postings"`` or ``"chunks"``: the ``"cheaper"`` are the postings
+    of a pass's terms while they are a small part of all. Other options are ``k1``, ``b``, ``dimension`` and ``family``.
     """
     return reduce(DataFrame.unionByName, _rank_index(index, queries, rankings, k, keep, **options))
 
 
 def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = NARROW_COLUMNS) -> DataFrame:
     """Exact cosine top-k where only vectors are at hand: both tables carry ``vector ARRAY<FLOAT|DOUBLE>``."""
-    passes = _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: {"dense": ("vectors", _matrix(held))})
+    passes = _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: ({"dense": ("vectors", _matrix(held))}, None))
     return reduce(DataFrame.unionByName, passes)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,20 +50,16 @@ HASHED = "struct<bucket: array<int>, count: array<int>, norm: double>"
 
 def with_hashed(token_chunks: DataFrame, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b") -> DataFrame:
     """Add ``hashed``: the buckets of a chunk's tokens that are not empty, their signed counts, and the length of the vector."""
-    place = token_chunks.columns.index("tokens")
 
-    def embed(batches):
+    @F.arrow_udf(HASHED)
+    def embed(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = kernels.TermHasher(dimension, family)
         step = max(1, kernels.BLOCK_CELLS // dimension)
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, kernels.sparse(hasher.matrix(part.column(place)))], names=[*part.schema.names, "hashed"]
-                )
+        for tokens in lists:
+            parts = [kernels.sparse(hasher.matrix(tokens.slice(start, step))) for start in range(0, len(tokens), step)]
+            yield pa.concat_arrays(parts or [kernels.sparse(np.zeros((0, dimension)))])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in token_chunks.schema)
-    return token_chunks.mapInArrow(embed, f"{kinds}, hashed {HASHED}")
+    return token_chunks.withColumn("hashed", embed("tokens"))
 
 
 def dot(left: Column, right: Column) -> Column:

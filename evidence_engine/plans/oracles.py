@@ -403,6 +403,7 @@ ORACLES = {
     "category_counts": query(DOCS, CASES, select="SELECT category, count(*) AS case_count FROM cases GROUP BY ALL"),
     "dataset_summary": query(DOCS, chunks(), CASES, SUMMARY, select="SELECT * FROM summary"),
     "hash_embed": _embedded(blake2b_ctes(all_terms("")), hashed(fv.HASH_DIMENSION, BLAKE2B)),
+    "hash_embed_written": _embedded(blake2b_ctes(all_terms("")), hashed(fv.HASH_DIMENSION, BLAKE2B)),
     "hash_embed_md5": _embedded(hashed(fv.HASH_DIMENSION, MD5)),
     "cosine": query(CENTROIDS, select="SELECT vec_id, label, round(score, 6) AS score FROM cosines WHERE query_id = label"),
     "dense_topk": _search(("dense",)),
@@ -419,6 +420,7 @@ ORACLES = {
                      coalesce(1 / log2(1 + min(rank) FILTER (source = 'label-' || query_id)), 0) AS gain
               FROM vector_hits GROUP BY ALL) GROUP BY ALL"""),
     "bm25_topk": _search(("bm25",)),
+    "bm25_postings": _search(("bm25",)),
     "bm25_score": query(DOCS, QUESTIONS, retrieval(("dense",), (fv.TOP_K,)), bm25(), select="""
         SELECT query_id, chunk_id, round(coalesce(b.score, 0), 6) AS score
         FROM (SELECT query_id, chunk_id FROM hits) LEFT JOIN bm25_scores b USING (query_id, chunk_id)"""),

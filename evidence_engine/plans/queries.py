@@ -321,6 +321,21 @@ def bm25_topk(spark, sf_dir):
     return shown(found(spark, sf_dir, ("bm25",), **NARROW))
 
 
+def bm25_postings(spark, sf_dir):
+    """The same ranking from the written postings, without a look at the chunks' tokens."""
+    return shown(found(spark, sf_dir, ("bm25",), bm25_from="postings", **NARROW))
+
+
+def hash_embed_written(spark, sf_dir):
+    """The vectors that the written index holds."""
+    chunks = given.corpus_index(spark, sf_dir).chunks
+    entries = F.arrays_zip("hashed.bucket", "hashed.count")
+    rows = chunks.select("chunk_id", F.col("hashed.norm").alias("norm"), F.explode(entries).alias("e"))
+    return rows.select(
+        "chunk_id", "e.bucket", F.col("e.count").cast("long").alias("count"), F.round(F.col("e.count") / F.col("norm"), 6).alias("value")
+    )
+
+
 def bm25_score(spark, sf_dir):
     """BM25 scores of what the dense ranking found."""
     pairs = found(spark, sf_dir, ("dense",), keep=("chunk_id",))
@@ -616,6 +631,7 @@ QUERIES = {
         dataset_summary,
         hash_embed,
         hash_embed_md5,
+        hash_embed_written,
         cosine,
         dense_topk,
         dense_topk_md5,
@@ -623,6 +639,7 @@ QUERIES = {
         dense_topk_external,
         external_metrics,
         bm25_topk,
+        bm25_postings,
         bm25_score,
         rrf_fuse,
         rrf_fuse_weighted,
