@@ -1,8 +1,9 @@
 """Removal of repeated blocks of lines, cut where the content says so.
 
 A text is cut after a line if a rolling hash over it and the line before meets a condition, so the same
-lines are cut alike wherever they stand, and an insertion moves no cut but those next to it. Chunks of
-several lines that occur more than once are found by hash; each occurrence but the first, by document
+lines are cut alike wherever they stand, and an insertion moves no cut but those next to it. A line as long
+as a passage, often a paragraph of its own, is a chunk whatever stands around it. Chunks of several lines, or of
+such a line, that occur more than once are found by hash; each occurrence but the first, by document
 id and place, is compared with the first byte by byte and goes if they are equal.
 """
 
@@ -22,28 +23,37 @@ SHORTEST = 2
 LONGEST = 16
 #: Lines whose hash decides on a cut.
 ROLLING = 2
+#: Words of a line that is cut off on both sides.
+PASSAGE = 40
 
 FIRST = "k1 long, k2 long, chunk binary"
 
 
+def is_passage(line: bytes) -> bool:
+    return len(line) >= 2 * PASSAGE - 1 and len(line.split(None, PASSAGE - 1)) == PASSAGE
+
+
 def chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
     """First line, number of lines and bytes of each chunk."""
     lines = text.split(b"\n")
     digest = xxhash.xxh3_64_intdigest
+    long = [i for i, line in enumerate(lines) if is_passage(line)]
+    cut_behind = {*long, *(i - 1 for i in long)}
     hashes = [digest(line) for line in lines]
     rolled, first = 0, 0
     for i, value in enumerate(hashes):
         # Shifting by half the word each line leaves two lines in the hash.
         rolled = ((rolled << 64 // ROLLING) ^ (value & ((1 << 64 // ROLLING) - 1))) & (2**64 - 1)
         size = i + 1 - first
-        if i + 1 == len(lines) or size == LONGEST or size >= SHORTEST and (rolled * 0x9E3779B97F4A7C15 >> 40 & 0xFFFF) % EVERY == 0:
+        if i + 1 == len(lines) or size == LONGEST or i in cut_behind or size >= SHORTEST and (rolled * 0x9E3779B97F4A7C15 >> 40 & 0xFFFF) % EVERY == 0:
             yield first, size, b"\n".join(lines[first : i + 1])
             first = i + 1
 
 
-def several_lines(chunk: bytes) -> bool:
-    """Whether two lines at least have words."""
-    return sum(1 for line in chunk.split(b"\n") if line and not line.isspace()) > 1
+def compared(chunk: bytes) -> bool:
+    """Whether two lines at least have words, or one is as long as a passage."""
+    lines = [line for line in chunk.split(b"\n") if line and not line.isspace()]
+    return len(lines) > 1 or len(lines) == 1 and is_passage(lines[0])
 
 
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +61,7 @@ def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
             for first, _, chunk in chunks(text):
-                if several_lines(chunk):
+                if compared(chunk):
                     key = xxhash.xxh3_128_digest(chunk)
                     rows.append((int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True), doc, h, first))
         columns = list(zip(*rows)) or [()] * 5
@@ -108,7 +118,7 @@ def remove_repeated_chunks(docs: DataFrame, added: tuple[str, str, str] = ADDED)
 
     New columns, whose names can be given: ``__lines`` of the input, ``__removed`` lines, ``__chunks`` (first line and number of
     lines of each removed chunk). Of equal chunks the one in the document with the smallest id, and there
-    the first, stays. Only chunks with two lines or more that have words are compared. Rows with one id
+    the first, stays. Only chunks with two lines or more that have words, or a line of ``PASSAGE`` words, are compared. Rows with one id
     and one text are one document: they lose the same chunks. A missing text has no lines and stays
     missing, an empty one stays empty; a missing id counts as the smallest; an empty table gives an
     empty table.

@@ -93,31 +93,27 @@ def unigram(rows):
     return out
 
 
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 8, 9))
 
 
 def overlaps(rows, items, window=13, percent=80):
+    """All alignments of all items with all documents: no seeds."""
+
     def tokens(t):
         return regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
 
-    def seeds(w):
-        return ((m, *(w[a + x] for x in o), a) for m, o in enumerate(MASKS) for a in range(len(w) - o[-1]))
-
-    known, sought = defaultdict(list), {}
-    for i, t in items:
-        sought[i] = tokens(t)
-        for *key, a in seeds(sought[i]):
-            known[tuple(key)].append((i, a))
     out = {}
+    sought = [(i, tokens(t)) for i, t in items]
     for d, t in rows:
         w = tokens(t)
-        for item, shift in {(i, a - b) for *key, a in seeds(w) for i, b in known.get(tuple(key), ())}:
-            g = sought[item]
-            first, skip = max(shift, 0), max(-shift, 0)
-            n, size = min(len(g) - skip, len(w) - first), min(window, len(g))
-            equal = [w[first + k] == g[skip + k] for k in range(n)]
-            if n >= size and max(sum(equal[k : k + size]) for k in range(n - size + 1)) * 100 >= size * percent:
-                out[d, item] = max(out.get((d, item), (-1, 0, 0)), (sum(equal), -shift, n))
+        for item, g in sought:
+            size = min(window, len(g))
+            for shift in range(size - len(g), len(w) - size + 1) if g else ():
+                first, skip = max(shift, 0), max(-shift, 0)
+                n = min(len(g) - skip, len(w) - first)
+                equal = [w[first + k] == g[skip + k] for k in range(n)]
+                if sum(equal) * 100 >= size * percent:
+                    if max(sum(equal[k : k + size]) for k in range(n - size + 1)) * 100 >= size * percent:
+                        out[d, item] = max(out.get((d, item), (-1, 0, 0)), (sum(equal), -shift, n))
     return sorted((d, i, -back, equal, n) for (d, i), (equal, back, n) in out.items())
 
 

@@ -1,5 +1,6 @@
 """Every operator against its plain version, with odd rows, and on empty tables."""
 
+import itertools
 import random
 import zlib
 
@@ -234,7 +235,7 @@ def plain_chunks(rows):
     for i, t in sorted(rows, key=lambda r: r[0]):
         kept, gone = [], 0
         for _, size, chunk in line_chunks.chunks((t or "").encode()):
-            if line_chunks.several_lines(chunk) and chunk in seen:
+            if line_chunks.compared(chunk) and chunk in seen:
                 gone += size
             else:
                 kept.append(chunk)
@@ -254,6 +255,20 @@ def test_line_chunks(docs, rows, odd, empty):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, (gone, t) in found.items() if not gone or t}
 
 
+def test_every_repeated_long_line_goes(spark):
+    """Long lines in texts whose other lines differ, without a look at the cuts."""
+    r = random.Random(8)
+    passages = [" ".join(f"w{r.randrange(10_000)}" for _ in range(r.randint(40, 90))) for _ in range(30)]
+    texts = []
+    for i in range(200):
+        lines = [" ".join(f"own{r.randrange(10**6)}" for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 6))]
+        lines.insert(r.randint(0, len(lines)), passages[i % 30])
+        texts.append((i, "\n".join(lines)))
+    left = line_chunks.remove_repeated_chunks(spark.createDataFrame(texts, "doc_id long, text string"))
+    want = {i: "\n".join(x for x in t.split("\n") if i < 30 or x not in passages) for i, t in texts}
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == want
+
+
 def test_chunks_do_not_shift():
     """Lines before a passage change no cut but those in its first part."""
     r = random.Random(9)
@@ -308,7 +323,11 @@ def test_overlaps(spark, docs, rows, odd, empty):
             changed[j] = "substituted"
         items.append((100 + i, " ".join(changed).replace("a", "A").replace("é", "É")))
         items.append((200 + i, " ".join(r.sample(w, len(w))[:30])))
-    items += [(300, "too short here"), (301, None), (302, "")]
+    items += [(300, "too short here"), (301, None), (302, ""), (303, "two words"), (304, "one")]
+    w = rows[2][1].split()
+    for n in (1, 2, 4, 5, 7, 8, 9, 10, 12, 13):
+        items.append((400 + n, " ".join(w[5 : 5 + n])))
+        items += [(500 + 20 * n + j, " ".join(w[5 : 5 + j] + ["other"] + w[6 + j : 5 + n])) for j in range(n) if n > 4]
     benchmark = spark.createDataFrame([(*i, 1, 2) for i in items], "item_id long, text string, h int, tokens int")
     found = ordered(decontamination.find_overlaps(docs, benchmark).drop("h").collect())
     assert found == ordered(plain.overlaps(pairs(rows), items))
@@ -317,10 +336,21 @@ def test_overlaps(spark, docs, rows, odd, empty):
     assert decontamination.find_overlaps(docs, benchmark.where("false")).count() == 0
     clean = decontamination.keep_clean(odd[0], benchmark)
     assert clean.columns == odd[0].columns
-    bad = {d for d, *_ in plain.overlaps([(str(r), r[1]) for r in odd[1]], items)}
+    passages = [(i, t) for i, t in items if len((t or "").split()) >= 5]
+    bad = {d for d, *_ in plain.overlaps([(str(r), r[1]) for r in odd[1]], passages)}
     assert clean.count() == sum(str(r) not in bad for r in odd[1])
 
 
+@pytest.mark.parametrize("n", range(1, 16))
+def test_no_pattern_within_the_tolerance_is_missed(n):
+    masks = [f for least, f in decontamination.FAMILIES if least <= n][-1]
+    size = min(n, decontamination.WINDOW)
+    spans = [{a + o for o in mask} for mask in masks for a in range(size - mask[-1])]
+    allowed = size - -(-size * decontamination.PERCENT // 100)
+    for changed in itertools.combinations(range(size), allowed):
+        assert any(not span & set(changed) for span in spans), changed
+
+
 def test_seeds_of_long_texts(spark, monkeypatch):
     """Pieces of a text give the seeds of the whole."""
     df = spark.range(1).select(F.lit(1).alias("id"), F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.xxhash64(i)).alias("tokens"))

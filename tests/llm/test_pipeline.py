@@ -42,7 +42,7 @@ def test_line_dedup(stages):
     for i, t in sorted(before.items()):
         kept = []
         for _, _, chunk in line_chunks.chunks(t.encode()):
-            if not (line_chunks.several_lines(chunk) and chunk in seen):
+            if not (line_chunks.compared(chunk) and chunk in seen):
                 kept.append(chunk)
             seen.add(chunk)
         if kept or not t:
