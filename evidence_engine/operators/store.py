@@ -7,18 +7,22 @@ Everything is plain Parquet that Spark appends to:
 * ``removed/version=N``  ids of documents whose chunks from earlier changes are void since N,
 * ``terms/version=N``    by how much change N raises or lowers document frequencies,
 * ``sizes/version=N``    the same for the numbers of chunks and tokens,
-* ``commits``            one row per finished change, written last.
+* ``commits``            one file per finished change, created last.
 
 A change costs what it brings along, not a rewrite of the table or of the index statistics;
-readers see only committed versions and may pin one. There is one writer at a time. Every change
-writes its part of all tables, empty or not, so nothing is left of one that failed before its
-commit. ``compact`` folds the history.
+readers see only committed versions and may pin one. Every attempt at a change writes its part of all
+tables into folders of its own, which its commit names; what failed or lost is never read. Of several writers
+that start from one version one creates the next version's commit; the others start over from there,
+so what they make void includes what the winner wrote. ``compact`` folds the history.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from functools import reduce
-from typing import NamedTuple
+from typing import NamedTuple, TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,9 +31,17 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import is_blank
 from evidence_engine.operators.chunking import chunk_documents, identify_documents, unique_documents
 from evidence_engine.operators.index import Index, document_frequency, with_tokens
+from evidence_engine.sources.exclusive import publish
+
+#: So many voided ids are sent to the chunks; more are joined with them.
+BROADCAST_IDS = 250_000
+#: How often a change starts over because another writer was first.
+TRIES = 10
+
+Result = TypeVar("Result")
 
 _SCHEMAS = {
-    "commits": "version bigint, base bigint, change string",
+    "commits": "version bigint, base bigint, change string, attempt string, n_removed bigint",
     "chunks": (
         "chunk_id string, document_id string, source string, text string, start_char int, end_char int, "
         "metadata struct<chunk_index:int>, doc_ord string, tokens array<string>, n_tokens bigint, version bigint"
@@ -42,8 +54,20 @@ _SCHEMAS = {
 
 
 class Head(NamedTuple):
+    """A version, the compacted one that it builds on, its changes since, and how many ids these made void."""
+
     version: int
     base: int
+    changes: tuple[tuple[int, str], ...] = ()
+    n_removed: int = 0
+
+
+class ChangedMeanwhile(RuntimeError):
+    """Another writer has committed the version that this change was to become."""
+
+
+def new_attempt() -> str:
+    return f"a{uuid.uuid4().hex}"
 
 
 class ChunkStore:
@@ -74,28 +98,42 @@ class ChunkStore:
         return Index(self._live("chunks", head).drop("version"), doc_freq, sizes.select("n_chunks", average.alias("avg_len")))
 
     def _head(self, version: int | None = None) -> Head:
-        commits = self._read("commits")
-        if version is not None:
-            commits = commits.where(F.col("version") <= version)
-        head = commits.orderBy(F.desc("version")).select("version", "base").first()
-        return Head(head["version"], head["base"]) if head else Head(0, 0)
-
-    def _read(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema(_SCHEMAS[table]).parquet(f"{self.path}/{table}")
+            commits = self.spark.read.schema(_SCHEMAS["commits"]).json(f"{self.path}/commits")
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], _SCHEMAS[table])
+            return Head(0, 0)
+        if version is not None:
+            commits = commits.where(F.col("version") <= version)
+        last = commits.agg(F.max(F.struct("version", "base")).alias("last")).first()["last"]
+        if last is None:
+            return Head(0, 0)
+        # One short row a change, which compaction starts anew.
+        rows = commits.where(F.col("version").between(last["base"], last["version"])).orderBy("version").collect()
+        changes = tuple((row["version"], row["attempt"]) for row in rows)
+        return Head(last["version"], last["base"], changes, sum(row["n_removed"] for row in rows))
+
+    def _folder(self, table: str, version: int, attempt: str) -> str:
+        return f"{self.path}/{table}/version={version}/attempt={attempt}"
 
     def _history(self, table: str, head: Head) -> DataFrame:
-        """Rows of the changes from the base to the head: whole partitions."""
-        return self._read(table).where((F.col("version") >= head.base) & (F.col("version") <= head.version))
+        """Rows of the changes from the base to the head: their folders, and no others, are read."""
+        if not head.changes:
+            return self.spark.createDataFrame([], _SCHEMAS[table])
+        reader = self.spark.read.schema(_SCHEMAS[table]).option("basePath", f"{self.path}/{table}")
+        return reader.parquet(*(self._folder(table, *change) for change in head.changes)).drop("attempt")
 
     def _live(self, table: str, head: Head) -> DataFrame:
-        """Rows of chunks or documents that no later change has made void."""
+        """Rows of chunks or documents that no later change has made void; shuffled only where very many ids are."""
         rows = self._history(table, head)
-        since = self._history("removed", head).groupBy("document_id").agg(F.max("version").alias("void_before"))
+        if not head.n_removed:
+            return rows
+        since = self._history("removed", head).withColumnRenamed("version", "void_before")
+        if head.n_removed <= BROADCAST_IDS:
+            since = F.broadcast(since)
+        else:
+            since = since.groupBy("document_id").agg(F.max("void_before").alias("void_before"))
         void = (rows["document_id"] == since["document_id"]) & (rows["version"] < since["void_before"])
         return rows.join(since, void, "left_anti")
 
@@ -109,40 +147,51 @@ class ChunkStore:
 
     # Changing
 
-    def _write(self, rows: DataFrame | None, table: str, version: int) -> DataFrame:
-        schema = self._read(table).drop("version").schema
-        path = f"{self.path}/{table}/version={version}"
+    def _started_over(self, change: Callable[[Head], Result]) -> Result:
+        """Apply a change to the head, and to the next one if another writer was faster."""
+        for left in reversed(range(TRIES)):
+            try:
+                return change(self._head())
+            except ChangedMeanwhile:
+                if not left:
+                    raise
+
+    def _write(self, rows: DataFrame | None, table: str, version: int, attempt: str) -> DataFrame:
+        schema = self._history(table, Head(0, 0)).drop("version").schema
+        path = self._folder(table, version, attempt)
         rows = self.spark.createDataFrame([], schema).coalesce(1) if rows is None else rows.select(*schema.names)
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _commit(self, version: int, base: int, change: str) -> None:
-        row = self.spark.createDataFrame([(version, base, change)], _SCHEMAS["commits"]).coalesce(1)
-        row.write.mode("append").parquet(f"{self.path}/commits")
+    def _commit(self, version: int, base: int, change: str, attempt: str, n_removed: int = 0) -> None:
+        row = {"version": version, "base": base, "change": change, "attempt": attempt, "n_removed": n_removed}
+        if not publish(self.spark, f"{self.path}/commits", f"{version:019}.json", json.dumps(row) + "\n"):
+            raise ChangedMeanwhile(f"version {version} of {self.path} was committed by another writer")
 
     def _change(self, head: Head, change: str, chunks: DataFrame | None, ids: DataFrame | None = None) -> bool:
         """Write new chunks, void what is held of their documents (or of ``ids``), and commit.
 
         Without new chunks and with nothing to void, nothing is committed: False.
         """
-        version = head.version + 1
-        added = self._write(chunks, "chunks", version)
+        to = head.version + 1, new_attempt()
+        added = self._write(chunks, "chunks", *to)
         counts = added.groupBy("document_id", "source").agg(F.count(F.lit(1)).alias("chunk_count"))
-        documents = self._write(counts, "documents", version)
+        documents = self._write(counts, "documents", *to)
         touched = (documents if ids is None else ids).select("document_id")
         held = self._live("documents", head).join(touched, "document_id", "left_semi")
-        removed = self._write(held.select("document_id").distinct(), "removed", version)
-        voided = None if removed.isEmpty() else self._chunks_of(removed, head)
+        removed = self._write(held.select("document_id").distinct(), "removed", *to)
+        n_removed = removed.count()
+        voided = self._chunks_of(removed, head) if n_removed else None
         if chunks is None and voided is None:
             return False
         parts = [(rows, sign) for rows, sign in ((added, 1), (voided, -1)) if rows is not None]
         terms = [document_frequency(rows).withColumn("df", F.col("df") * sign) for rows, sign in parts]
         total = reduce(DataFrame.unionByName, terms).groupBy("term").agg(F.sum("df").alias("df"))
-        self._write(total.where("df <> 0"), "terms", version)
+        self._write(total.where("df <> 0"), "terms", *to)
         sizes = [rows.select((F.col("n_tokens") * sign).alias("n_tokens"), F.lit(sign).alias("n")) for rows, sign in parts]
         total = reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("n_chunks"), F.sum("n_tokens").alias("n_tokens"))
-        self._write(total.na.fill(0), "sizes", version)
-        self._commit(version, head.base, change)
+        self._write(total.na.fill(0), "sizes", *to)
+        self._commit(to[0], head.base, change, to[1], n_removed)
         return True
 
     def replace_documents(self, chunks: DataFrame) -> int:
@@ -150,11 +199,14 @@ class ChunkStore:
 
         Replaced documents move to the end. Returns the new version.
         """
-        head = self._head()
-        number = F.lpad(F.lit(head.version + 1).cast("string"), 19, "0")
-        later = F.concat(number, F.lit("\0"), F.col("doc_ord"))
-        self._change(head, "replace", with_tokens(chunks.withColumn("doc_ord", later)))
-        return head.version + 1
+
+        def change(head: Head) -> int:
+            number = F.lpad(F.lit(head.version + 1).cast("string"), 19, "0")
+            later = F.concat(number, F.lit("\0"), F.col("doc_ord"))
+            self._change(head, "replace", with_tokens(chunks.withColumn("doc_ord", later)))
+            return head.version + 1
+
+        return self._started_over(change)
 
     def ingest(
         self, raw: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP, strict: bool = False
@@ -168,21 +220,26 @@ class ChunkStore:
             raise ValueError("a document is blank")
         documents = unique_documents(identify_documents(raw))
         version = self.replace_documents(chunk_documents(documents, size, overlap))
-        return self._read("documents").where(F.col("version") == version).drop("version")
+        return self._history("documents", self._head(version)).where(F.col("version") == version).drop("version")
 
     def delete_documents(self, ids: DataFrame) -> bool:
         """Remove documents; False, and nothing committed, if the store holds none of them."""
-        return self._change(self._head(), "delete", None, ids)
+        return self._started_over(lambda head: self._change(head, "delete", None, ids))
 
     def compact(self) -> int:
         """Write the live chunks and their statistics as a new base; reads skip what lies before."""
-        head, index = self._head(), self.index()
-        version = head.version + 1
-        self._write(index.chunks, "chunks", version)
-        self._write(self._live("documents", head), "documents", version)
-        self._write(None, "removed", version)
-        terms = index.doc_freq.groupBy("term").agg(F.sum("df").alias("df"))
-        self._write(terms.where("df <> 0"), "terms", version)
-        self._write(self._sizes(head), "sizes", version)
-        self._commit(version, version, "compact")
+        return self._started_over(self._compacted)
+
+    def _compacted(self, head: Head) -> int:
+        version, attempt = head.version + 1, new_attempt()
+        parts = {
+            "chunks": self._live("chunks", head),
+            "documents": self._live("documents", head),
+            "removed": None,
+            "terms": self._history("terms", head).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"),
+            "sizes": self._sizes(head),
+        }
+        for table, rows in parts.items():
+            self._write(rows, table, version, attempt)
+        self._commit(version, version, "compact", attempt)
         return version

@@ -1,9 +1,12 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from evidence_engine.operators import chunking, index, retrieval
+from evidence_engine.operators import chunking, index, retrieval, store as stores
 from evidence_engine.operators.answers import answer_queries
 from evidence_engine.operators.store import ChunkStore
+from evidence_engine.sources.exclusive import publish
 from evidence_engine.streaming import ingest as streams
 
 TEXTS = {"a.md": "报销材料在十个工作日内提交。", "b.md": "P0 事件 must be reported in 15 minutes.", "c.md": "the cat sat " * 60}
@@ -19,6 +22,10 @@ def listing(store):
     return counted
 
 
+def listing_at(store, version):
+    return sorted(r["source"] for r in store.list_documents(version).collect())
+
+
 def same_index(store):
     """Statistics summed up from changes equal those of an index built anew."""
     kept, fresh = store.index(), index.build_index(store.load())
@@ -133,7 +140,59 @@ def test_an_unfinished_change_is_invisible(spark, folder, monkeypatch):
     same_index(store)
 
 
-def test_many_ids_are_joined(spark, folder):
+def test_one_of_two_writers_wins_and_the_other_starts_over(spark, folder, monkeypatch):
+    store, other = ChunkStore(spark, folder), ChunkStore(spark, folder)
+    store.ingest(raw(spark, TEXTS))
+    commit, late = ChunkStore._commit, [True]
+
+    def overtaken(self, *args):
+        if self is store and late:
+            late.clear()
+            other.ingest(raw(spark, {"x.md": "from the other writer", "b.md": TEXTS["b.md"]}))
+        return commit(self, *args)
+
+    monkeypatch.setattr(ChunkStore, "_commit", overtaken)
+    store.ingest(raw(spark, {"x.md": "from the other writer", "y.md": "mine"}))
+    assert store.version() == 3
+    assert listing(store) == [("a.md", 1), ("b.md", 1), ("c.md", 2), ("x.md", 1), ("y.md", 1)]
+    same_index(store)
+    assert listing_at(store, 2) == ["a.md", "b.md", "c.md", "x.md"]
+
+    late.append(True)
+    assert store.delete_documents(store.load().where("source in ('b.md', 'x.md')").select("document_id")) is True
+    assert store.version() == 5
+    assert listing(store) == [("a.md", 1), ("c.md", 2), ("y.md", 1)]
+    same_index(store)
+
+
+def test_a_writer_that_always_loses_gives_up(spark, folder, monkeypatch):
+    store = ChunkStore(spark, folder)
+    store.ingest(raw(spark, TEXTS))
+    monkeypatch.setattr(stores, "TRIES", 2)
+    monkeypatch.setattr(stores, "publish", lambda *_: False)
+    with pytest.raises(stores.ChangedMeanwhile):
+        store.compact()
+    assert store.version() == 1
+
+
+def test_two_threads_create_one_file(spark, folder):
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: publish(spark, folder, "one", f"{n}\n"), range(8)))
+    assert sum(won) == 1
+    assert spark.read.text(f"{folder}/one").first()[0] == str(won.index(True))
+
+
+def test_a_changed_version_is_read_without_a_shuffle(spark, folder, capsys):
+    store = ChunkStore(spark, folder)
+    store.ingest(raw(spark, TEXTS))
+    store.delete_documents(store.load().where("source = 'a.md'").select("document_id"))
+    store.load().explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_many_ids_are_joined(spark, folder, monkeypatch):
+    monkeypatch.setattr(stores, "BROADCAST_IDS", 0)
     store = ChunkStore(spark, folder)
     store.ingest(raw(spark, TEXTS))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
