@@ -44,7 +44,7 @@ class WordIds:
 
         model = json.loads(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.marks = [t["content"].lower() for t in model.get("added_tokens", ())]
+        self.marks = [t["content"].lower().encode() for t in model.get("added_tokens", ())]
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -69,10 +69,13 @@ class WordIds:
         for at in range(0, len(letters), 200):
             group = letters[at : at + 200]
             ids = self._ids(" ".join(text for _, text in group))
-            parts = np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]
-            if len(parts) != len(group):  # a tokenizer without such tokens
-                parts = [self._ids(text) for _, text in group]
-            self.stems.update((stem, part.tobytes()) for (stem, _), part in zip(group, parts))
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+            else:  # a tokenizer without such tokens
+                parts = [self._ids(text).tobytes() for _, text in group]
+            self.stems.update((stem, part) for (stem, _), part in zip(group, parts))
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(PUNCTUATION)
@@ -94,9 +97,11 @@ class WordIds:
             self.words = {}
         if len(self.stems) > REMEMBERED:
             self.stems, self.older = {}, self.stems
-        new = {w: self._parts(w) for words in split for w in words if w not in self.words}
-        special = [w for w in new if any(mark in w.lower().decode() for mark in self.marks)] if self.marks else []
-        for word in special:
+        unknown = itertools.filterfalse(self.words.__contains__, itertools.chain.from_iterable(split))
+        new = {w: self._parts(w) for w in dict.fromkeys(unknown)}
+        all_new = b" ".join(new).lower()
+        marks = [mark for mark in self.marks if mark in all_new]
+        for word in [w for w in new if any(mark in w.lower() for mark in marks)] if marks else ():
             self.words[word] = self._ids(word.decode()).tobytes()
             del new[word]
         self._learn([s for s in dict.fromkeys(s for parts in new.values() for s in parts) if not self._known_stem(s)])
