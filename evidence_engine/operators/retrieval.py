@@ -4,8 +4,8 @@ Dense and BM25 rankings come out of a single scan of the chunk table: every task
 own best rows per query (see :mod:`evidence_engine.operators.kernels`), and one window per query
 merges them. Only ``tasks x queries x k`` candidate rows are shuffled, never scores of pairs, and
 they carry no texts: those are joined to the final hits.
-Queries are taken in passes of bounded size, one after another: a pass writes its ranks and gives
-its broadcast back before the next one starts.
+Queries are taken in passes of bounded size, one after another: a pass adds its ranks to one written
+table and gives its broadcast back before the next one starts, so the plan of what follows does not grow with them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators import kernels, postings
 from evidence_engine.operators.index import Index, weigh
-from evidence_engine.sources.scratch import materialize
+from evidence_engine.sources.scratch import append, materialize, scratch_path
 
 cloudpickle.register_pickle_by_value(kernels)
 cloudpickle.register_pickle_by_value(postings)
@@ -121,8 +121,8 @@ def _rank(
     keep: Sequence[str],
     describe,
     looked_up=None,
-) -> Iterator[DataFrame]:
-    """Each pass's k best rows per ranking and query, written, from one scan of the chunks.
+) -> tuple[DataFrame, int]:
+    """The k best rows per ranking and query, one written table, from one scan of the chunks for each pass; and the number of passes.
 
     ``describe(block, held, query_ids)`` says which scorers a pass needs, given its queries as a DataFrame and as an
     Arrow table, and what it looks up elsewhere; ``looked_up(that, query_ids, payload)`` gives these candidates. The scan reads
@@ -135,14 +135,14 @@ def _rank(
         [T.StructField("ranking", T.StringType()), queries.schema["query_id"], T.StructField("score", T.DoubleType())]
         + [flat.select(*payload).schema[c] for c in payload]
     )
-    none = True
+    spark, path, passes = chunks.sparkSession, scratch_path(chunks.sparkSession, "ranked"), 0
     for block in query_passes(queries, features, k):
-        none = False
+        passes += 1
         held = block.select("query_id", *features).toArrow().combine_chunks()
         query_ids = kernels.one_array(held["query_id"])
         described, elsewhere = describe(block, held, query_ids)
         read = list(dict.fromkeys(SCORED_COLUMNS[kind] for kind, *_ in described.values()))
-        shared = chunks.sparkSession.sparkContext.broadcast((described, query_ids))
+        shared = spark.sparkContext.broadcast((described, query_ids))
 
         def rank(batches, shared=shared):
             described, ids = shared.value
@@ -152,11 +152,10 @@ def _rank(
         candidates = [flat.select(*payload, *read).mapInArrow(rank, schema)] if described else []
         if elsewhere is not None:
             candidates.append(looked_up(elsewhere, query_ids, payload))
-        ranked = materialize(_merge(reduce(DataFrame.unionByName, candidates), k), "ranked")
+        append(_merge(reduce(DataFrame.unionByName, candidates), k), path)
         shared.destroy()
-        yield ranked
-    if none:
-        yield chunks.sparkSession.createDataFrame([], T.StructType([*schema, T.StructField("rank", T.IntegerType())]))
+    schema = T.StructType([*schema, T.StructField("rank", T.IntegerType())])
+    return spark.read.schema(schema).parquet(path) if passes else spark.createDataFrame([], schema), passes
 
 
 def _merge(candidates: DataFrame, k: int) -> DataFrame:
@@ -190,7 +189,7 @@ def _rank_index(
     dimension: int = fv.HASH_DIMENSION,
     family: str = "blake2b",
     bm25_from: str = "cheaper",
-) -> Iterator[DataFrame]:
+) -> tuple[DataFrame, int]:
     if bm25_from not in ("cheaper", "postings", "chunks") or (bm25_from == "postings" and index.postings is None):
         raise ValueError(f"BM25 cannot be read from {bm25_from!r}")
     if embedding not in ("hashing", "vectors"):
@@ -247,13 +246,12 @@ def rank_chunks(
     vectors; ``bm25_from`` says whether BM25 reads ``"postings"`` or ``"chunks"``: the ``"cheaper"`` are the postings
     of a pass's terms while they are a small part of all. Other options are ``k1``, ``b``, ``dimension`` and ``family``.
     """
-    return reduce(DataFrame.unionByName, _rank_index(index, queries, rankings, k, keep, **options))
+    return _rank_index(index, queries, rankings, k, keep, **options)[0]
 
 
 def rank_vectors(chunks: DataFrame, queries: DataFrame, k: int, keep: Sequence[str] = NARROW_COLUMNS) -> DataFrame:
     """Exact cosine top-k where only vectors are at hand: both tables carry ``vector ARRAY<FLOAT|DOUBLE>``."""
-    passes = _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: ({"dense": ("vectors", _matrix(held))}, None))
-    return reduce(DataFrame.unionByName, passes)
+    return _rank(chunks, queries, ["vector"], k, keep, lambda block, held, ids: ({"dense": ("vectors", _matrix(held))}, None))[0]
 
 
 def _matrix(held: pa.Table) -> np.ndarray:
@@ -341,11 +339,11 @@ def _fused(
     )
 
 
-def _with_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join texts to one pass's hits, whose number the pass limits: they are sent to where the texts are."""
+def _with_text(hits: DataFrame, chunks: DataFrame, passes: int) -> DataFrame:
+    """Join texts to hits. Those of one pass, which limits their number, are sent to where the texts are."""
     texts = chunks.select("chunk_id", "doc_ord", "text", F.col("metadata.chunk_index").alias("chunk_index"))
     named = [texts[c] == hits[c] for c in ("chunk_id", "doc_ord")]
-    joined = texts.join(F.broadcast(hits), [*named, texts["chunk_index"] == hits["metadata.chunk_index"]])
+    joined = texts.join(F.broadcast(hits) if passes <= 1 else hits, [*named, texts["chunk_index"] == hits["metadata.chunk_index"]])
     return joined.select(*(hits[c] for c in hits.columns), texts["text"])
 
 
@@ -369,8 +367,8 @@ def search(
 ) -> DataFrame:
     """Hits of all strategies at all K: ``strategy, k, query_id, rank, …, score, dense_rank, sparse_rank``.
 
-    Each pass of queries scans the chunks once, for the rankings that the strategies need, and once
-    more for the texts of its hits if ``keep`` names them. ``options`` go to :func:`rank_chunks` and
+    Each pass of queries scans the chunks once, for the rankings that the strategies need. If ``keep`` names texts, one
+    more scan fetches those of all passes' hits. ``options`` go to :func:`rank_chunks` and
     :func:`rank_strategies`.
     """
     selected = check_strategies(strategies)
@@ -384,11 +382,9 @@ def search(
     fusion = {name: options.pop(name, default) for name, default in fusion.items()}
     narrow = tuple(c for c in dict.fromkeys(("chunk_id", *keep)) if c != "text")
 
-    def shown(ranked: DataFrame) -> DataFrame:
-        hits = _fused(ranked, selected, ks, **fusion)
-        if "text" in keep:
-            hits = _with_text(hits, index.chunks)
-        ordered = ["strategy", "k", "query_id", "rank", *dict.fromkeys(("chunk_id", *keep))]
-        return hits.select(*ordered, "metadata", "score", "dense_rank", "sparse_rank")
-
-    return reduce(DataFrame.unionByName, map(shown, _rank_index(index, queries, rankings, depth, narrow, **options)))
+    ranked, passes = _rank_index(index, queries, rankings, depth, narrow, **options)
+    hits = _fused(ranked, selected, ks, **fusion)
+    if "text" in keep:
+        hits = _with_text(hits, index.chunks, passes)
+    ordered = ["strategy", "k", "query_id", "rank", *dict.fromkeys(("chunk_id", *keep))]
+    return hits.select(*ordered, "metadata", "score", "dense_rank", "sparse_rank")

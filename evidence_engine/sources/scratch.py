@@ -31,6 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to a written intermediate table."""
+    df.write.mode("append").parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Shuffle a small input with too few splits to keep the cores busy; leave others alone.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import tokenize
 from evidence_engine.operators import index, kernels, retrieval, scoring, vectors
-from evidence_engine.sources.scratch import materialize
+from evidence_engine.sources.scratch import append
 
 TEXTS = [
     "员工报销需在十个工作日内提交。",
@@ -99,7 +99,7 @@ def test_passes_write_ranks_without_texts_and_give_broadcasts_back(spark, many,
     monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", 2)
     payloads, live, most = [], set(), []
     context = type(spark.sparkContext)
-    monkeypatch.setattr(retrieval, "materialize", lambda df, name: payloads.append(df.columns) or materialize(df, name))
+    monkeypatch.setattr(retrieval, "append", lambda df, path: payloads.append(df.columns) or append(df, path))
     broadcast = context.broadcast
 
     def tracked(self, value):
@@ -114,6 +114,7 @@ def test_passes_write_ranks_without_texts_and_give_broadcasts_back(spark, many,
     hits = retrieval.search(corpus(spark, many), asked(spark), ("hybrid",), (4,))
     assert len(payloads) > 1 and not any("text" in columns or "tokens" in columns for columns in payloads)
     assert max(most) == 1 and not live
+    assert len(payloads) >= 4 and "Union" not in hits._jdf.queryExecution().optimizedPlan().toString()
     texts = {f"c{n}": text for n, text in enumerate(many)}
     assert all(row["text"] == texts[row["chunk_id"]] for row in hits.collect())
     check(hits, many, QUESTIONS, "hybrid", 4, brute.fused)
