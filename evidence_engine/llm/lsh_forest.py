@@ -9,14 +9,17 @@ spread over tasks. Candidates grow with texts x trees, never with pairs of a reg
 At the least depth of 4, a pair of similarity 0.85 meets in a tree with probability 0.52, and in none
 of 48 trees with 1e-15. Where others crowd between the two, rounds follow over the crowded regions only:
 in a forest of new orders every text meets the nearest text before it that is of another component
-(where either has links), and the nearest such hub, a text with several links. The original of many copies
-that are unlike each other is a hub whatever their number, so one round links the rest to it. Rounds end
-with one that adds no link.
+(where either has links), and the nearest of the strongest hubs, texts with several links, before it that share its least
+prefix. The original of many copies that are unlike each other soon has more links than any copy, so it is not
+hidden by copies that have a few, and one round links the rest to it whatever their number. Rounds go on where
+neighbours of the first forest lie in different components, and end with one that adds no link.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ VALUES = 128
 TREES = 48
 DEPTH = 16
 LEAST_DEPTH = 4
+#: Links from which on a hub is of the next level; level 1 is any hub.
+LEVELS = (8, 32, 128)
 #: Share of equal signature bytes below which a pair of the wanted similarity is over four deviations away.
 MARGIN = 0.15
 
@@ -146,7 +151,7 @@ def candidates(signatures: DataFrame) -> DataFrame:
 
 
 def _crowded_labels(number: int):
-    """Task: labels of a round, with the text's component, whether it has links, and whether it is a hub."""
+    """Task: labels of a round, with the text's component, whether it has links, and its level as a hub (0: none)."""
     orders = orders_of(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +165,7 @@ def _crowded_labels(number: int):
                 repeated = (pa.array(np.repeat(c[at : at + 500], TREES)) for c in columns)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(labels))), pa.array(labels[..., 0].ravel()), pa.array(labels[..., 1].ravel()), *repeated],
-                    names=["tree", "a", "b", "id", "component", "linked", "hub"],
+                    names=["tree", "a", "b", "id", "component", "linked", "level"],
                 )
 
     return run
@@ -182,12 +187,15 @@ def last_other(component: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: each text in a sorted part with the last text, and the last hub, of another component (``kind`` 0 and 1).
+    """Task: each text in a sorted part with the last text of another component (``kind`` 0), and the last of the strongest
+    hubs (``kind`` is its least level) that share its least prefix.
 
-    Rows without such a partner in their part have a missing ``y``; rows with ``edge`` are what
-    the next parts need: the last two wanted rows of different components.
+    Rows with a missing ``y`` may have their partner in an earlier part, as the part begins within their
+    prefix; rows with ``edge`` are what the next parts need: the last two wanted rows of different components.
     """
-    part, carried = TaskContext.get().partitionId(), None
+    part, carried, opening = TaskContext.get().partitionId(), None, None
+    kinds = range(len(LEVELS) + 2)
+    beyond = np.uint64(64 - 8 * LEAST_DEPTH)
 
     def rows(kind, edge, tree, a, x, of_x, linked, y):
         n = len(x)
@@ -210,15 +218,22 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5, 6)]
         old = 0 if carried is None else len(carried[0])
         now = new if carried is None else [np.concatenate(p) for p in zip(carried, new)]
-        tree, a, ids, component, linked, hub = now
-        keep = set()
-        for kind, wanted in enumerate((np.ones(len(ids), bool), hub)):
+        tree, a, ids, component, linked, level = now
+        if opening is None:
+            opening = tree[0], a[0]
+        first = (tree == opening[0]) & ((a ^ opening[1]).view(np.uint64) >> beyond == 0)
+        keep, met = set(), np.zeros(len(ids), bool)
+        for kind in reversed(kinds):
+            wanted = level >= kind
             y = last_other(component, wanted)
             fits = y >= 0
-            near = fits & (tree == tree[y]) & ((a ^ a[y]).view(np.uint64) >> np.uint64(64 - 8 * LEAST_DEPTH) == 0)
+            near = fits & (tree == tree[y]) & ((a ^ a[y]).view(np.uint64) >> beyond == 0)
             if kind == 0:
                 near &= linked | linked[y]
-            take = near | ~fits
+            else:
+                near &= ~met
+                met |= near
+            take = near | (~fits & first)
             take[:old] = False
             partner = pa.array(ids[y][take], pa.int64(), mask=~near[take])
             yield rows(kind, 0, tree[take], a[take], ids[take], component[take], linked[take], partner)
@@ -226,8 +241,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = sorted(keep)
         carried = [c[keep] for c in now]
     if carried is not None:
-        for kind, wanted in enumerate((np.ones(len(carried[0]), bool), carried[5])):
-            for edge, at in enumerate(reversed(ends(carried, wanted))):
+        for kind in kinds:
+            for edge, at in enumerate(reversed(ends(carried, carried[5] >= kind))):
                 one = slice(at, at + 1)
                 yield rows(kind, edge + 1, carried[0][one], carried[1][one], carried[2][one], carried[3][one], carried[4][one], pa.nulls(1, pa.int64()))
 
@@ -236,29 +251,27 @@ MET = "part int, kind int, edge int, tree int, a long, x long, of_x long, linked
 
 
 def crowded_candidates(texts_of: DataFrame, number: int) -> DataFrame:
-    """``x, y``: ids of different components that meet in a round's forest; texts ``id, signature, component, linked, hub``."""
+    """``x, y``: ids of different components that meet in a round's forest; texts ``id, signature, component, linked, level``."""
     spark, scratch = texts_of.sparkSession, Scratch(texts_of.sparkSession)
     order = ["tree", "a", "b", "id"]
     labels = map_arrow(
-        texts_of.select("id", "signature", "component", "linked", "hub"),
+        texts_of.select("id", "signature", "component", "linked", "level"),
         _crowded_labels(number),
-        "tree int, a long, b long, id long, component long, linked boolean, hub boolean",
+        "tree int, a long, b long, id long, component long, linked boolean, level int",
     )
     met = scratch.write(map_arrow(labels.repartitionByRange(*order).sortWithinPartitions(*order), _met, MET), "forest-met")
-    # Four rows for each part at most; what a part lacks is the last that an earlier part has.
-    kept: dict[int, list] = {0: [], 1: []}
+    # Two rows for each part and kind at most; what a part lacks is the last that an earlier part has.
+    kept: dict[int, list] = {kind: [] for kind in range(len(LEVELS) + 2)}
     handed = []
     edges = met.where("edge > 0").orderBy("part", F.desc("edge")).collect()
-    for part in sorted({r["part"] for r in edges}):
-        for kind, last in kept.items():
-            handed += [(part, kind, *r) for r in last]
-            for r in edges:
-                if r["part"] == part and r["kind"] == kind:
-                    last = [o for o in last if o[3] != r["of_x"]][-1:] + [(r["tree"], r["a"], r["x"], r["of_x"], r["linked"])]
-            kept[kind] = last
+    for part, of_part in groupby(edges, itemgetter("part")):
+        handed += [(part, kind, *r) for kind, last in kept.items() for r in last]
+        for r in of_part:
+            others = [o for o in kept[r["kind"]] if o[3] != r["of_x"]][-1:]
+            kept[r["kind"]] = [*others, (r["tree"], r["a"], r["x"], r["of_x"], r["linked"])]
     before = spark.createDataFrame(handed, "part int, kind int, last_tree int, last_a long, last long, of_last long, last_linked boolean")
     across = met.where("edge = 0 and y is null").join(F.broadcast(before), ["part", "kind"]).where(
-        F.expr(f"tree = last_tree and of_x <> of_last and (kind = 1 or linked or last_linked) and shiftrightunsigned(a ^ last_a, {64 - 8 * LEAST_DEPTH}) = 0")
+        F.expr(f"tree = last_tree and of_x <> of_last and (kind > 0 or linked or last_linked) and shiftrightunsigned(a ^ last_a, {64 - 8 * LEAST_DEPTH}) = 0")
     )
     pairs = met.where("edge = 0 and y is not null").select("x", "y").union(across.select("x", F.col("last").alias("y")))
     pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "forest-crowded")
@@ -295,6 +308,23 @@ def _linked(words: int, percent: int):
     return run
 
 
+def joined_by(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, from the labels before them."""
+    return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links.select("u", "v")))
+
+
+def hub_levels(links: DataFrame) -> DataFrame:
+    """``id, level`` of every text with links: 0 for a leaf of a text with several links, else by its own number."""
+    both = links.select("u", "v").where("u <> v")
+    both = both.union(both.select("v", "u")).distinct()
+    degree = both.groupBy("u").agg(F.count("*").alias("n"))
+    of_partner = both.join(degree.select(F.col("u").alias("v"), "n"), "v").groupBy("u").agg(F.max("n").alias("most"))
+    level = F.when(F.col("n") > 1, 1 + sum((F.col("n") >= least).cast("int") for least in LEVELS))
+    return degree.join(of_partner, "u").select(
+        F.col("u").alias("id"), level.otherwise(F.when(F.col("most") == 1, 1).otherwise(0)).alias("level")
+    )
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, h, n_shingles, component_id, kept``: documents linked by the Jaccard similarity of shingle sets.
 
@@ -358,51 +388,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = scratch.write(verified(best, pool), "forest-links")
     found = components(links)
     open_pairs = apart(likely, found).select("x", "y").join(best, ["x", "y"], "left_anti")
-    more = scratch.write(verified(open_pairs, pool), "forest-more-links")
-    links = links.union(more).union(named)
-    found = components(links)
+    more = scratch.write(verified(open_pairs, pool), "forest-more-links").union(named)
+    links = links.union(more)
+    found = joined_by(found, more)
 
-    # Regions that hold several components: all their texts go on, in new orders, until a round adds no link.
-    between = scratch.write(apart(pairs, found).select("of_x", "of_y"), "forest-between")
-    crowded = between.select(F.col("of_x").alias("component")).union(between.select("of_y")).distinct()
-    tried, number, active = likely.select("x", "y"), 1, None
+    # Regions where neighbours lie in different components: all texts of these go on, in new orders, until a round adds no link.
+    between = scratch.write(apart(pairs, found), "forest-between")
+    tried, number, active = likely.select("x", "y"), 1, shown
     while not between.isEmpty():
-        both = links.select("u", "v").where("u <> v").distinct()
-        both = both.union(both.select("v", "u")).distinct()
-        degree = both.groupBy("u").agg(F.count("*").alias("n"))
-        # A leaf of a text with several links is no hub.
-        hubs = both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("n").alias("of_partner")), "v")
-        hubs = hubs.groupBy(F.col("u").alias("id")).agg((F.max("n") > 1).alias("several"), F.max("of_partner").alias("most"))
-        hubs = hubs.select("id", F.expr("several or most = 1").alias("is_hub"))
-        # What goes on are the texts of crowded components; later rounds join components, so these are among the last round's.
-        region = shown if active is None else active.select("id", "signature")
+        crowded = between.select(F.col("of_x").alias("component")).union(between.select("of_y")).distinct()
+        # Components are only joined, so the texts that go on are among those of the last round.
         active = (
-            region.join(found.withColumnRenamed("node", "id"), "id", "left")
+            active.select("id", "signature")
+            .join(found.withColumnRenamed("node", "id"), "id", "left")
             .withColumn("component", F.coalesce("component", "id"))
             .join(crowded, "component", "left_semi")
-            .join(hubs, "id", "left")
-            .select("id", "signature", "component", F.col("is_hub").isNotNull().alias("linked"), F.coalesce("is_hub", F.lit(False)).alias("hub"))
+            .join(hub_levels(links), "id", "left")
+            .select("id", "signature", "component", F.col("level").isNotNull().alias("linked"), F.coalesce("level", F.lit(0)).alias("level"))
         )
         active = scratch.write(active, "forest-active")
-        if active.select("component").distinct().limit(2).count() < 2:
-            break
         fresh = alike(crowded_candidates(active, number).join(tried, ["x", "y"], "left_anti"))
-        texts_now, linked = texts_of(fresh), links
-        # The most alike partner first, as above: a text meets many hubs of one component.
+        texts_now = texts_of(fresh)
+        # The most alike partner first, as above: a text meets many texts of one component.
         first = scratch.write(most_alike(fresh), "forest-best")
-        links = links.union(scratch.write(verified(first, texts_now), "forest-added-links"))
-        now = components(links)
+        added = scratch.write(verified(first, texts_now), "forest-added-links")
+        now = joined_by(found, added)
         rest = apart(fresh, now).select("x", "y").join(first, ["x", "y"], "left_anti")
         more = scratch.write(verified(rest, texts_now), "forest-more-links")
         if not more.isEmpty():
-            links = links.union(more)
-            now = components(links)
-        tried, number = tried.union(fresh.select("x", "y")), number + 1
-        if links.count() == linked.count():
+            now = joined_by(now, more)
+            added = added.union(more)
+        if added.isEmpty():
             break
-        found = now
-        moved = crowded.join(found.withColumnRenamed("component", "to"), F.col("component") == F.col("node"), "left")
-        crowded = scratch.write(moved.select(F.coalesce("to", "component").alias("component")).distinct(), "forest-crowded-components")
+        links, tried, number, found = links.union(added), tried.union(fresh.select("x", "y")), number + 1, now
+        between = scratch.write(apart(between.select("x", "y"), found), "forest-between")
     of_class = members.select("doc_id", "h", "class").distinct().join(found.withColumnRenamed("node", "class"), "class", "left")
     reached = of_class.groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("reached"))
     out = signed.join(reached, "doc_id", "left").select(

@@ -20,7 +20,7 @@ def star(r, original, copies, changes):
     return out
 
 
-@pytest.mark.parametrize(("groups", "copies", "parts"), [(1, 300, 4)])
+@pytest.mark.parametrize(("groups", "copies", "parts"), [(1, 300, 4), (3, 60, 7), (1, 2000, 16)])
 def test_copies_of_one_original(spark, groups, copies, parts):
     """Each copy is linked to its original, hardly to another copy; the originals are versions of one text."""
     r = random.Random(copies)
@@ -42,6 +42,14 @@ def test_copies_of_one_original(spark, groups, copies, parts):
     assert found == wanted
 
 
+def test_hub_levels(spark):
+    """A leaf of a text with several links is no hub, a lone pair has two; others rank by their number of links."""
+    links = [(0, i) for i in range(1, 41)] + [(100, 101), (200, 201), (200, 202), (201, 200), (300, 300)]
+    found = lsh_forest.hub_levels(spark.createDataFrame(links, "u long, v long")).collect()
+    wanted = {0: 3, 100: 1, 101: 1, 200: 1, 201: 0, 202: 0} | {i: 0 for i in range(1, 41)}
+    assert {r["id"]: r["level"] for r in found} == wanted
+
+
 def test_last_other():
     r = np.random.default_rng(4)
     for _ in range(200):
