@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from evidence_engine import fixed_values as fv
-from evidence_engine.functions.text import let, strip
-
-# Windows are cut from pieces of this many characters, not from the whole text: finding
-# character n of a UTF-8 string means walking over n characters, so cutting every window
-# from the text itself would take quadratic time on long documents.
-_PIECE = 2048
 
-# Appending to an array copies it, so windows are gathered in blocks of this many, and the
-# blocks in an array: linear time again.
-_BLOCK = 256
+# Windows of so many texts are turned into Arrow arrays together.
+_TOGETHER = 200
 
 _WINDOWS = "array<struct<start:int,end:int,text:string>>"
 
@@ -37,97 +33,47 @@ def chunk_params_problem(size: Column, overlap: Column) -> Column:
     )
 
 
-def chars_after_last_break(tail: Column) -> Column:
-    """Characters behind the last preferred cut point; the whole length if there is none."""
-    marks = fv.BREAK_MARKS
-    return F.length(F.substring_index(F.translate(tail, marks, "\n" * len(marks)), "\n", -1))
-
-
-def preferred_end(window: Column, search_from: int, hard_end: Column) -> Column:
-    """End of a window: behind the last cut point in its tail, else the hard end."""
-
-    def choose(tail: Column) -> Column:
-        behind = chars_after_last_break(tail)
-        return hard_end - F.when(behind < F.length(tail), behind).otherwise(0)
-
-    return let(F.substring(window, F.lit(search_from + 1), F.length(window)), choose)
+def _cut(size: int, overlap: int):
+    """Task: the windows of each text of a batch. Everything it needs is in here, so workers need no package."""
+    search_from, together = int(size * fv.BREAK_SEARCH_FROM), _TOGETHER
+    marks, blanks = fv.BREAK_MARKS, fv.WHITESPACE
+
+    def windows(text: str) -> Iterator[tuple[int, int, str]]:
+        start, length = 0, len(text)
+        while start < length:
+            end = min(start + size, length)
+            if end < length:
+                # Behind the last cut point in the window's tail, else the hard end.
+                last = max(text.rfind(mark, start + search_from, end) for mark in marks)
+                end = last + 1 if last >= 0 else end
+            stripped = text[start:end].strip(blanks)
+            if stripped:
+                yield start, end, stripped
+            start = max(end - overlap, start + 1) if end < length else length
+
+    def arrays(texts: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for text in texts.cast(pa.large_binary()).to_pylist():
+            rows += windows((text or b"").decode("utf-8", "replace"))
+            ends.append(len(rows))
+        starts, stops, found = zip(*rows) if rows else ((), (), ())
+        columns = [pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(found, pa.string())]
+        items = pa.StructArray.from_arrays(columns, names=["start", "end", "text"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [arrays(texts.slice(at, together)) for at in range(0, len(texts), together)]
+            yield pa.concat_arrays(parts or [arrays(texts)])
+
+    return cut
 
 
 def chunk_windows(normalized: Column, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP) -> Column:
     """``ARRAY<STRUCT<start, end, text>>`` of the non-blank windows of a normalized text.
 
     Offsets count code points of the normalized text before the window is stripped. A window
-    starts where its predecessor ends less ``overlap``, so the array is built by a fold; the
-    number of windows is bounded by how far a window advances at least.
+    starts where its predecessor ends less ``overlap``, so a text is cut from its beginning to its end, in linear time.
     """
     check_chunk_params(size, overlap)
-    search_from = int(size * fv.BREAK_SEARCH_FROM)
-    piece = max(_PIECE, size)
-    least_advance = max(search_from + 1 - overlap, 1)
-
-    def fold(text: Column) -> Column:
-        length = text["length"]
-
-        def window_at(start: Column) -> Column:
-            number = F.floor(start / piece).cast("int")
-            two_pieces = F.concat(
-                F.get(text["pieces"], number), F.coalesce(F.get(text["pieces"], number + 1), F.lit(""))
-            )
-            return F.substring(two_pieces, start - number * piece + 1, F.lit(size))
-
-        def advance(state: Column, _: Column) -> Column:
-            start = state["next"]
-            hard_end = F.least(start + size, length)
-
-            def with_window(window: Column) -> Column:
-                end = F.when(hard_end >= length, length).otherwise(preferred_end(window, search_from, hard_end))
-                return let(
-                    end,
-                    lambda e: F.struct(
-                        e.alias("end"), strip(F.substring(window, F.lit(1), e - start)).alias("text")
-                    ),
-                )
-
-            def next_state(found: Column) -> Column:
-                end = found["end"]
-                item = F.struct(start.alias("start"), end.alias("end"), found["text"].alias("text"))
-                return F.struct(
-                    F.when(end >= length, F.lit(-1))
-                    .otherwise(F.greatest(end - overlap, start + 1))
-                    .cast("int")
-                    .alias("next"),
-                    F.when(found["text"] == "", state["found"])
-                    .otherwise(F.concat(state["found"], F.array(item).cast(_WINDOWS)))
-                    .alias("found"),
-                )
-
-            step = let(let(window_at(start), with_window), next_state)
-            return F.when(start < 0, state).otherwise(step)
-
-        def gather(state: Column, _: Column) -> Column:
-            block = F.aggregate(
-                F.sequence(F.lit(1), F.least(steps, F.lit(_BLOCK))),
-                F.struct(state["next"].alias("next"), F.array().cast(_WINDOWS).alias("found")),
-                advance,
-            )
-            longer = let(
-                block,
-                lambda b: F.struct(
-                    b["next"].alias("next"), F.concat(state["blocks"], F.array(b["found"])).alias("blocks")
-                ),
-            )
-            return F.when(state["next"] < 0, state).otherwise(longer)
-
-        steps = F.floor(length / least_advance).cast("int") + 1
-        return F.aggregate(
-            F.sequence(F.lit(0), F.floor(steps / _BLOCK).cast("int")),
-            F.struct(F.lit(0).alias("next"), F.array().cast(f"array<{_WINDOWS}>").alias("blocks")),
-            gather,
-            lambda state: F.flatten(state["blocks"]),
-        )
-
-    def cut(text: Column) -> Column:
-        parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
-        return let(F.struct(F.length(text).alias("length"), parts.alias("pieces")), fold)
-
-    return F.when(F.length(normalized) > 0, let(normalized, cut)).otherwise(F.array().cast(_WINDOWS))
+    return F.arrow_udf(_cut(size, overlap), _WINDOWS)(normalized)
