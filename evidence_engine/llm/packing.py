@@ -27,8 +27,8 @@ from evidence_engine.llm.common import Scratch, map_arrow, materialize, texts
 CAPACITY = 4096
 END_ID = 1
 PUNCTUATION = string.punctuation.encode()
-#: Words, and stems, whose ids a Python worker remembers.
-REMEMBERED = 500_000
+#: Words, and stems, whose ids a Python worker remembers: a few ten thousand words are most of any text, and a worker stays.
+REMEMBERED = 200_000
 
 
 class WordIds:

@@ -271,4 +271,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             (rates,) = rated(iter([pa.RecordBatch.from_arrays([text] * 3, names=["doc_id", "h", "text"])]))
             yield batch.filter(rates.column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
