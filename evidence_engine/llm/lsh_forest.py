@@ -35,6 +35,8 @@ VALUES = 128
 TREES = 48
 DEPTH = 16
 LEAST_DEPTH = 4
+#: So many ids are sent to the texts; more are joined with them.
+SENT_IDS = 250_000
 #: Links from which on a hub is of the next level; level 1 is any hub.
 LEVELS = (8, 32, 128)
 #: Share of equal signature bytes below which a pair of the wanted similarity is over four deviations away.
@@ -355,11 +357,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         joined = pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right")
         return scratch.write(map_arrow(joined, _agreeing(percent / 100 - MARGIN), "x long, y long, alike double"), "forest-likely")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-        named = shown.select("id", F.col("h").alias("shown")).join(wanted, "id")
+    repeated = not nodes.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+    def sent(ids: DataFrame) -> DataFrame:
+        """Written ids: up to ``SENT_IDS`` are sent to the texts, so that no text is shuffled to be found."""
+        ids = scratch.write(ids, "forest-wanted")
+        return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """``id, text`` of shown texts, from the documents."""
+        named = sent(shown.select("id", F.col("h").alias("shown")).join(ids, "id"))
         found = docs.join(named, (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("shown"))).select("id", "text")
-        return scratch.write(found.distinct(), "forest-texts")
+        return scratch.write(found.distinct() if repeated else found, "forest-texts")
+
+    def in_pairs(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
 
     def most_alike(likely: DataFrame) -> DataFrame:
         both = likely.select("x", "y", "alike").union(likely.select("y", "x", "alike"))
@@ -379,7 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return named.select(*pairs.columns, F.coalesce("of_x", "x").alias("of_x"), F.coalesce("of_y", "y").alias("of_y")).where("of_x <> of_y")
 
     likely = alike(pairs)
-    pool = texts_of(likely)
+    pool = texts_of(in_pairs(likely))
     # The most alike neighbour of every text first; then what still lies between two components.
     # Written, as it is used twice: what is left out below must be what was verified here.
     best = scratch.write(most_alike(likely), "forest-best")
@@ -407,8 +419,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             .select("id", "signature", "component", F.col("level").isNotNull().alias("linked"), F.coalesce("level", F.lit(0)).alias("level"))
         )
         active = scratch.write(active, "forest-active")
+        if number == 1:  # what goes on has been read before, but for texts that are linked by an id alone
+            unread = active.select("id").join(pool.select("id"), "id", "left_anti")
+            if not unread.isEmpty():
+                pool = pool.union(texts_of(unread))
         fresh = alike(crowded_candidates(active, number).join(tried, ["x", "y"], "left_anti"))
-        texts_now = texts_of(fresh)
+        texts_now = scratch.write(pool.join(sent(in_pairs(fresh)), "id"), "forest-texts")
         # The most alike partner first, as above: a text meets many texts of one component.
         first = scratch.write(most_alike(fresh), "forest-best")
         added = scratch.write(verified(first, texts_now), "forest-added-links")
