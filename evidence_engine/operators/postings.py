@@ -3,8 +3,7 @@
 Chunks are taken in windows of up to ``WINDOW`` rows. A block holds one term's postings in one window: gaps
 between its rows, frequencies, and the two numbers that bound its scores, the greatest frequency and the
 least length. A window has one more row that names its chunks, their lengths and their corpus order. All
-are rows of one table, in folders by hash of the term and sorted by term, so a search reads the folders of
-its queries' terms, and within them the row groups that may hold them.
+are rows of one table, in folders by hash of the term, so a search reads the folders of its queries' terms.
 
 A task scores whole windows. The bounds of a window's blocks add up to a bound for every query; windows are taken in
 falling order of it until it falls below the query's running k-th score, and only blocks of windows that
@@ -110,10 +109,10 @@ def write_postings(token_chunks: DataFrame, path: str) -> Postings:
     """Invert a written chunk table with ``place`` and ``tokens``: a narrow pass, then only blocks are shuffled."""
     spark = token_chunks.sparkSession
     narrow = token_chunks.select("place", "doc_ord", F.col("metadata.chunk_index").alias("chunk_index"), "tokens")
-    blocks = narrow.mapInArrow(_invert, _ROWS)
+    blocks = narrow.mapInArrow(kernels.tidy(_invert), _ROWS)
     blocks = blocks.withColumn("part", F.when(F.col("term").isNull(), -1).otherwise(folder_of(F.col("term"))).cast("int"))
-    # A folder goes to as many tasks as its size asks for.
-    dealt = blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "window")
+    # A folder goes to as many tasks as its size asks for; its number alone is the order that its writer needs.
+    dealt = blocks.hint("rebalance", "part").sortWithinPartitions("part")
     dealt.write.mode("overwrite").partitionBy("part").parquet(path)
     return read_postings(spark, path)
 
@@ -274,6 +273,7 @@ def best_chunks(
     rows = wanted_rows(postings, terms, len(vocabulary)).repartition("group").sortWithinPartitions("group")
     shared = spark.sparkContext.broadcast(((vocabulary, triplets, n_queries, avg_len, k1, b, k), query_ids))
 
+    @kernels.tidy
     def run(batches):
         parts, ids = shared.value
         yield from scored(batches, lambda: WindowScorer(*parts), ids, report)
