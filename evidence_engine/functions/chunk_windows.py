@@ -65,6 +65,7 @@ def _cut(size: int, overlap: int):
         for texts in batches:
             parts = [arrays(texts.slice(at, together)) for at in range(0, len(texts), together)]
             yield pa.concat_arrays(parts or [arrays(texts)])
+        pa.default_memory_pool().release_unused()  # the worker outlives its tasks
 
     return cut
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from evidence_engine.sources.scratch import materialize, scratch_path
+from evidence_engine.sources.scratch import bound_batches, materialize, scratch_path
 
 __all__ = [
     *("Scratch", "bounded", "documents", "keyed", "map_arrow", "materialize"),
@@ -23,8 +23,7 @@ BLANKS = "[ \\t-\\r]+"
 
 def bounded(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, and let Spark drop a step's shuffle files when the step is written."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    bound_batches(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 

@@ -8,17 +8,38 @@ so executors need no installed package.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SCORE_DIGITS = 9  # ranks must not depend on the order in which floats were added
-BLOCK_CELLS = 4_000_000  # upper bound of any matrix a task holds (32 MB of doubles)
+BLOCK_CELLS = 2_000_000  # upper bound of any matrix a task holds (16 MB of doubles)
 POOL_ROWS = 20_000
 CELL_COST = 128  # adding to one cell costs about as much as this many cells of a matrix product
-CACHED_TERMS = 500_000
+CACHED_TERMS = 300_000
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: it outlives its tasks, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(function):
+    """An iterator function for tasks that leaves no freed memory in its worker."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def hash_terms(terms: list[str], family: str) -> np.ndarray:
@@ -41,9 +62,11 @@ class TermHasher:
     def _values(self, terms: list[str]) -> np.ndarray:
         if len(self.known) > CACHED_TERMS:
             self.known = {}
-        new = [t for t in terms if t not in self.known]
-        self.known.update(zip(new, hash_terms(new, self.family).tolist()))
-        return np.array([self.known[t] for t in terms], dtype=np.uint64)
+        values = list(map(self.known.get, terms))
+        new = [at for at, value in enumerate(values) if value is None]
+        for at, value in zip(new, hash_terms([terms[at] for at in new], self.family).tolist()):
+            values[at] = self.known[terms[at]] = value
+        return np.array(values, dtype=np.uint64)
 
     def matrix(self, tokens: pa.ListArray) -> np.ndarray:
         """Integer-valued ``len(tokens) x dimension`` matrix of signed counts."""

@@ -144,6 +144,7 @@ def _rank(
         read = list(dict.fromkeys(SCORED_COLUMNS[kind] for kind, *_ in described.values()))
         shared = spark.sparkContext.broadcast((described, query_ids))
 
+        @kernels.tidy
         def rank(batches, shared=shared):
             described, ids = shared.value
             scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}

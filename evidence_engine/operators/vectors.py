@@ -21,6 +21,7 @@ def hash_embed(
     vector's length. Empty buckets have no row.
     """
 
+    @kernels.tidy
     def embed(batches):
         hasher = kernels.TermHasher(dimension, family)
         step = max(1, kernels.BLOCK_CELLS // dimension)
@@ -58,6 +59,7 @@ def with_hashed(token_chunks: DataFrame, dimension: int = fv.HASH_DIMENSION, fam
         for tokens in lists:
             parts = [kernels.sparse(hasher.matrix(tokens.slice(start, step))) for start in range(0, len(tokens), step)]
             yield pa.concat_arrays(parts or [kernels.sparse(np.zeros((0, dimension)))])
+        kernels.give_back()
 
     return token_chunks.withColumn("hashed", embed("tokens"))
 

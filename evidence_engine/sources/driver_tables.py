@@ -11,7 +11,7 @@ from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators.chunking import chunk_documents, identify_documents
 from evidence_engine.operators.index import Index, read_index, write_index
-from evidence_engine.sources.scratch import materialize, scratch_path, spread
+from evidence_engine.sources.scratch import bound_batches, materialize, scratch_path, spread
 
 ANCHOR_WORDS = 4
 
@@ -19,6 +19,7 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes, so that a worker's memory does not depend on how long texts or splits are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; without one, a fresh local folder in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
