@@ -77,19 +77,12 @@ class WordIds:
                 parts = [self._ids(text).tobytes() for _, text in group]
             self.stems.update((stem, part) for (stem, _), part in zip(group, parts))
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        stem = word.rstrip(PUNCTUATION)
-        if not stem or not stem[-1:].isalpha():
-            return word.lower(), b""
-        return stem.lower(), word[len(stem) :]
-
-    def _known_stem(self, stem: bytes) -> bool:
-        if stem in self.stems or not stem:
-            return True
-        if stem in self.older:
-            self.stems[stem] = self.older[stem]
-            return True
-        return False
+    def _know(self, stems: Iterator[bytes]) -> None:
+        """Have the ids of stems, those of the last generation too."""
+        older = self.older
+        missing = [s for s in dict.fromkeys(stems) if s not in self.stems]
+        self.stems.update((s, older[s]) for s in missing if s in older)
+        self._learn([s for s in missing if s not in older])
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
@@ -98,15 +91,23 @@ class WordIds:
         if len(self.stems) > REMEMBERED:
             self.stems, self.older = {}, self.stems
         unknown = itertools.filterfalse(self.words.__contains__, itertools.chain.from_iterable(split))
-        new = {w: self._parts(w) for w in dict.fromkeys(unknown)}
+        new = list(dict.fromkeys(unknown))
         all_new = b" ".join(new).lower()
         marks = [mark for mark in self.marks if mark in all_new]
-        for word in [w for w in new if any(mark in w.lower() for mark in marks)] if marks else ():
-            self.words[word] = self._ids(word.decode()).tobytes()
-            del new[word]
-        self._learn([s for s in dict.fromkeys(s for parts in new.values() for s in parts) if not self._known_stem(s)])
-        stems = self.stems
-        self.words.update((w, stems[stem] + stems[end] if end else stems[stem]) for w, (stem, end) in new.items())
+        if marks:
+            for word in [w for w in new if any(mark in w.lower() for mark in marks)]:
+                self.words[word] = self._ids(word.decode()).tobytes()
+            new = [w for w in new if w not in self.words]
+            all_new = b" ".join(new).lower()
+        # A word without trailing punctuation is its own stem, and so is one whose rest does not end with a letter.
+        lower = all_new.split()
+        stems = [w.rstrip(PUNCTUATION) for w in lower]
+        stems = [stem if stem[-1:].isalpha() else w for stem, w in zip(stems, lower)]
+        ended = [(word, stem, w[len(stem) :]) for word, stem, w in zip(new, stems, lower) if len(stem) < len(w)]
+        self._know(itertools.chain(stems, (end for _, _, end in ended)))
+        known = self.stems
+        self.words.update(zip(new, map(known.__getitem__, stems)))
+        self.words.update((word, known[stem] + known[end]) for word, stem, end in ended)
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
