@@ -423,13 +423,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             unread = active.select("id").join(pool.select("id"), "id", "left_anti")
             if not unread.isEmpty():
                 pool = pool.union(texts_of(unread))
-        fresh = alike(crowded_candidates(active, number).join(tried, ["x", "y"], "left_anti"))
+        # Signatures first: only pairs that are likely can have been tried, and the others need not be sought there.
+        fresh = scratch.write(alike(crowded_candidates(active, number)).join(tried, ["x", "y"], "left_anti"), "forest-fresh")
         texts_now = scratch.write(pool.join(sent(in_pairs(fresh)), "id"), "forest-texts")
         # The most alike partner first, as above: a text meets many texts of one component.
         first = scratch.write(most_alike(fresh), "forest-best")
         added = scratch.write(verified(first, texts_now), "forest-added-links")
         now = joined_by(found, added)
-        rest = apart(fresh, now).select("x", "y").join(first, ["x", "y"], "left_anti")
+        # A few of the first may be among the rest, not linked again: one for each text at most.
+        rest = apart(fresh, now).select("x", "y")
         more = scratch.write(verified(rest, texts_now), "forest-more-links")
         if not more.isEmpty():
             now = joined_by(now, more)
