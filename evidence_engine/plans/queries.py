@@ -424,8 +424,7 @@ def ingest_stream(spark, sf_dir):
     """The documents as a stream of uploads into a store."""
     from evidence_engine.streaming.ingest import ingest_stream as start
 
-    static = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    incoming = spark.readStream.schema(static.schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    incoming = given.stream(spark, sf_dir, "documents")
     path = F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 19, "0"))
     target = scratch_path(spark, "store")
     uploads = incoming.select(path.alias("source"), "text")

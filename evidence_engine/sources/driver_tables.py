@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table's files as a stream. A table is one file or a folder of files; a pattern that only its name fits reads both."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def raw_documents(spark: SparkSession, sf_dir: str, condition: str = "true") -> DataFrame:
     """``doc_id, source, text``; the source is made unique so that it is a path of one document."""
     documents = table(spark, sf_dir, "documents").where(condition).select("doc_id", "source", "text")
