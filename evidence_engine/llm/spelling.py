@@ -52,6 +52,12 @@ def count_words(runs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) -
     return counted.where(F.col("n") >= least)
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sends neither side to all tasks. Spark sizes words, and what is cut from them, by the compressed
+    files of the words; the rows of a file of 10 MB can be a hundred times that, and would pass the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _cuts(words: DataFrame) -> DataFrame:
     """Chunks: ``key, size, word, rest``, two for each word; ``rest`` is what the chunk leaves of it."""
     length = F.length("word")
@@ -112,7 +118,7 @@ def _one_by_one(cuts: DataFrame, grams: DataFrame) -> DataFrame:
     right = grams.select(
         "key", F.col("word").alias("y"), F.inline(F.when(same, _letters_out(F.col("rest"))).otherwise(F.array_distinct(less)))
     )
-    return left.join(right, ["key", "at", "left"]).select("x", "y", "is_tail")
+    return _merged(left, right, ["key", "at", "left"]).select("x", "y", "is_tail")
 
 
 def near_pairs(words: DataFrame, pairs_per_word: int = PAIRS_PER_WORD) -> DataFrame:
@@ -127,11 +133,13 @@ def near_pairs(words: DataFrame, pairs_per_word: int = PAIRS_PER_WORD) -> DataFr
     keys = materialize(shared.select("key", crowded.alias("crowded")), "chunks")
     few, many = (keys.where(c).select("key") for c in (~F.col("crowded"), F.col("crowded")))
 
-    plain = cuts.join(few, "key").select("key", F.col("word").alias("x"), "is_tail").join(
-        grams.select("key", F.col("word").alias("y")), "key"
+    plain = _merged(
+        _merged(cuts, few, "key").select("key", F.col("word").alias("x"), "is_tail"),
+        grams.select("key", F.col("word").alias("y")),
+        "key",
     )
     found = plain.select("x", "y", "is_tail").unionAll(
-        _one_by_one(cuts.join(many, "key", "left_semi"), grams.join(many, "key", "left_semi"))
+        _one_by_one(_merged(cuts, many, "key", "left_semi"), _merged(grams, many, "key", "left_semi"))
     )
     longer = F.length("x") < F.length("y")
     ordered = longer | ((F.length("x") == F.length("y")) & (F.col("x") < F.col("y")))
@@ -147,7 +155,7 @@ def _follow(forms: DataFrame) -> DataFrame:
     step = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = step.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = step.join(onward, "root", "left").select(
+        moved = _merged(step, onward, "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
         )
         moved = materialize(moved, "roots")
@@ -166,10 +174,10 @@ def group_variants(words: DataFrame, times: int = TIMES, pairs_per_word: int = P
     words = materialize(words.select("word", "n"), "words")
     pairs = materialize(near_pairs(words, pairs_per_word), "near")
     both = pairs.unionAll(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    with_n = both.join(words.select(F.col("word").alias("y"), F.col("n").alias("m")), "y")
+    with_n = _merged(both, words.select(F.col("word").alias("y"), F.col("n").alias("m")), "y")
     best = F.min(F.struct((-F.col("m")).alias("m"), F.col("y").alias("y"))).alias("best")
     near = with_n.groupBy(F.col("x").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), best)
-    known = words.join(near, "word", "left")
+    known = _merged(words, near, "word", "left")
     has_form = -F.col("best.m") >= times * F.col("n")
     formed = materialize(
         known.select(
@@ -182,7 +190,7 @@ def group_variants(words: DataFrame, times: int = TIMES, pairs_per_word: int = P
         "formed",
     )
     roots = _follow(formed.where("form is not null"))
-    return formed.join(roots, "word", "left").select(
+    return _merged(formed, roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 
