@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import term_counts, tokenize
 from evidence_engine.operators import postings as inverted
-from evidence_engine.operators.vectors import with_hashed
+from evidence_engine.operators.vectors import with_hashed_tokens
 
 
 @dataclass(frozen=True)
@@ -79,9 +79,9 @@ def build_index(chunks: DataFrame) -> Index:
 def write_index(
     chunks: DataFrame, path: str, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b"
 ) -> Index:
-    """Chunk, tokenize and hash once, then derive postings and statistics from the written table."""
+    """Chunk, tokenize and hash once, in one pass over the texts' bytes, then derive postings and statistics from the written table."""
     spark = chunks.sparkSession
-    tokens = with_hashed(with_tokens(chunks), dimension, family).withColumn("place", F.monotonically_increasing_id())
+    tokens = with_hashed_tokens(chunks, dimension, family).withColumn("place", F.monotonically_increasing_id())
     tokens.write.mode("overwrite").parquet(f"{path}/chunks")
     tokens = spark.read.parquet(f"{path}/chunks")
     postings = inverted.write_postings(tokens, f"{path}/postings")

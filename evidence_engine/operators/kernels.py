@@ -53,6 +53,64 @@ def hash_terms(terms: list[str], family: str) -> np.ndarray:
     raise ValueError(f"unknown hash family {family!r}")
 
 
+def split_tokens(texts: pa.Array) -> pa.ListArray:
+    """The tokens of each text, as :func:`evidence_engine.functions.text.tokenize` gives them, from whole batches of bytes.
+
+    Word-like characters are ASCII, ideographs are three bytes of UTF-8, and no other character's bytes look like either.
+    """
+    texts = texts.cast(pa.large_binary())
+    raw = texts.buffers()
+    rows = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw[2] or b"", np.uint8)[rows[0] : rows[-1]] if len(texts) else np.zeros(0, np.uint8)
+    rows = rows - rows[0]
+    is_word, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+    is_word[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+#.-")] = True
+    lower[65:91] += 32
+    inside = is_word[data]
+    # A run begins behind, and ends before, another kind of byte or the border of a text.
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    borders = rows[(rows > 0) & (rows < len(data))]
+    first[borders] = inside[borders]
+    last[borders - 1] = inside[borders - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    values = lower[data]
+    signs = _ideographs(data, rows)
+    if len(signs):
+        # Behind a text's words and signs come pairs of signs; their bytes are laid out behind all texts.
+        of = np.searchsorted(rows, signs, side="right")
+        left = np.flatnonzero(of[1:] == of[:-1])
+        pairs = np.concatenate([signs[left, None] + np.arange(3), signs[left + 1, None] + np.arange(3)], axis=1)
+        at = len(values) + 6 * np.arange(len(left))
+        values = np.concatenate([values, values[pairs.ravel()]])
+        places = np.concatenate([starts, signs, rows[of[left]] - 1])
+        kinds = np.repeat([0, 1], [len(starts) + len(signs), len(left)])
+        order = np.lexsort((kinds, places))
+        starts, ends = (np.concatenate(x)[order] for x in ((starts, signs, at), (ends, signs + 3, at + 6)))
+        counted = np.searchsorted(places[order], rows)
+        lengths = ends - starts
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        values = values[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)]
+    else:
+        counted = np.searchsorted(starts, rows)
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        values = values[inside]
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values)])
+    missing = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(counted, pa.int32()), words, mask=missing)
+
+
+def _ideographs(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the characters U+4E00 to U+9FFF begin."""
+    at = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
+    at = at[at + 2 < rows[np.searchsorted(rows, at, side="right")]] if len(at) else at
+    second, third = data[at + 1].astype(np.int32), data[at + 2].astype(np.int32)
+    whole = (second >> 6 == 2) & (third >> 6 == 2)
+    point = (data[at].astype(np.int32) & 15) << 12 | (second & 63) << 6 | third & 63
+    return at[whole & (point >= 0x4E00) & (point <= 0x9FFF)]
+
+
 class TermHasher:
     """Signed feature hashing of token lists; only terms that are new to the task are hashed."""
 

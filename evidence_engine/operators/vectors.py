@@ -64,6 +64,26 @@ def with_hashed(token_chunks: DataFrame, dimension: int = fv.HASH_DIMENSION, fam
     return token_chunks.withColumn("hashed", embed("tokens"))
 
 
+def with_hashed_tokens(chunks: DataFrame, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b") -> DataFrame:
+    """Add ``tokens``, ``n_tokens`` and ``hashed`` to chunks in one pass over the bytes of their texts."""
+
+    @F.arrow_udf(f"struct<tokens: array<string>, hashed: {HASHED}>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher = kernels.TermHasher(dimension, family)
+        step = max(1, kernels.BLOCK_CELLS // dimension)
+        for texts in batches:
+            tokens = kernels.split_tokens(texts)
+            parts = [kernels.sparse(hasher.matrix(tokens.slice(start, step))) for start in range(0, len(tokens), step)]
+            hashed = pa.concat_arrays(parts or [kernels.sparse(np.zeros((0, dimension)))])
+            yield pa.StructArray.from_arrays([tokens, hashed], names=["tokens", "hashed"])
+        kernels.give_back()
+
+    rest = [F.col(c) for c in chunks.columns if c not in ("tokens", "n_tokens", "hashed")]
+    read = chunks.select(*rest, embed("text").alias("__read"))
+    n_tokens = F.array_size("__read.tokens").cast("bigint")
+    return read.select(*rest, "__read.tokens", n_tokens.alias("n_tokens"), "__read.hashed")
+
+
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
