@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions.text import term_counts, tokenize
-from evidence_engine.operators import postings as inverted
+from evidence_engine.operators import kernels, postings as inverted
 from evidence_engine.operators.vectors import with_hashed_tokens
+from evidence_engine.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks`` carry their tokens and their number; the other tables are the corpus statistics.
+    """``chunks`` carry their tokens and their number, or only their texts; the other tables are the corpus statistics.
 
     A term may have several rows in ``doc_freq``, which add up: the changes of a store. A written index has
     ``postings``, which BM25 reads in place of the chunks' tokens, and its chunks have ``hashed`` vectors of the
@@ -76,6 +77,18 @@ def build_index(chunks: DataFrame) -> Index:
     return Index(tokens, document_frequency(tokens), corpus_stats(tokens))
 
 
+def scanned_index(chunks: DataFrame) -> Index:
+    """An index of which only the statistics are written, all from one pass: searches cut and tokenize the chunks again.
+    For a corpus that is searched once that is less work, and takes no room in proportion to the texts."""
+    counted = chunks.select("text").mapInArrow(kernels.tidy(kernels.count_terms), "term string, df long, n_tokens long")
+    sums = counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_tokens").alias("n_tokens"))
+    rows = materialize(sums, "statistics")
+    corpus = rows.where("term is null").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("df", "n_tokens")))
+    average = F.when(F.col("df") > 0, F.col("n_tokens").cast("double") / F.col("df")).otherwise(0.0)
+    stats = corpus.select(F.col("df").alias("n_chunks"), average.alias("avg_len"))
+    return Index(chunks, rows.where("term is not null").select("term", "df"), stats)
+
+
 def write_index(
     chunks: DataFrame, path: str, dimension: int = fv.HASH_DIMENSION, family: str = "blake2b"
 ) -> Index:

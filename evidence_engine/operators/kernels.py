@@ -111,6 +111,29 @@ def _ideographs(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return at[whole & (point >= 0x4E00) & (point <= 0x9FFF)]
 
 
+def count_terms(batches):
+    """Task: of each batch of texts every term with the number of texts that hold it, and without a term the numbers of texts and tokens."""
+    for batch in batches:
+        tokens = split_tokens(batch.column(0))
+        encoded = pc.dictionary_encode(tokens.flatten())
+        code = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.unique(code * max(len(tokens), 1) + row_numbers(tokens)) // max(len(tokens), 1)
+        df = np.bincount(held, minlength=len(encoded.dictionary)).astype(np.int64)
+        n_tokens = np.zeros(len(df) + 1, np.int64)
+        n_tokens[0] = len(code)
+        terms = pa.concat_arrays([pa.nulls(1, pa.string()), encoded.dictionary.cast(pa.string())])
+        columns = [terms, pa.array(np.append(len(tokens), df)), pa.array(n_tokens)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "df", "n_tokens"])
+
+
+def tokenized(batches, kept):
+    """Batches of chunks with the columns to be kept and the tokens of their texts."""
+    for batch in batches:
+        columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n in kept}
+        columns["tokens"] = split_tokens(batch.column(batch.schema.get_field_index("text")))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 class TermHasher:
     """Signed feature hashing of token lists; only terms that are new to the task are hashed."""
 

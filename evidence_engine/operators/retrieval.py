@@ -98,7 +98,8 @@ def index_tokens(index: Index) -> float:
 def bm25_weights(index: Index, query_ids: pa.Array, tokens: DataFrame, k1: float, b: float) -> tuple[tuple, int]:
     """What the BM25 scorer of one pass needs, its terms joined with the document frequencies; and the number of their postings."""
     terms = tokens.select("query_id", F.inline(tx.term_counts(F.col("tokens"))))
-    weighted = weigh(terms, index).toArrow().combine_chunks()
+    # A pass's terms are few; the vocabulary is larger than the compressed files that Spark sizes it by.
+    weighted = weigh(F.broadcast(terms), index).toArrow().combine_chunks()
     n_chunks, avg_len = index.stats.select("n_chunks", "avg_len").first()
     df = weighted["df"].to_numpy()
     idf = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
@@ -142,15 +143,19 @@ def _rank(
         query_ids = kernels.one_array(held["query_id"])
         described, elsewhere = describe(block, held, query_ids)
         read = list(dict.fromkeys(SCORED_COLUMNS[kind] for kind, *_ in described.values()))
+        from_texts = "tokens" in read and "tokens" not in chunks.columns
+        columns = list(dict.fromkeys([*payload, *(c for c in read if c != "tokens" or not from_texts)]))
         shared = spark.sparkContext.broadcast((described, query_ids))
 
         @kernels.tidy
-        def rank(batches, shared=shared):
+        def rank(batches, shared=shared, from_texts=from_texts, columns=columns):
             described, ids = shared.value
+            batches = kernels.tokenized(batches, columns) if from_texts else batches
             scorers = {ranking: kernels.make_scorer(*parts) for ranking, parts in described.items()}
             yield from kernels.rank_partition(batches, scorers, ids, k, payload)
 
-        candidates = [flat.select(*payload, *read).mapInArrow(rank, schema)] if described else []
+        scanned = list(dict.fromkeys([*columns, "text"])) if from_texts else columns
+        candidates = [flat.select(*scanned).mapInArrow(rank, schema)] if described else []
         if elsewhere is not None:
             candidates.append(looked_up(elsewhere, query_ids, payload))
         append(_merge(reduce(DataFrame.unionByName, candidates), k), path)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidence_engine import fixed_values as fv
 from evidence_engine.functions import text as tx
 from evidence_engine.operators.chunking import chunk_documents, identify_documents
-from evidence_engine.operators.index import Index, read_index, write_index
+from evidence_engine.operators.index import Index, read_index, scanned_index, write_index
 from evidence_engine.sources.scratch import bound_batches, materialize, scratch_path, spread
 
 ANCHOR_WORDS = 4
@@ -84,6 +84,11 @@ def corpus_index(
     return read_index(spark, path)
 
 
+def scanned_corpus(spark: SparkSession, sf_dir: str, size: int, overlap: int = fv.CHUNK_OVERLAP) -> Index:
+    """The documents under other chunk settings, searched without a written copy of the chunks."""
+    return scanned_index(chunk_documents(documents(spark, sf_dir), size, overlap))
+
+
 def _words(text: Column) -> Column:
     """Words between blanks and line ends."""
     squeezed = F.regexp_replace(text, "[ \t\r\n]+", " ")
